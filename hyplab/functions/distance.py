@@ -44,6 +44,12 @@ def with_word_distance(df: DataFrame, out: str, left: Column, right: Column) ->
     )
 
 
+def char_distance(a: Column, b: Column, band: int = 16) -> Column:
+    """Edit distance that tries a narrow band first; most hypotheses are close to their reference."""
+    near = F.levenshtein(a, b, band)
+    return F.when(near >= 0, near).otherwise(F.levenshtein(a, b))
+
+
 def edit_counts(
     df: DataFrame,
     reference: str = "reference",
@@ -71,7 +77,7 @@ def edit_counts(
     staged = with_word_distance(staged, "we", T.words(r), T.words(h))
     return staged.withColumns(
         {
-            "ce": F.when(r == h, F.lit(0)).otherwise(F.levenshtein(r, h)).cast("long"),
+            "ce": F.when(r == h, F.lit(0)).otherwise(char_distance(r, h)).cast("long"),
             "nw": T.n_words(r).cast("long"),
             "nc": F.length(r).cast("long"),
         }

@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from hyplab.functions import fixed
@@ -205,32 +205,37 @@ def split_tokens(w: Column, table: Mapping[str, str]) -> Column:
     )
 
 
-def postprocess(
-    text: Column,
-    lang: Column,
+def with_postprocess(
+    df: DataFrame,
+    text: str,
+    lang: str,
+    out: str,
     *,
     ortho: Mapping[str, Mapping[str, str]] = fixed.ORTHOGRAPHY,
     function_words: Mapping[str, tuple[str, ...]] = fixed.FUNCTION_SHORT,
     joins: Mapping[str, str] | None = None,
     splits: Mapping[str, str] | None = None,
     unicode_form: bool = True,
-) -> Column:
-    """B11 without the lexicon step (see ``operators.lexicon.split_prefix`` for B08)."""
-    raw = F.trim(F.coalesce(text, F.lit("")))
-    norm = normalize(raw, unicode_form=unicode_form)
-    w = words(norm)
-    fixed_words = dedupe_short(replace_words(w, lang, ortho), lang, function_words)
-    joined = F.array_join(fixed_words, " ")
-    if joins:
-        joined = join_phrases(joined, joins)
-    out = F.array_join(split_tokens(words(joined), splits or {}), " ")
-    out = normalize(out, unicode_form=unicode_form)
-    return (
-        F.when(raw.isin("", ".", "nan"), F.lit("."))
-        .when(is_stutter(w), F.lit("."))
-        .when(out == "", F.lit("."))
-        .otherwise(out)
+) -> DataFrame:
+    """Stutter test, word map, deduplication, join and split maps, normal form.
+
+    The lexicon step is ``operators.lexicon.split_prefix`` (B08); run it before. Every
+    step is a column of its own, so nothing is computed twice in the lambdas.
+    """
+    raw, w, l = F.col("_raw"), F.col("_w"), F.col(lang)
+    joined = F.array_join("_w", " ")
+    staged = (
+        df.withColumn("_raw", F.trim(F.coalesce(F.col(text), F.lit(""))))
+        .withColumn("_w", words(normalize(raw, unicode_form=unicode_form)))
+        .withColumn("_bad", is_stutter(w))
+        .withColumn("_w", replace_words(w, l, ortho))
+        .withColumn("_w", dedupe_short(w, l, function_words))
+        .withColumn("_j", join_phrases(joined, joins) if joins else joined)
+        .withColumn("_o", F.array_join(split_tokens(words(F.col("_j")), splits or {}), " "))
+        .withColumn("_o", normalize(F.col("_o"), unicode_form=unicode_form))
     )
+    result = F.when(raw.isin("", ".", "nan") | F.col("_bad") | (F.col("_o") == ""), F.lit(".")).otherwise(F.col("_o"))
+    return staged.withColumn(out, result).drop("_raw", "_w", "_bad", "_j", "_o")
 
 
 def strip_trailing(c: Column, fillers: tuple[str, ...]) -> Column:
@@ -239,44 +244,41 @@ def strip_trailing(c: Column, fillers: tuple[str, ...]) -> Column:
     return F.regexp_replace(c, f"(^|\\s)({alt})(\\s({alt}))*$", "")
 
 
-def cut_foreign(w: Column, foreign: str) -> Column:
-    """Tokens before the first one that holds a foreign character."""
-    bad = F.transform(w, lambda x: x.rlike(f"[{foreign}]"))
-    at = F.array_position(bad, True)
-    return F.when(at > 0, F.slice(w, F.lit(1), (at - 1).cast("int"))).otherwise(w)
-
-
-def cut_loops(w: Column) -> Column:
-    """Stop where a 1-3 gram has come three times in a row; keep one copy of it."""
-
-    def loop_size(end: Column) -> Column:
-        # size of the shortest n-gram that fills the last 3n tokens up to ``end`` (1-based)
-        def same(n: int) -> Column:
-            part = [F.slice(w, end - F.lit(k * n - 1), F.lit(n)) for k in (1, 2, 3)]
-            return (end >= 3 * n) & (part[0] == part[1]) & (part[1] == part[2])
+def with_clean_generation(
+    df: DataFrame, text: str, seconds: str, out: str, rate: float = 2.2, foreign: str = fixed.FOREIGN
+) -> DataFrame:
+    """Cut at the first foreign character, cut loops, cap the words by duration.
 
-        return F.when(same(1), 1).when(same(2), 2).when(same(3), 3).otherwise(0)
-
-    size = F.size(w)
-    hits = F.filter(
-        F.transform(
-            F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
-            lambda e: F.struct(e.alias("e"), loop_size(e).alias("n")),
-        ),
-        lambda s: s["n"] > 0,
+    A loop is a 1-3 gram that has just come three times in a row; one copy stays.
+    """
+    w = F.col("_w")
+    bad = F.array_position(F.transform(w, lambda x: x.rlike(f"[{foreign}]")), True)
+
+    def ends_loop(i: Column, n: int) -> Column:
+        # tokens i-3n+1 .. i (from 0) are three equal n-grams
+        ok = i >= 3 * n - 1
+        for k in range(2 * n):
+            ok = ok & (F.get(w, i - k) == F.get(w, i - k - n))
+        return ok
+
+    size = lambda i: F.when(ends_loop(i, 1), 1).when(ends_loop(i, 2), 2).when(ends_loop(i, 3), 3).otherwise(0)
+    first = F.array_position(F.transform("_loops", lambda n: n > 0), True).cast("int")
+    staged = (
+        df.withColumn("_w", words(squeeze(F.coalesce(F.col(text), F.lit("")))))
+        .withColumn("_at", bad)
+        .withColumn("_w", F.when(F.col("_at") > 0, F.slice(w, F.lit(1), (F.col("_at") - 1).cast("int"))).otherwise(w))
+        .withColumn("_loops", F.transform(w, lambda x, i: size(i)))
+        .withColumn("_at", first)
+        .withColumn(
+            "_w",
+            F.when(F.col("_at") > 0, F.slice(w, F.lit(1), F.col("_at") - 2 * F.get("_loops", F.col("_at") - 1))).otherwise(w),
+        )
     )
-    first = F.get(hits, F.lit(0))
-    return F.when(first.isNull(), w).otherwise(F.slice(w, F.lit(1), first["e"] - 2 * first["n"]))
-
-
-def clean_generation(c: Column, seconds: Column, rate: float = 2.2, foreign: str = fixed.FOREIGN) -> Column:
-    """Cut at foreign characters, cut loops, cap the words by duration."""
-    w = cut_loops(cut_foreign(words(squeeze(F.coalesce(c, F.lit("")))), foreign))
     if rate:
-        most = F.greatest(F.lit(3), F.floor(seconds * rate).cast("int") + 2)
-        w = F.slice(w, F.lit(1), most)
-    out = F.array_join(w, " ")
-    return F.when(out == "", F.lit(".")).otherwise(out)
+        most = F.greatest(F.lit(3), F.floor(F.col(seconds) * rate).cast("int") + 2)
+        staged = staged.withColumn("_w", F.slice(w, F.lit(1), most))
+    joined = F.array_join("_w", " ")
+    return staged.withColumn(out, F.when(joined == "", F.lit(".")).otherwise(joined)).drop("_w", "_at", "_loops")
 
 
 def has_tail_loop(w: Column, n: int = 3, times: int = 4) -> Column:
@@ -355,7 +357,7 @@ def structure_ok(
 
 
 def count_of(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+    return F.regexp_count(c, F.lit("(?U)" + pattern))
 
 
 def marker_scores(c: Column) -> dict[str, Column]:

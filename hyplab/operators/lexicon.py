@@ -31,3 +31,114 @@ def oov_table(df: DataFrame, text: str, lex: DataFrame, language: str, by: str)
     )
     types = toks.groupBy(by, language, "word").agg(F.lit(1)).groupBy(by).agg(F.count("*").alias("types"))
     return types.join(per_text, by)
+
+
+def apply_word_map(df: DataFrame, key: list[str], text: str, language: str, mapping: DataFrame, out: str) -> DataFrame:
+    """Rewrite words by a (language, word, new) table of any size.
+
+    Only words that the table holds are carried per text; texts without one pass
+    through the left join untouched.
+    """
+    hits = (
+        df.select(*key, language, F.explode(F.array_distinct(T.words(F.col(text)))).alias("word"))
+        .join(mapping.select(language, "word", "new"), [language, "word"])
+        .groupBy(*key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("_map"))
+    )
+    w = T.words(F.col(text))
+    rewritten = F.array_join(F.transform(w, lambda x: F.coalesce(F.try_element_at(F.col("_map"), x), x)), " ")
+    return df.join(hits, key, "left").withColumn(
+        out, F.when(F.col("_map").isNull(), F.col(text)).otherwise(rewritten)
+    ).drop("_map")
+
+
+def split_prefix(
+    df: DataFrame, key: list[str], text: str, lex: DataFrame, language: str, prefix: str, out: str,
+    min_stem: int = 3, min_count: int = 3,
+) -> DataFrame:
+    """prefix+stem becomes two words when the whole is unknown and the stem is frequent."""
+    n = len(prefix)
+    fused = (
+        df.select(language, F.explode(F.array_distinct(T.words(F.col(text)))).alias("word"))
+        .where(F.col("word").startswith(prefix) & (F.length("word") >= n + min_stem))
+        .distinct()
+        .withColumn("stem", F.expr(f"substr(word, {n + 1})"))
+    )
+    stems = lex.where(F.col("n") >= min_count).select(language, F.col("word").alias("stem"))
+    mapping = (
+        fused.join(lex.select(language, "word"), [language, "word"], "left_anti")
+        .join(stems, [language, "stem"], "left_semi")
+        .select(language, "word", F.concat(F.lit(prefix + " "), "stem").alias("new"))
+    )
+    return apply_word_map(df, key, text, language, mapping, out)
+
+
+def join_split_words(
+    df: DataFrame, key: list[str], text: str, lex: DataFrame, bigrams: DataFrame, language: str, out: str,
+    min_joined: int = 3, max_bi: int = 0,
+) -> DataFrame:
+    """Join adjacent words when the joined form is known and the pair is rare.
+
+    The decision is taken once per distinct pair; only accepted pairs go back to
+    the texts, where a left-to-right fold joins them without overlap.
+    """
+    a, b = F.col("p.a"), F.col("p.b")
+    pairs = (
+        df.select(language, F.explode(C.adjacent(T.words(F.col(text)))).alias("p"))
+        .where((F.length(a) >= 2) & (F.length(b) >= 2))
+        .select(language, a.alias("a"), b.alias("b"), F.concat(a, b).alias("joined"))
+        .distinct()
+    )
+    jc, bc = F.col("_jc"), F.coalesce(F.col("_bc"), F.lit(0))
+    accepted = (
+        pairs.join(lex.select(language, F.col("word").alias("joined"), F.col("n").alias("_jc")), [language, "joined"])
+        .join(bigrams.select(language, "a", "b", F.col("n").alias("_bc")), [language, "a", "b"], "left")
+        .where(((jc >= min_joined) & (bc <= max_bi)) | ((jc >= 5) & (bc <= 1) & (jc >= 5 * F.greatest(bc, F.lit(1)))))
+        .select(language, "a", "b")
+    )
+    hits = (
+        df.select(*key, language, F.explode(F.array_distinct(C.adjacent(T.words(F.col(text))))).alias("p"))
+        .select(*key, language, "p.a", "p.b")
+        .join(accepted, [language, "a", "b"], "left_semi")
+        .groupBy(*key)
+        .agg(F.collect_set(F.concat_ws(" ", "a", "b")).alias("_ok"))
+    )
+    # state: finished words, the pending word, and whether the pending word may still join
+    start = F.struct(
+        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"), F.lit(False).alias("open")
+    )
+
+    def step(s: Column, w: Column) -> Column:
+        joins = s["open"] & F.array_contains(F.col("_ok"), F.concat_ws(" ", s["last"], w))
+        flushed = F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
+        return F.when(
+            joins, F.struct(s["done"].alias("done"), F.concat(s["last"], w).alias("last"), F.lit(False).alias("open"))
+        ).otherwise(F.struct(flushed.alias("done"), w.alias("last"), F.lit(True).alias("open")))
+
+    folded = F.aggregate(
+        T.words(F.col(text)), start, step, lambda s: F.array_join(F.concat(s["done"], F.array(s["last"])), " ")
+    )
+    return df.join(hits, key, "left").withColumn(
+        out, F.when(F.col("_ok").isNull(), F.col(text)).otherwise(folded)
+    ).drop("_ok")
+
+
+def lexical_stats(df: DataFrame, key: list[str], text: str, lex: DataFrame, language: str) -> DataFrame:
+    """Words, characters, out-of-vocabulary, apostrophe, unique and repeat shares per text."""
+    c, w = F.col(text), T.words(F.col(text))
+    known = (
+        df.select(*key, language, F.explode(w).alias("word"))
+        .join(lex.select(language, "word"), [language, "word"], "left_semi")
+        .groupBy(*key)
+        .agg(F.count("*").alias("_known"))
+    )
+    n = F.greatest(F.size(w), F.lit(1))
+    return df.join(known, key, "left").select(
+        *key,
+        F.size(w).alias("words"),
+        F.length(c).alias("chars"),
+        ((F.size(w) - F.coalesce("_known", F.lit(0))) / n).alias("oov"),
+        (F.regexp_count(c, F.lit("'")) / F.greatest(F.length(c), F.lit(1))).alias("apostrophe"),
+        T.unique_ratio(w).alias("unique"),
+        (T.adjacent_repeats(w) / F.greatest(F.size(w) - 1, F.lit(1))).alias("repeat"),
+    )

@@ -62,7 +62,7 @@ def _regime_oracle() -> str:
     WITH forms AS ({union}),
     w AS ({words})
     SELECT language, comparison, regime, count(*) AS n, sum(we)::BIGINT AS we, sum(levenshtein(cr, ch))::BIGINT AS ce,
-      sum(CASE WHEN nw = 1 AND nc = 7 AND false THEN 0 ELSE nw END)::BIGINT AS nw, sum(length(cr))::BIGINT AS nc,
+      sum(nw)::BIGINT AS nw, sum(length(cr))::BIGINT AS nc,
       R6(sum(we)::DOUBLE / sum(nw)) AS wer, R6(sum(levenshtein(cr, ch))::DOUBLE / sum(length(cr))) AS cer,
       R6(0.5 * sum(we)::DOUBLE / sum(nw) + 0.5 * sum(levenshtein(cr, ch))::DOUBLE / sum(length(cr))) AS score
     FROM w GROUP BY ALL"""

@@ -96,3 +96,11 @@ VIEWS["rawutt"] = f"""
         SELECT doc_id, lang, list_filter(string_split(regexp_replace(translate(text,
           '{FOLD_FROM}' || upper('{FOLD_FROM[:-1]}'), '{FOLD_TO}' || upper('{FOLD_TO[:-1]}')), '\\s+', ' ', 'g'), ' '),
           lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0))"""
+VIEWS["noisy"] = """
+    SELECT id, n, language, reference, CASE n % 5
+      WHEN 0 THEN list_transform(toks, lambda x: x[1:1])
+      WHEN 1 THEN list_transform(toks, lambda x: toks[1][1:2])
+      WHEN 2 THEN list_transform(toks, lambda x: x[1:2])
+      WHEN 3 THEN flatten(list_transform(toks, lambda x: [x, x])) ELSE toks END AS w FROM utt"""
+VIEWS["looped"] = """
+    SELECT id, n, language, flatten(list_concat([toks], list_transform(range(0, n % 6), lambda i: toks[-3:]))) AS w FROM utt"""

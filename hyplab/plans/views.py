@@ -32,8 +32,8 @@ def utterances(spark: SparkSession, d: str, with_tokens: bool = False) -> DataFr
     windows = F.expr(f"transform(sequence(0, (size(w) - 1) div {WIDTH}), c -> slice(w, int(c * {WIDTH} + 1), {WIDTH}))")
     out = (
         tokens(spark, d)
-        .where(F.size("w") > 0)
         .select("doc_id", "source", "lang", F.posexplode(windows).alias("c", "toks"))
+        .where(F.size("toks") > 0)
         .select(
             (F.col("doc_id") * 100000 + F.col("c")).alias("id"),
             "doc_id",
@@ -179,10 +179,28 @@ def raw_utterances(spark: SparkSession, d: str) -> DataFrame:
             when (doc_id + c + i + 1) % 4 = 0 then regexp_replace(x, '[^A-Za-z0-9]', '') else x end)"""
     )
     return (
-        docs.select("doc_id", "lang", w.alias("w")).where(F.size("w") > 0)
+        docs.select("doc_id", "lang", w.alias("w"))
         .select("doc_id", "lang", F.posexplode(windows).alias("c", "ws"))
+        .where(F.size("ws") > 0)
         .select(
             (F.col("doc_id") * 100000 + F.col("c")).alias("id"), F.col("lang").alias("language"),
             F.array_join("ws", " ").alias("reference"), F.array_join(hyp, " ").alias("hypothesis"),
         )
     )
+
+
+def noisy(spark: SparkSession, d: str) -> DataFrame:
+    """Token arrays (w) with single letters, one repeated token, short tokens and doubled tokens."""
+    w = F.expr(
+        """case n % 5 when 0 then transform(toks, x -> left(x, 1))
+            when 1 then transform(toks, x -> left(toks[0], 2))
+            when 2 then transform(toks, x -> left(x, 2))
+            when 3 then flatten(transform(toks, x -> array(x, x))) else toks end"""
+    )
+    return utterances(spark, d, with_tokens=True).select("id", "n", "language", "reference", w.alias("w"))
+
+
+def looped(spark: SparkSession, d: str) -> DataFrame:
+    """Token arrays whose last three tokens come up to five times more."""
+    w = F.expr("concat(toks, flatten(array_repeat(slice(toks, greatest(-3, -size(toks)), 3), int(n % 6))))")
+    return utterances(spark, d, with_tokens=True).select("id", "n", "language", w.alias("w"))
