@@ -142,3 +142,105 @@ def lexical_stats(df: DataFrame, key: list[str], text: str, lex: DataFrame, lang
         T.unique_ratio(w).alias("unique"),
         (T.adjacent_repeats(w) / F.greatest(F.size(w) - 1, F.lit(1))).alias("repeat"),
     )
+
+
+# --- E07: fuzzy lexicon correction --------------------------------------------------------
+
+# Tails up to this length are matched by deleted-character variants, longer ones by segments.
+_VARIANT_TAIL = 14
+
+
+def _deletions(t: Column) -> Column:
+    """All strings with one character removed."""
+    n = F.length(t)
+    return F.when(
+        n > 0,
+        F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _variant_keys(t: Column) -> Column:
+    """The string and everything within two deletions: a pair within distance two shares one."""
+    once = _deletions(t)
+    twice = F.flatten(F.transform(once, _deletions))
+    return F.array_distinct(F.concat(F.array(t), once, twice))
+
+
+def _segments(t: Column, parts: int) -> Column:
+    """Cut a string in ``parts`` even pieces: structs (i, text, start)."""
+    n = F.length(t)
+    cuts = [F.floor(n * i / parts).cast("int") for i in range(parts + 1)]
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"), F.substr(t, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seg"), n.alias("len")
+            )
+            for i in range(parts)
+        ]
+    )
+
+
+def _windows(t: Column, parts: int, k: int) -> Column:
+    """Pieces of a query that could equal segment i of a word up to k shorter or longer."""
+    n = F.length(t)
+    out = []
+    for diff in range(-k, k + 1):
+        size = n + diff
+        cuts = [F.floor(size * i / parts).cast("int") for i in range(parts + 1)]
+        for i in range(parts):
+            for shift in range(-k, k + 1):
+                start = cuts[i] + 1 + shift
+                out.append(
+                    F.when(
+                        (start >= 1) & (start + cuts[i + 1] - cuts[i] - 1 <= n),
+                        F.struct(
+                            F.lit(i).alias("i"), F.substr(t, start, cuts[i + 1] - cuts[i]).alias("seg"), size.alias("len")
+                        ),
+                    )
+                )
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+
+
+def nearest_words(queries: DataFrame, lex: DataFrame, language: str, max_edit: int = 2) -> DataFrame:
+    """Closest lexicon word for every unknown (language, word), exact and without a cap.
+
+    Same first character and a length within k, where k is 0 up to three characters,
+    1 up to five, else ``max_edit``. Candidates come from equi-joins on deleted-character
+    variants (short words) or on a shared segment (long words), so no task compares a
+    whole block of words; the best is a min over (distance, -count, length, word).
+    """
+    k = F.when(F.length("word") <= 3, 0).when(F.length("word") <= 5, min(1, max_edit)).otherwise(min(max_edit, 2))
+    q = (
+        queries.select(language, "word").distinct()
+        .where(~F.col("word").rlike("^[0-9]+$")).withColumn("k", k).where(F.col("k") > 0)
+        .withColumns({"first": F.substring("word", 1, 1), "tail": F.expr("substr(word, 2)")})
+    )
+    words = lex.select(
+        language, F.col("word").alias("cand"), "n", F.substring("word", 1, 1).alias("first"), F.expr("substr(word, 2)").alias("_tail")
+    )
+    short = F.length("tail") <= _VARIANT_TAIL
+    by_variant = q.where(short).withColumn("key", F.explode(_variant_keys(F.col("tail")))).join(
+        words.where(F.length("_tail") <= _VARIANT_TAIL + 2).withColumn("key", F.explode(_variant_keys(F.col("_tail")))),
+        [language, "first", "key"],
+    )
+    by_segment = q.where(~short).withColumn("key", F.explode(_windows(F.col("tail"), 3, 2))).join(
+        words.where(F.length("_tail") >= _VARIANT_TAIL - 2).withColumn("key", F.explode(_segments(F.col("_tail"), 3))),
+        [language, "first", "key"],
+    )
+    d = F.levenshtein("word", "cand")
+    return (
+        by_variant.drop("key").unionByName(by_segment.drop("key"))
+        .where(F.abs(F.length("word") - F.length("cand")) <= F.col("k"))
+        .withColumn("d", d).where(F.col("d") <= F.col("k"))
+        .groupBy(language, "word")
+        .agg(F.min(F.struct(F.col("d"), (-F.col("n")).alias("neg"), F.length("cand").alias("len"), "cand")).alias("b"))
+        .select(language, "word", F.col("b.cand").alias("new"), F.col("b.d").alias("distance"), (-F.col("b.neg")).alias("n"))
+    )
+
+
+def corrections(df: DataFrame, text: str, lex: DataFrame, language: str, max_edit: int = 2) -> DataFrame:
+    """Accepted (language, word, new): the new word comes twice or is one edit away."""
+    toks = df.select(language, F.explode(T.words(F.col(text))).alias("word")).distinct()
+    unknown = toks.join(lex.select(language, "word"), [language, "word"], "left_anti")
+    near = nearest_words(unknown, lex, language, max_edit)
+    return near.where((F.col("n") >= 2) | (F.col("distance") == 1))

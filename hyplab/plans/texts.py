@@ -210,8 +210,8 @@ WITH t AS (SELECT id, n, w, list_transform(range(1, len(w) + 1), lambda i: CASE
     WHEN i >= 3 AND w[i] = w[i - 1] AND w[i] = w[i - 2] THEN 1
     WHEN i >= 6 AND w[i - 1 : i] = w[i - 3 : i - 2] AND w[i - 1 : i] = w[i - 5 : i - 4] THEN 2
     WHEN i >= 9 AND w[i - 2 : i] = w[i - 5 : i - 3] AND w[i - 2 : i] = w[i - 8 : i - 6] THEN 3 ELSE 0 END) AS k FROM looped),
-u AS (SELECT id, n, w, k, list_position(list_transform(k, lambda x: x > 0), true) AS at FROM t),
-c AS (SELECT id, n, CASE WHEN at > 0 THEN w[1 : at - 2 * k[at]] ELSE w END AS w FROM u)
+u AS (SELECT id, n, w, k, list_position(list_transform(k, lambda x: x > 0), true) AS p FROM t),
+c AS (SELECT id, n, CASE WHEN p > 0 THEN w[1 : p - 2 * k[p]] ELSE w END AS w FROM u)
 SELECT id, array_to_string(w[1 : greatest(3, floor((n % 20) * 2.2::DOUBLE)::INT + 2)], ' ') AS out FROM c""")
 def b14(spark, d):
     t = V.looped(spark, d).select("id", F.array_join("w", " ").alias("text"), (F.col("n") % 20).alias("seconds"))
