@@ -147,7 +147,7 @@ def lexical_stats(df: DataFrame, key: list[str], text: str, lex: DataFrame, lang
 # --- E07: fuzzy lexicon correction --------------------------------------------------------
 
 # Tails up to this length are matched by deleted-character variants, longer ones by segments.
-_VARIANT_TAIL = 14
+_VARIANT_TAIL = 7
 
 
 def _deletions(t: Column) -> Column:
