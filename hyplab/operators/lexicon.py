@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hyplab.functions import text as T
 from hyplab.operators import counts as C
+from hyplab.operators.sizing import sized
 
 
 def lexicon(index: DataFrame, text: str = "reference", language: str = "language", held_out: str = "test") -> DataFrame:
-    """Word counts per language of every row that is not held out."""
-    return C.word_counts(index.where(F.col("split") != held_out), text, language)
+    """Word counts per language of every row that is not held out; broadcast while it is small."""
+    return sized(C.word_counts(index.where(F.col("split") != held_out), text, language))[0]
 
 
 def oov_table(df: DataFrame, text: str, lex: DataFrame, language: str, by: str) -> DataFrame:
@@ -182,23 +183,21 @@ def _segments(t: Column, parts: int) -> Column:
 
 def _windows(t: Column, parts: int, k: int) -> Column:
     """Pieces of a query that could equal segment i of a word up to k shorter or longer."""
-    n = F.length(t)
-    out = []
-    for diff in range(-k, k + 1):
-        size = n + diff
-        cuts = [F.floor(size * i / parts).cast("int") for i in range(parts + 1)]
-        for i in range(parts):
-            for shift in range(-k, k + 1):
-                start = cuts[i] + 1 + shift
-                out.append(
-                    F.when(
-                        (start >= 1) & (start + cuts[i + 1] - cuts[i] - 1 <= n),
-                        F.struct(
-                            F.lit(i).alias("i"), F.substr(t, start, cuts[i + 1] - cuts[i]).alias("seg"), size.alias("len")
-                        ),
-                    )
-                )
-    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+    combos = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i")) for d in range(-k, k + 1) for i in range(parts)])
+    shifts = F.array(*[F.lit(x) for x in range(-k, k + 1)])
+
+    def window(c: Column, shift: Column) -> Column:
+        size = F.length(t) + c["d"]
+        begin = F.floor(size * c["i"] / parts).cast("int")
+        width = F.floor(size * (c["i"] + 1) / parts).cast("int") - begin
+        start = begin + 1 + shift
+        return F.when(
+            (start >= 1) & (start + width - 1 <= F.length(t)),
+            F.struct(c["i"].alias("i"), F.substr(t, start, width).alias("seg"), size.alias("len")),
+        )
+
+    every = F.flatten(F.transform(combos, lambda c: F.transform(shifts, lambda s: window(c, s))))
+    return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
 
 def nearest_words(queries: DataFrame, lex: DataFrame, language: str, max_edit: int = 2) -> DataFrame:
