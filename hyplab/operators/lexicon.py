@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hyplab.functions import text as T
 from hyplab.operators import counts as C
-from hyplab.operators.sizing import sized
+from hyplab.operators.sizing import keep, sized
 
 
 def lexicon(index: DataFrame, text: str = "reference", language: str = "language", held_out: str = "test") -> DataFrame:
@@ -168,14 +168,12 @@ def _variant_keys(t: Column) -> Column:
 
 
 def _segments(t: Column, parts: int) -> Column:
-    """Cut a string in ``parts`` even pieces: structs (i, text, start)."""
+    """Cut a string in ``parts`` even pieces: keys piece|length|text."""
     n = F.length(t)
     cuts = [F.floor(n * i / parts).cast("int") for i in range(parts + 1)]
     return F.array(
         *[
-            F.struct(
-                F.lit(i).alias("i"), F.substr(t, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("seg"), n.alias("len")
-            )
+            F.concat_ws("|", F.lit(i), n, F.substr(t, cuts[i] + 1, cuts[i + 1] - cuts[i]))
             for i in range(parts)
         ]
     )
@@ -193,7 +191,7 @@ def _windows(t: Column, parts: int, k: int) -> Column:
         start = begin + 1 + shift
         return F.when(
             (start >= 1) & (start + width - 1 <= F.length(t)),
-            F.struct(c["i"].alias("i"), F.substr(t, start, width).alias("seg"), size.alias("len")),
+            F.concat_ws("|", c["i"], size, F.substr(t, start, width)),
         )
 
     every = F.flatten(F.transform(combos, lambda c: F.transform(shifts, lambda s: window(c, s))))
@@ -241,5 +239,5 @@ def corrections(df: DataFrame, text: str, lex: DataFrame, language: str, max_edi
     """Accepted (language, word, new): the new word comes twice or is one edit away."""
     toks = df.select(language, F.explode(T.words(F.col(text))).alias("word")).distinct()
     unknown = toks.join(lex.select(language, "word"), [language, "word"], "left_anti")
-    near = nearest_words(unknown, lex, language, max_edit)
+    near = nearest_words(keep(unknown), lex, language, max_edit)
     return near.where((F.col("n") >= 2) | (F.col("distance") == 1))

@@ -10,19 +10,24 @@ MAX_BROADCAST_ROWS = 1_000_000
 _kept: list[DataFrame] = []
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one plan read."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _kept[-1]
+
+
 def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Count a derived table once, keep it, and say whether it is small enough to broadcast.
 
     Small tables come back with a broadcast hint; larger ones without, so joins with
     them shuffle. A lost executor recomputes its part of the kept table.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _kept.append(kept)
+    kept = keep(df)
     small = kept.count() <= max_rows
     return (F.broadcast(kept) if small else kept), small
 
 
 def release() -> None:
-    """Drop every table kept by ``sized``."""
+    """Drop every kept table."""
     while _kept:
         _kept.pop().unpersist()

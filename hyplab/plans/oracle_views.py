@@ -104,3 +104,9 @@ VIEWS["noisy"] = """
       WHEN 3 THEN flatten(list_transform(toks, lambda x: [x, x])) ELSE toks END AS w FROM utt"""
 VIEWS["looped"] = """
     SELECT id, n, language, flatten(list_concat([toks], list_transform(range(0, n % 6), lambda i: toks[-3:]))) AS w FROM utt"""
+VIEWS["chunk_words"] = f"""
+    SELECT conv_id, turn, list_filter(string_split(regexp_replace(translate(lower(text), '{FOLD_FROM}', '{FOLD_TO}'),
+      '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM conversations"""
+VIEWS["chunks"] = """
+    SELECT c.conv_id, c.turn, list_concat(CASE WHEN c.turn % 4 > 0 AND p.w IS NOT NULL THEN p.w[-(c.turn % 4):] ELSE [] END, c.w) AS w
+    FROM chunk_words c LEFT JOIN chunk_words p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1"""

@@ -204,3 +204,16 @@ def looped(spark: SparkSession, d: str) -> DataFrame:
     """Token arrays whose last three tokens come up to five times more."""
     w = F.expr("concat(toks, flatten(array_repeat(slice(toks, greatest(-3, -size(toks)), 3), int(n % 6))))")
     return utterances(spark, d, with_tokens=True).select("id", "n", "language", w.alias("w"))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns that begin with up to three last words of the turn before: (conv_id, turn, text)."""
+    folded = F.translate(F.lower("text"), FOLD_FROM, FOLD_TO)
+    w = F.filter(F.split(F.regexp_replace(folded, "[^a-z0-9]+", " "), " "), lambda x: x != "")
+    turns = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id").select("conv_id", "turn", w.alias("w"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("p"))
+    k = (F.col("turn") % 4).cast("int")
+    tail = F.when((k > 0) & F.col("p").isNotNull(), F.slice("p", F.greatest(F.size("p") - k + 1, F.lit(1)), k)).otherwise(
+        F.array().cast("array<string>")
+    )
+    return turns.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.array_join(F.concat(tail, "w"), " ").alias("text"))
