@@ -296,7 +296,7 @@ def word_op_policies(df: DataFrame, key: str, base: str, challenger: str, helper
     )
 
 
-def collapse_switch(df: DataFrame, a: str, b: str, *, max_words: int = 8, min_single: float = 0.30, min_ratio: float = 2.5,
+def collapse_switch(a: str, b: str, *, max_words: int = 8, min_single: float = 0.30, min_ratio: float = 2.5,
                     max_edit: float = 0.08, min_oov_gain: float = 0.0) -> Column:
     """Leave ``a`` when it collapsed, or when ``b`` is close, has fewer unknown words and a better model score.
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from hyplab.functions import text as T
 from hyplab.operators import select as G
 from hyplab.operators.sizing import keep
 
@@ -38,25 +38,18 @@ def features(df: DataFrame) -> DataFrame:
     })
 
 
-def _probability(train: DataFrame, test: DataFrame, names: Sequence[str], c: float, weight: str) -> DataFrame:
-    """P(first system is at least as good) for the rows of ``test``."""
-    n, pos = train.agg(F.count("*"), F.sum("label")).first()
+def _probability(train: DataFrame, test: DataFrame, counts: tuple[int, int], name: str, c: float, weight: str) -> DataFrame:
+    """P(first system is at least as good) for the rows of ``test``; ``counts`` are rows and positives of ``train``."""
+    n, pos = counts
     if pos in (0, n):
         return test.withColumn("p", F.lit(float(pos / n)))
     balanced = F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     weighted = train.withColumn("_w", balanced if weight == "balanced" else F.lit(1.0))
-    doubles = [F.col(x).cast("double").alias(x) for x in names]
-    rest = lambda d: d.select(*[x for x in d.columns if x not in names], *doubles)
-    filled = [f"_f_{x}" for x in names]
-    model = Pipeline(stages=[
-        Imputer(inputCols=list(names), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="_v"),
-        StandardScaler(inputCol="_v", outputCol="_x", withMean=True),
-        # the inverse strength counts rows, so the penalty is scaled by them
-        LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=1.0 / (c * n), maxIter=50, standardization=False),
-    ]).fit(rest(weighted))
-    scored = model.transform(rest(test))
-    return scored.select(*test.columns, vector_to_array("probability")[1].alias("p"))
+    # the inverse strength counts rows, so the penalty is scaled by them; features are scaled inside
+    model = LogisticRegression(
+        featuresCol=f"x_{name}", labelCol="label", weightCol="_w", regParam=1.0 / (c * n), maxIter=25, tol=1e-4, standardization=True
+    ).fit(weighted)
+    return model.transform(test).select(*test.columns, vector_to_array("probability")[1].alias("p"))
 
 
 def _best_threshold(scored: DataFrame, thresholds: Sequence[float]) -> tuple[float, float]:
@@ -79,28 +72,44 @@ def nested_selector(
     ``df`` has features of both systems and ``fold``; inner folds split the remaining
     speakers again by hash. The full grid is STRENGTHS x WEIGHTS x FEATURE_SETS.
     """
-    base = keep(features(df).withColumn("inner", G.hash_fold(F.col("speaker_id"), "inner", inner)))
-    out = None
-    for fold in range(outer):
+    raw = features(df).withColumn("inner", G.hash_fold(F.col("speaker_id"), "inner", inner))
+    for name in feature_sets:
+        raw = VectorAssembler(inputCols=list(FEATURE_SETS[name]), outputCol=f"x_{name}").transform(raw)
+    names = ["fold", "inner", "label", "nw", "nc", "a_we", "a_ce", "b_we", "b_ce", *[f"x_{n}" for n in feature_sets]]
+    base = keep(raw.select(*names))
+    cells = {(r["fold"], r["inner"]): (r["n"], r["pos"]) for r in base.groupBy("fold", "inner").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()}
+
+    def rows_of(test) -> tuple[int, int]:
+        kept = [v for k, v in cells.items() if test(*k)]
+        return sum(v[0] for v in kept), sum(v[1] for v in kept)
+
+    def run(fold: int) -> DataFrame:
         train, test = base.where(F.col("fold") != fold), base.where(F.col("fold") == fold)
         best = None
         for name, c, weight in product(feature_sets, strengths, weights):
             oof = None
             for k in range(inner):
-                part = _probability(train.where(F.col("inner") != k), train.where(F.col("inner") == k), FEATURE_SETS[name], c, weight)
+                seen = rows_of(lambda f, i: f != fold and i != k)
+                part = _probability(train.where(F.col("inner") != k), train.where(F.col("inner") == k), seen, name, c, weight)
                 oof = part if oof is None else oof.unionByName(part)
             error, threshold = _best_threshold(oof, thresholds)
             if best is None or (error, len(FEATURE_SETS[name]), c) < best[:3]:
                 best = (error, len(FEATURE_SETS[name]), c, name, weight, threshold)
         error, _, c, name, weight, threshold = best
-        held = _probability(train, test, FEATURE_SETS[name], c, weight)
+        held = _probability(train, test, rows_of(lambda f, i: f != fold), name, c, weight)
         take = F.col("p") >= threshold
         pick = lambda x: F.sum(F.when(take, F.col(f"a_{x}")).otherwise(F.col(f"b_{x}")))
-        row = held.agg(
+        return held.agg(
             F.lit(fold).alias("fold"), F.lit(name).alias("feature_set"), F.lit(c).alias("strength"), F.lit(weight).alias("weight"),
             F.lit(threshold).alias("threshold"), F.lit(error).alias("inner_score"), F.count("*").alias("n"),
             F.avg(take.cast("int")).alias("first_share"),
             (0.5 * pick("we") / F.sum("nw") + 0.5 * pick("ce") / F.sum("nc")).alias("heldout_score"),
         )
-        out = row if out is None else out.unionByName(row)
+
+    # fits of different outer folds are independent jobs on the same kept table
+    with ThreadPool(outer) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(run), range(outer))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -246,7 +246,7 @@ gt AS (SELECT id, system, avg(lp) AS glp FROM hg JOIN dg USING (language, gram)
 ft AS (SELECT s.*, coalesce(o.oov, 0) AS oov, coalesce(gt.glp, 0) AS glp, len(w) AS words,
     len(list_filter(w, lambda x: length(x) = 1))::DOUBLE / greatest(len(w), 1) AS single
   FROM (SELECT *, list_filter(string_split(hypothesis, ' '), lambda x: x <> '') AS w FROM scored) s LEFT JOIN o USING (id, system) LEFT JOIN gt USING (id, system)),
-rf AS (SELECT a.id, a.speaker_id, a.nw, a.nc, a.we AS awe, a.ce AS ace, b.we AS bwe, b.ce AS bce, a.hypothesis AS at, b.hypothesis AS bt,
+rf AS (SELECT a.id, a.speaker_id, a.nw, a.nc, a.we AS awe, a.ce AS ace, b.we AS bwe, b.ce AS bce, a.hypothesis AS ta, b.hypothesis AS tb,
     b.glp - a.glp > 1e-9 AND a.words <= 8 AND a.single >= 0.3::DOUBLE AND b.words::DOUBLE / greatest(a.words, 1) >= 2.5 AS collapsed,
     b.glp - a.glp > 1e-9 AS better, a.oov - b.oov AS gain, """ + PAIR_ERROR.format("a.hypothesis", "b.hypothesis") + """ AS e
   FROM ft a JOIN ft b ON a.id = b.id AND a.system = 'drop7' AND b.system = 'swap11')"""
@@ -256,8 +256,7 @@ rf AS (SELECT a.id, a.speaker_id, a.nw, a.nc, a.we AS awe, a.ce AS ace, b.we AS
 WITH {OOV}, {FEATURES}
 SELECT id, collapsed OR (better AND e <= 0.3::DOUBLE AND gain > -0.2::DOUBLE) AS switched FROM rf""")
 def m15(spark, d):
-    rule = M.collapse_switch(_rule_features(spark, d), "a", "b", max_edit=0.3, min_oov_gain=-0.2)
-    return _rule_features(spark, d).select("id", rule.alias("switched"))
+    return _rule_features(spark, d).select("id", M.collapse_switch("a", "b", max_edit=0.3, min_oov_gain=-0.2).alias("switched"))
 
 
 @query("m16_anomaly_reasons")
@@ -376,7 +375,7 @@ def m24(spark, d):
 WITH {OOV}, {FEATURES},
 g AS (SELECT * FROM (SELECT unnest([0.05, 0.1, 0.2, 0.4])::DOUBLE AS max_edit), (SELECT unnest([-0.2, -0.05, 0.0, 0.05])::DOUBLE AS min_gain)),
 x AS (SELECT {FOLD} AS fold, g.*, collapsed OR (better AND e <= max_edit AND gain > min_gain) AS sw, rf.* FROM rf, g),
-p AS (SELECT fold, max_edit, min_gain, count(*) FILTER (sw AND at <> bt) AS switches, sum(CASE WHEN sw THEN bwe ELSE awe END) AS we,
+p AS (SELECT fold, max_edit, min_gain, count(*) FILTER (sw AND ta <> tb) AS switches, sum(CASE WHEN sw THEN bwe ELSE awe END) AS we,
   sum(CASE WHEN sw THEN bce ELSE ace END) AS ce, sum(nw) AS nw, sum(nc) AS nc FROM x GROUP BY ALL),
 t AS (SELECT *, (sum(switches) OVER s - switches)::BIGINT AS t_switches,
   0.5 * (sum(we) OVER s - we)::DOUBLE / (sum(nw) OVER s - nw) + 0.5 * (sum(ce) OVER s - ce)::DOUBLE / (sum(nc) OVER s - nc) AS train
@@ -387,7 +386,7 @@ SELECT fold, R6(max_edit) AS max_edit, R6(min_gain) AS min_gain, t_switches, R6(
 def m25(spark, d):
     f = _rule_features(spark, d).withColumn("fold", G.hash_fold(F.col("speaker_id"), "20260809:oof", 5))
     rows = [
-        F.struct(F.lit(e).alias("max_edit"), F.lit(g).alias("min_gain"), M.collapse_switch(f, "a", "b", max_edit=e, min_oov_gain=g).alias("sw"))
+        F.struct(F.lit(e).alias("max_edit"), F.lit(g).alias("min_gain"), M.collapse_switch("a", "b", max_edit=e, min_oov_gain=g).alias("sw"))
         for e in (0.05, 0.1, 0.2, 0.4) for g in (-0.2, -0.05, 0.0, 0.05)
     ]
     pick = lambda c: F.sum(F.when(F.col("sw"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))).alias(c)
