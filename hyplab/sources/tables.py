@@ -57,7 +57,7 @@ def write_ordered(df: DataFrame, path: str, order: str, columns: Sequence[str] =
     The order is a range partitioning and a sort inside parts, so file order is row
     order and no task holds the whole table.
     """
-    df.orderBy(order).select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("emptyValue", "").csv(path)
+    df.orderBy(order).select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", "\"").option("emptyValue", "").csv(path)
 
 
 def round_trip(written: DataFrame, source: DataFrame, key: str, text: str) -> DataFrame:
