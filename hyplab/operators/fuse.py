@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from hyplab.functions import distance as D, fixed, kernels as K, text as T
-from hyplab.operators import counts as C, ordering as O, score as S
+from hyplab.functions.kernels import align_words
+from hyplab.operators import ordering as O, score as S
+from hyplab.operators.counts import END, START
 
 
 def fuse_two(
@@ -112,7 +114,7 @@ _PAIR = ArrayType(StructType([StructField("a", StringType()), StructField("b", S
 
 
 def _slots(first: str, second: str) -> list[tuple[str | None, str | None]]:
-    return [(o["ref"], o["hyp"]) for o in K._align(first.split(), second.split(), True)]
+    return [(o["ref"], o["hyp"]) for o in align_words(first.split(), second.split(), True)]
 
 
 @F.pandas_udf(_PAIR)
@@ -121,7 +123,7 @@ def _transitions(first: pd.Series, second: pd.Series) -> pd.Series:
 
     def pairs(x: str, y: str) -> list[dict[str, str]]:
         seen: dict[tuple[str, str], None] = {}
-        ends = {C.START}
+        ends = {START}
         for slot in _slots(x, y):
             words = {w for w in slot if w is not None}
             for w in words:
@@ -148,7 +150,7 @@ def _lattice_kernel(lm_weight: float, first_bias: float, deletion: float, beam:
                     for word, cost in choices:
                         longer, value = path, total + cost
                         if word is not None:
-                            value += lm_weight * logp[(path[-1] if path else C.START, word)]
+                            value += lm_weight * logp[(path[-1] if path else START, word)]
                             longer = (*path, word)
                         if longer not in grown or value > grown[longer]:
                             grown[longer] = value
@@ -171,7 +173,7 @@ def lattice_fusion(
     """
     f, s = F.col(first), F.col(second)
     differ = df.where(f != s).select(key, language, first, second, _transitions(f, s).alias("_p"))
-    vocab = unigrams.where(~F.col("word").isin(C.START, C.END)).groupBy(language).agg(F.greatest(F.count("*"), F.lit(2)).alias("_v"))
+    vocab = unigrams.where(~F.col("word").isin(START, END)).groupBy(language).agg(F.greatest(F.count("*"), F.lit(2)).alias("_v"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     lp = F.log10((zero("n") + smoothing) / F.greatest(F.lit(smoothing), zero("_u") + smoothing * F.col("_v")))
     steps = (

@@ -139,3 +139,24 @@ def test_report_honesty(spark):
         P.report_rows(m, "language", "own", "base", report_slice="r", select_slice="r")
     with pytest.raises(Exception, match="contradicts"):
         P.report_rows(m.withColumn("claim", F.lit(False)), "language", "own", "base", report_slice="r", select_slice="s", claimed="claim").collect()
+
+
+def test_lattice_fusion(spark):
+    df = spark.createDataFrame([(1, "l", "na ko", "na ba ko"), (2, "l", "", "x"), (3, "l", "a", "a")], "id int, language string, f string, s string")
+    uni = spark.createDataFrame([("l", w, 5) for w in ("<s>", "</s>", "na", "ba", "ko", "a", "x")], "language string, word string, n long")
+    bi = spark.createDataFrame([("l", "na", "ba", 5), ("l", "ba", "ko", 5), ("l", "<s>", "na", 5)], "language string, a string, b string, n long")
+    fuse = lambda **k: {r["id"]: r["fused"] for r in M.lattice_fusion(df, "id", "f", "s", bi, uni, **k).collect()}
+    assert fuse(lm_weight=0.0, first_bias=1.0, deletion=0.0) == {1: "na ko", 2: ".", 3: "a"}
+    assert fuse(lm_weight=0.0, first_bias=-1.0, deletion=0.0) == {1: "na ba ko", 2: "x", 3: "a"}
+    assert fuse(lm_weight=1.0, first_bias=0.0, deletion=-5.0)[1] == "na ba ko"
+
+
+def test_anomaly_reasons_and_medoid(spark):
+    rows = [("na ko", "na k", 0.0, 0.0, 0.5, "dangling_one_character_terminal"), ("na moko", "na moko mok", 0.0, 0.0, 0.5, "trailing_prefix_fragment"),
+            ("aa bb cc", "aa xx yy zz cc", 0.0, 0.3, 0.1, "localized_one_to_three_expansion;oov_blowup_gt_0.10"), ("aa bb", "aa bb", 0.0, 0.0, 0.0, "")]
+    df = spark.createDataFrame(rows, "a string, b string, oa double, ob double, d double, want string")
+    got = df.select("want", M.anomaly_reasons(*[F.col(c) for c in ("a", "b", "oa", "ob", "d")]).alias("r")).collect()
+    # a dangling one-letter word is also a prefix of the word before it in the first row
+    assert [set(r["r"].split(";")) >= set(r["want"].split(";")) for r in got] == [True] * 4 and got[3]["r"] == ""
+    hyps = spark.createDataFrame([(1, 0, "p", "abcd"), (1, 1, "q", "abce"), (1, 2, "r", "abxe"), (2, 0, "p", "same"), (2, 1, "q", "same")], "id int, pos int, system string, hypothesis string")
+    assert {r["id"]: r["text"] for r in M.medoid(hyps, "p").collect()} == {1: "abce", 2: "same"}
