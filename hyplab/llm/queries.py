@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hyplab.llm import line_rules, near_duplicates, quality_classifier
+from hyplab.llm import line_rules, mixing, near_duplicates, packing, quality_classifier, sharding
+from hyplab.llm.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,43 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS o FROM
 @register("op5_near_duplicates", OP5_SQL)
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+# The mix by sorting: documents by place, taken up to the budget, the one at the boundary if that comes nearer.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w
+  FROM d GROUP BY source),
+f AS (SELECT *, 2 * source_size AS cap, 2 * source_size / w AS r, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER
+    (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+l AS (SELECT level FROM f WHERE level * w <= cap ORDER BY r, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, round(least(cap, coalesce((SELECT level FROM l) * w, cap)), 6) AS target FROM f),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
+p AS (SELECT d.*, source_size, target, base, target - base * source_size AS need,
+    sum(size) OVER (PARTITION BY d.source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(size) OVER (PARTITION BY d.source, place) AS same
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+  CAST(size * (base + CASE WHEN need > 0 AND (upto <= need OR (upto - same <= need AND (need - (upto - same)) * 2 > same)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM p
+"""
+
+
+@register("op8_source_mixing", OP8_SQL)
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = cut(mixing.measure(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_place"))
+    mixed = mixing.take(slim, mixing.plan(slim, mixing.targets(slim)))
+    return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
