@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hyplab.llm.store import ship
+
 BLOCK_BYTES = 1 << 20
 _SEED = 20240229
 _SPACES = [0x20, *range(0x09, 0x0E)]
@@ -48,6 +50,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, at least ``n`` of each."""
+    return _powers(_room(n))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))
@@ -71,7 +78,7 @@ class Block:
     def prefix(self, table: np.ndarray | None = None) -> np.ndarray:
         """Running polynomial sums, from which ``span_hash`` takes any span."""
         data = self.data if table is None else table[self.data]
-        up, _ = _powers(_room(len(data)))
+        up, _ = powers(len(data))
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_byte_codes()[data] * up[: len(data)], out=out[1:])
         return out
@@ -79,7 +86,7 @@ class Block:
     @staticmethod
     def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte spans [start, end), the same wherever a span stands."""
-        _, down = _powers(_room(len(prefix) - 1))
+        _, down = powers(len(prefix) - 1)
         lengths = (end - start).astype(np.uint64)
         return mix((prefix[end] - prefix[start]) * down[start] + lengths * np.uint64(0x2545F4914F6CDD1D))
 
@@ -179,6 +186,7 @@ def map_batches(
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,9 +10,10 @@ signatures differ in as many lanes as MinHash draws differ, on average 48 * (1 -
   All pairs under the threshold meet in a key. At a similarity of 0.75 a pair differs
   in more than 23 lanes and meets nowhere with a chance of 1 in 10 million; above it
   far less.
-* **First links.** Documents of a key are compared with its least member, not with
-  each other, and pairs that pass in size and signature are confirmed on their full
-  sets. That links groups of copies of any size by one row per member.
+* **First links.** Members of a key are compared with one leading member, not with each
+  other, and pairs that pass in size and signature are confirmed on their full sets.
+  That links groups of copies of any size by one row per member. Two more turns do the
+  same for components: one member of each component in a key with one of its largest.
 * **The rest of a key.** Keys whose members are still in several components could hide
   a link. Their documents (and only these) are compared by rare shingles: two sets of
   the wanted similarity share one of their rarest quarter, at a place early enough for
@@ -23,8 +24,8 @@ bucket or candidate list is capped.
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer
 than five words is one shingle. Rows that share a doc_id and text are the same
-document; rows that share only a doc_id are two. A row without doc_id can belong to a
-class but never names it. Other columns are ignored; an empty table gives an empty
+document; rows that share only a doc_id are two. A row without doc_id never names a
+component; it is kept only where no member has a doc_id. Other columns are ignored; an empty table gives an empty
 result; very long texts are worked whole.
 """
 
@@ -46,6 +47,7 @@ CHUNKS, PER_CHUNK = 12, 4
 LANES = CHUNKS * PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 RARITY_BITS = 18
+TURNS = 3
 
 _draw = np.random.default_rng(48)
 _FACTOR = _draw.integers(0, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -213,13 +215,35 @@ def _rare_pairs(rest: DataFrame) -> DataFrame:
     rows = rows.join(mixed, "shingle")
     side = lambda x: rows.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "node", "root")])
     possible = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return (
-        side("a").join(side("b"), "shingle")
-        .where("node_a < node_b AND root_a <> root_b")
-        # overlap * 100 >= (n_a + n_b - overlap) * SIMILAR
-        .where(possible * (100 + SIMILAR) >= (F.col("n_a") + F.col("n_b")) * SIMILAR)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    )
+    # overlap * 100 >= (n_a + n_b - overlap) * SIMILAR
+    enough = possible * (100 + SIMILAR) >= (F.col("n_a") + F.col("n_b")) * SIMILAR
+    met = side("a").join(side("b"), "shingle").where("node_a < node_b AND root_a <> root_b").where(enough)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, node and root (the node itself where it has no links yet)."""
+    if roots is None:
+        return members.select("key", "node", F.col("node").alias("root"))
+    return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _spokes(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): in each key one member of every component with one member of its largest component.
+
+    Rows are linear in ``placed``. Each turn draws other members.
+    """
+    draw = F.xxhash64("node", F.lit(turn))
+    drawn = placed.groupBy("key", "root").agg(F.min_by("node", draw).alias("node"), F.count("*").alias("n"))
+    # where components are equally large, the same one should lead in many keys
+    lead = F.max(F.struct("n", "root", "node"))
+    hubs = drawn.groupBy("key").agg(lead.alias("hub"), F.count("*").alias("k")).where("k > 1")
+    pairs = drawn.join(hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.root").alias("hub")), "key")
+    return pairs.where("root <> hub").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -235,15 +259,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     involved = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
     texts = cut(_texts(docs, involved))
 
-    first = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    roots = stars(confirm(_plausible(first, classes), texts))
+    roots = None
+    for turn in range(TURNS):
+        linked = confirm(_plausible(_spokes(_placed(members, roots), turn), classes), texts)
+        roots = stars(linked if roots is None else linked.union(_edges(roots)))
 
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = cut(_placed(members, roots))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = cut(placed.join(mixed, "key").select("node", "root").distinct().join(texts, "node"))
-    more = cut(confirm(_plausible(_rare_pairs(rest), classes), texts))
+    more = cut(confirm(_rare_pairs(rest), texts))
     if more.limit(1).count():
-        roots = stars(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = stars(more.union(_edges(roots)))
 
     rooted = classes.select("node", "doc_id").join(roots, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -251,4 +277,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = rooted.join(least, "root").select("node", "component_id")
     return sigs.select("doc_id", "n_shingles", "node").join(names, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hyplab.llm import kernels as K
-from hyplab.llm.store import cut
+from hyplab.llm.store import cut, ship
 
 OUT = "doc_id long, piece long, first_word long, n_words long, sequence_id long, place long, used long"
 
@@ -119,6 +119,8 @@ def pack(docs: DataFrame, capacity: int = 2048, cell_rows: int = 8192, cluster:
     each = alike.select("doc_id", "source", "cluster", "size", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
     dealt = each.withColumn("cell", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(cells)))
 
+    ship(docs.sparkSession)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = pack_cell(rows, capacity)
         ids = rows["doc_id"].loc[out.pop("row")].reset_index(drop=True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hyplab.llm import line_rules, line_templates, mixing, near_duplicates, packing, quality_classifier, sharding
+from hyplab.llm import line_rules, line_templates, mixing, near_duplicates, packing, quality_classifier, sentence_spans, sharding, simhash, toxicity
 from hyplab.llm.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,31 @@ FROM v LEFT JOIN kept USING (r)
 @register("op10_line_templates", OP10_SQL)
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op4_sentence_spans")
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints; rows whose id is divisible by 50 also ask how many other rows lie within the radius (n_within)."""
+    made = cut(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    queries = made.where(asks)
+    around = simhash.near(queries, made).groupBy("query").agg((F.sum("n") - 1).alias("n_within"))
+    asked = queries.join(around, queries["fp"] == around["query"], "left").drop("query")
+    others = made.where(~asks).withColumn("n_within", F.lit(None).cast("long"))
+    return asked.unionByName(others).select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_text(F.col("fp")).alias("fingerprint"),
+        simhash.as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "n_within")
+
+
+@register("op2_toxicity_chain")
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    taught = toxicity.weak_categories(docs, toxicity.sample_labels(table(spark, sf_dir, "labels")))
+    chain = toxicity.fit(cut(taught), (*toxicity.SEEDS, "toxic"))
+    scored = toxicity.score(docs, chain)
+    return scored.withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))

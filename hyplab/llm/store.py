@@ -1,8 +1,10 @@
-"""Cutting lineage in the folder that all executors share."""
+"""What tasks need from outside their plan: the shared checkpoint folder and this package."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per Spark context, so that its functions can be loaded there."""
+    context = spark.sparkContext
+    if getattr(context, "_hyplab_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="hyplab-package-")) / "hyplab.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, Path(top.name) / f.relative_to(top))
+    context.addPyFile(str(target))
+    context._hyplab_shipped = True
