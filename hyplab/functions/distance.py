@@ -100,6 +100,11 @@ def pair_error(a: Column, b: Column) -> Column:
     )
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """1 minus the pair error of two trimmed texts; a missing text is empty, two empty texts are alike."""
+    return 1.0 - pair_error(F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit(""))))
+
+
 def word_ratio(new: Column, old: Column) -> Column:
     """Words of ``new`` over words of ``old`` (at least one)."""
     return T.n_words(new) / F.greatest(T.n_words(old), F.lit(1))

@@ -111,3 +111,14 @@ MASS_GRID = {
 ECDF_GRID = tuple(round(0.05 * k, 2) for k in range(1, 20)) + (1.0, 1.5, 2.0, 3.0, 5.0, 8.0, 15.0, 30.0, 60.0, 120.0)
 DECISION_GRID = (0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 1.0)
 SWAP_GAIN, SWAP_LOSS_B, SWAP_LOSS_C = 0.5692, 0.3137, 0.1767
+
+# Reasons against an override, in the order of their tests.
+ANOMALY_REASONS = (
+    "dangling_one_character_terminal", "trailing_prefix_fragment", "localized_one_to_three_expansion",
+    "production_oov_blowup_gt_0.10",
+)
+
+# Thresholds of the fallback policies; their names carry the value.
+FALLBACK_RATIO_ABOVE = (1.20, 1.30, 1.40, 1.60, 1.80)
+FALLBACK_RATIO_BELOW = (0.55, 0.65, 0.75, 0.85)
+FALLBACK_SIMILARITY_BELOW = (0.40, 0.55, 0.70, 0.85)

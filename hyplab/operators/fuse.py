@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from hyplab.functions import distance as D, fixed, kernels as K, text as T
-from hyplab.functions.kernels import align_words
 from hyplab.operators import ordering as O, score as S
 from hyplab.operators.counts import END, START
 
@@ -110,116 +109,145 @@ def plurality(hyps: DataFrame) -> DataFrame:
 
 # --- M07: lattice fusion ------------------------------------------------------------------
 
-_PAIR = ArrayType(StructType([StructField("a", StringType()), StructField("b", StringType())]))
+_STEPS = ArrayType(StructType([StructField("a", StringType()), StructField("b", StringType())]))
 
 
-def _slots(first: str, second: str) -> list[tuple[str | None, str | None]]:
-    return [(o["ref"], o["hyp"]) for o in align_words(first.split(), second.split(), True)]
+@F.pandas_udf(_STEPS)
+def _transitions(slots: pd.Series) -> pd.Series:
+    """Word pairs that can follow each other on some path through the slots."""
 
-
-@F.pandas_udf(_PAIR)
-def _transitions(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Word pairs that can follow each other on some path through the two texts."""
-
-    def pairs(x: str, y: str) -> list[dict[str, str]]:
+    def pairs(slots) -> list[dict[str, str]]:
         seen: dict[tuple[str, str], None] = {}
         ends = {START}
-        for slot in _slots(x, y):
-            words = {w for w in slot if w is not None}
-            for w in words:
-                seen.update({(e, w): None for e in ends})
-            ends = words | ends if None in slot else words
+        for slot in slots:
+            words = {w for w in (slot["ref"], slot["hyp"]) if w is not None}
+            seen.update({(e, w): None for w in sorted(words) for e in sorted(ends)})
+            ends = words | ends if slot["op"] in "DI" else words
         return [{"a": a, "b": b} for a, b in seen]
 
-    return pd.Series([pairs(x, y) for x, y in zip(first, second)])
+    return pd.Series([pairs(x) for x in slots])
 
 
-def _lattice_kernel(lm_weight: float, first_bias: float, deletion: float, beam: int):
+def _best_path(lm_weight: float, first_bias: float, deletion: float):
+    """Exact best path: under a bigram model a path's future depends on its last word only,
+    so each slot keeps the best way to every last word."""
+
     @F.pandas_udf(StringType())
-    def kernel(first: pd.Series, second: pd.Series, steps: pd.Series) -> pd.Series:
-        def fuse(x: str, y: str, lm) -> str:
+    def kernel(slots: pd.Series, steps: pd.Series) -> pd.Series:
+        def solve(slots, lm) -> str:
             logp = {(s["a"], s["b"]): s["lp"] for s in lm} if lm is not None else {}
-            paths: dict[tuple[str, ...], float] = {(): 0.0}
-            for a, b in _slots(x, y):
-                if a == b:
-                    choices = [(a, 0.0)]
-                else:
-                    choices = [(a, first_bias + (deletion if a is None else 0.0)), (b, deletion if b is None else 0.0)]
-                grown: dict[tuple[str, ...], float] = {}
-                for path, total in paths.items():
-                    for word, cost in choices:
-                        longer, value = path, total + cost
-                        if word is not None:
-                            value += lm_weight * logp[(path[-1] if path else START, word)]
-                            longer = (*path, word)
-                        if longer not in grown or value > grown[longer]:
-                            grown[longer] = value
-                paths = dict(sorted(grown.items(), key=lambda kv: -kv[1])[:beam])
-            return " ".join(next(iter(paths))) or "."
-
-        return pd.Series([fuse(*row) for row in zip(first, second, steps)])
+            best = {START: (0.0, None)}  # last word -> value and chain of words, newest first
+            for slot in slots:
+                ways: dict[str, tuple[float, tuple | None]] = {}
+
+                def offer(end: str, value: float, chain) -> None:
+                    if end not in ways or value > ways[end][0]:
+                        ways[end] = (value, chain)
+
+                options = {slot["ref"]: 0.0} if slot["op"] == "C" else {slot["ref"]: first_bias, slot["hyp"]: 0.0}
+                for word, bias in options.items():
+                    for end, (value, chain) in best.items():
+                        if word is None:
+                            offer(end, value + bias + deletion, chain)
+                        else:
+                            offer(word, value + bias + lm_weight * logp[(end, word)], (word, chain))
+                best = ways
+            chain, words = max(best.values(), key=lambda way: way[0])[1], []
+            while chain is not None:
+                words.append(chain[0])
+                chain = chain[1]
+            return " ".join(reversed(words)) or "."
+
+        return pd.Series([solve(*row) for row in zip(slots, steps)])
 
     return kernel
 
 
 def lattice_fusion(
     df: DataFrame, key: str, first: str, second: str, bigrams: DataFrame, unigrams: DataFrame, language: str = "language", *,
-    lm_weight: float = 0.3, first_bias: float = 0.2, deletion: float = -0.4, beam: int = 32, smoothing: float = 0.1,
+    lm_weight: float = 0.3, first_bias: float = 0.2, deletion: float = -0.4, smoothing: float = 0.1,
 ) -> DataFrame:
     """Best path through the alignment of two texts under a bigram model.
 
-    The model is never shipped to the kernel. Only word pairs that some path uses are
-    joined to the count tables; the kernel gets the scores of its own row.
+    The model is never shipped to the kernel. The distinct word pairs that some path
+    uses are scored against the count tables first, so a frequent pair meets them once;
+    the kernel gets the scores of its own row.
     """
     f, s = F.col(first), F.col(second)
-    differ = df.where(f != s).select(key, language, first, second, _transitions(f, s).alias("_p"))
+    differ = df.where(f != s).select(key, language, K.alignment(f, s, True).alias("_slots")).withColumn("_p", _transitions("_slots"))
     vocab = unigrams.where(~F.col("word").isin(START, END)).groupBy(language).agg(F.greatest(F.count("*"), F.lit(2)).alias("_v"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     lp = F.log10((zero("n") + smoothing) / F.greatest(F.lit(smoothing), zero("_u") + smoothing * F.col("_v")))
-    steps = (
-        differ.select(key, language, F.inline("_p"))
+    each = differ.select(key, language, F.inline("_p"))
+    scored = (
+        each.select(language, "a", "b").distinct()
         .join(bigrams, [language, "a", "b"], "left")
         .join(unigrams.select(language, F.col("word").alias("a"), F.col("n").alias("_u")), [language, "a"], "left")
         .join(F.broadcast(vocab), language)
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("a", "b", lp.alias("lp"))).alias("_steps"))
+        .select(language, "a", "b", lp.alias("lp"))
     )
-    kernel = _lattice_kernel(lm_weight, first_bias, deletion, beam)
-    fused = differ.join(steps, key, "left").select(key, kernel(f, s, F.col("_steps")).alias("fused"))
+    steps = each.join(scored, [language, "a", "b"]).groupBy(key).agg(F.collect_list(F.struct("a", "b", "lp")).alias("_steps"))
+    kernel = _best_path(lm_weight, first_bias, deletion)
+    fused = differ.join(steps, key, "left").select(key, kernel("_slots", "_steps").alias("fused"))
     return df.join(fused, key, "left").select(
         key, F.coalesce("fused", F.when(f == "", ".").otherwise(f)).alias("fused")
     )
 
 
-# --- similarity-driven selection ----------------------------------------------------------
+# --- M04: word merge ----------------------------------------------------------------------
 
 
-def similarity_column(mode: str):
-    """``ratio`` is the matching-block kernel; ``edits`` stays in the JVM (1 - pair error)."""
-    if mode == "ratio":
-        return K.similarity
-    return lambda a, b: 1.0 - D.pair_error(a, b)
+def word_merge(floor: Column, other: Column, ops: Column, *, min_similarity: float = 0.72, max_edits: int | None = None,
+               allow_insert: bool = False, allow_delete: bool = False) -> Column:
+    """The floor with single words taken from the other text, along their word alignment ``ops`` (floor first).
 
+    A substituted word is taken when both forms are similar enough, the first
+    ``max_edits`` of them; inserted and deleted words follow the other text only where allowed.
+    An empty text or '.' gives way to the other one.
+    """
+    alike = lambda o: 1.0 - F.levenshtein(o["ref"], o["hyp"]) / F.greatest(F.length(o["ref"]), F.length(o["hyp"])) >= min_similarity
+    close = lambda o: (o["op"] == "S") & alike(o)
+
+    def step(acc: Column, o: Column) -> Column:
+        take = close(o) & (acc["edits"] < F.lit(max_edits if max_edits is not None else 2**31 - 1))
+        word = (
+            F.when(o["op"] == "I", o["hyp"] if allow_insert else F.lit(None).cast("string"))
+            .when(o["op"] == "D", F.lit(None).cast("string") if allow_delete else o["ref"])
+            .when(take, o["hyp"]).otherwise(o["ref"])
+        )
+        words = F.when(word.isNull(), acc["words"]).otherwise(F.concat(acc["words"], F.array(word)))
+        return F.struct((acc["edits"] + take.cast("int")).alias("edits"), words.alias("words"))
 
-def medoid(hyps: DataFrame, incumbent: str, mode: str = "ratio") -> DataFrame:
+    start = F.struct(F.lit(0).alias("edits"), F.array().cast("array<string>").alias("words"))
+    merged = F.array_join(F.aggregate(ops, start, step)["words"], " ")
+    empty = lambda c: (c == "") | (c == ".")
+    return (
+        F.when(empty(other), F.when(floor == "", ".").otherwise(floor)).when(empty(floor), other)
+        .when(merged == "", floor).otherwise(merged)
+    )
+
+
+# --- similarity-driven selection ----------------------------------------------------------
+
+
+def medoid(hyps: DataFrame, incumbent: str) -> DataFrame:
     """The observed text with the least disagreement; ties go to the incumbent, then to the first."""
-    sim = similarity_column(mode)
     text = F.when(F.coalesce("hypothesis", F.lit("")) == "", ".").otherwise(F.col("hypothesis"))
     distinct = hyps.groupBy("id", text.alias("text")).agg(
         F.min("pos").alias("pos"), F.max((F.col("system") == incumbent).cast("int")).alias("_inc")
     )
     a, b = distinct, distinct.select("id", F.col("text").alias("_text"), F.col("pos").alias("_pos"))
-    cost = a.join(b, "id").where(F.col("pos") != F.col("_pos")).withColumn("_d", 1.0 - sim(F.col("text"), F.col("_text")))
+    cost = a.join(b, "id").where(F.col("pos") != F.col("_pos")).withColumn("_d", 1.0 - D.similarity(F.col("text"), F.col("_text")))
     costs = cost.groupBy("id", "text", "pos", "_inc").agg(F.sum("_d").alias("cost"))
     alone = distinct.join(costs.select("id").distinct(), "id", "left_anti").withColumn("cost", F.lit(0.0))
     order = F.struct(F.round("cost", 9), -F.col("_inc"), F.col("pos"))
     return costs.unionByName(alone).groupBy("id").agg(F.min_by(F.struct("text", "cost"), order).alias("b")).select("id", "b.*")
 
 
-def similarity_tiers(df: DataFrame, key: str, base: str, challenger: str, helper: str, tiers: Sequence[float], mode: str = "ratio") -> DataFrame:
+def similarity_tiers(df: DataFrame, key: str, base: str, challenger: str, helper: str, tiers: Sequence[float]) -> DataFrame:
     """Texts under every similarity tier, the exact-consensus tier and the full tier."""
     b, c = F.col(base), F.col(challenger)
-    staged = df.where(c != "").withColumn("_s", similarity_column(mode)(b, c))
+    staged = df.where(c != "").withColumn("_s", D.similarity(b, c))
     rows = [F.struct(F.lit(f"sim{round(t * 100)}").alias("tier"), (F.col("_s") >= t).alias("take")) for t in tiers]
     rows += [
         F.struct(F.lit("consensus").alias("tier"), (c == F.col(helper)).alias("take")),
@@ -236,10 +264,10 @@ def exact_agreement(base: Column, a: Column, b: Column) -> Column:
 
 
 def support_select(df: DataFrame, key: str, base: str, challenger: str, helpers: Sequence[tuple[str, float]],
-                   closer: Sequence[tuple[str, float]], length: tuple[float, float], mode: str = "ratio") -> DataFrame:
+                   closer: Sequence[tuple[str, float]], length: tuple[float, float]) -> DataFrame:
     """The challenger needs a minimum similarity to some helpers, to be closer to others
     than the base (by a margin), and a length band."""
-    sim = similarity_column(mode)
+    sim = D.similarity
     b, c = F.col(base), F.col(challenger)
     ok = D.word_ratio(c, b).between(*length)
     for helper, least in helpers:
@@ -272,7 +300,7 @@ def word_op_policies(df: DataFrame, key: str, base: str, challenger: str, helper
     ops = lambda left, right: K.alignment(left, right)
     n = lambda col, op: F.size(F.filter(F.col(col), lambda o: o["op"] == op))
     staged = df.where((x != "") & (x != b)).withColumns(
-        {"_sb": K.similarity(b, x), "_sx": K.similarity(x, m), "_bm": ops(b, m), "_bx": ops(b, x), "_mx": ops(m, x)}
+        {"_sb": D.similarity(b, x), "_sx": D.similarity(x, m), "_bm": ops(b, m), "_bx": ops(b, x), "_mx": ops(m, x)}
     )
     wrong = lambda col: n(col, "S") + n(col, "I") + n(col, "D")
     same_count = T.n_words(b) == T.n_words(m)
@@ -313,16 +341,22 @@ def collapse_switch(a: str, b: str, *, max_words: int = 8, min_single: float = 0
     return better & (collapsed | close)
 
 
-def anomaly_reasons(base: Column, other: Column, base_oov: Column, other_oov: Column, disagreement: Column) -> Column:
-    """Reasons against an override, joined by ';' ('' is clean)."""
+def anomaly_reasons(base: Column, other: Column, base_oov: Column, other_oov: Column, disagreement: Column, ops: Column) -> Column:
+    """Reasons against an override, joined by ';' ('' is clean).
+
+    ``ops`` aligns the base with the other text. An expansion is a run of differences in
+    which one base word stands against three or more.
+    """
     w = T.words(other)
     last, before = F.get(w, F.size(w) - 1), F.get(w, F.size(w) - 2)
-    reasons = F.array(
-        F.when((F.size(w) > 0) & (F.length(last) <= 1), "dangling_one_character_terminal"),
-        F.when((F.size(w) >= 2) & (last != before) & (before.startswith(last) | last.startswith(before)), "trailing_prefix_fragment"),
-        F.when(K.expands_one_to_three(base, other, disagreement <= 0.20), "localized_one_to_three_expansion"),
-        F.when(other_oov > base_oov + 0.10, "oov_blowup_gt_0.10"),
+    letters = F.array_join(F.transform(ops, lambda o: o["op"]), "")
+    tests = (
+        (F.size(w) > 0) & (F.length(last) <= 1),
+        (F.size(w) >= 2) & (last != before) & (before.startswith(last) | last.startswith(before)),
+        (disagreement <= 0.20) & letters.rlike("(^|C)(SII+|ISI+|II+SI*|DIII+|IDII+|IIDI+|III+DI*)(C|$)"),
+        other_oov > base_oov + 0.10,
     )
+    reasons = F.array(*[F.when(test, name) for name, test in zip(fixed.ANOMALY_REASONS, tests)])
     return F.array_join(F.filter(reasons, lambda r: r.isNotNull()), ";")
 
 
@@ -417,11 +451,11 @@ def threshold_sweep(feats: DataFrame, ratio: Column, eligible: Column, threshold
     return S.with_rates(swept).select("threshold", "switches", "wer", "cer", "score")
 
 
-def fallback_policies(df: DataFrame, key: str, candidate: str, incumbent: str, mode: str = "ratio") -> DataFrame:
+def fallback_policies(df: DataFrame, key: str, candidate: str, incumbent: str) -> DataFrame:
     """Which rows go back to the incumbent under every named policy; (id, policy, fallback)."""
     c, b = F.col(candidate), F.col(incumbent)
     staged = df.withColumns({
-        "_r": D.word_ratio(c, b), "_s": similarity_column(mode)(c, b),
+        "_r": D.word_ratio(c, b), "_s": D.similarity(c, b),
         "_dup": T.adjacent_repeats(T.words(c)) > 0,
     })
     r, s = F.col("_r"), F.col("_s")
@@ -429,9 +463,9 @@ def fallback_policies(df: DataFrame, key: str, candidate: str, incumbent: str, m
         "candidate_all": F.lit(False), "incumbent_all": F.lit(True),
         "incumbent_if_trailing_aa": c.rlike("(^| )aa$"),
         "incumbent_if_trailing_filler": c.rlike("(^| )(aa|ah|ee|eh)$"),
-        **{f"incumbent_if_word_ratio_gt_{t:.2f}": r > t for t in (1.20, 1.30, 1.40, 1.60, 1.80)},
-        **{f"incumbent_if_word_ratio_lt_{t:.2f}": r < t for t in (0.55, 0.65, 0.75, 0.85)},
-        **{f"incumbent_if_similarity_lt_{t:.2f}": s < t for t in (0.40, 0.55, 0.70, 0.85)},
+        **{f"incumbent_if_word_ratio_gt_{t:.2f}": r > t for t in fixed.FALLBACK_RATIO_ABOVE},
+        **{f"incumbent_if_word_ratio_lt_{t:.2f}": r < t for t in fixed.FALLBACK_RATIO_BELOW},
+        **{f"incumbent_if_similarity_lt_{t:.2f}": s < t for t in fixed.FALLBACK_SIMILARITY_BELOW},
         "incumbent_if_duplicate_and_ratio_gt_1.20": F.col("_dup") & (r > 1.20),
     }
     rows = [F.struct(F.lit(n).alias("policy"), x.alias("fallback")) for n, x in rules.items()]

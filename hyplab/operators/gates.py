@@ -50,19 +50,17 @@ def soft_agreement_ok(error: Column, ortho: Column, lp_delta: Column, lo: float
 
 
 def residual_stack(
-    df: DataFrame, *, mode: str = "ratio", min_ortho: float = 2.4, min_lp_delta: float = 0.0, min_p1: float = 0.99, min_similarity: float | None = 0.35,
+    df: DataFrame, *, min_ortho: float = 2.4, min_lp_delta: float = 0.0, min_p1: float = 0.99, min_similarity: float | None = 0.35,
     max_similarity: float | None = None, rivals: tuple[str, ...] = fixed.FAMILIES["ach"], junk: tuple[str, ...] = fixed.JUNK_CODES,
 ) -> DataFrame:
     """The ordered tests of a residual candidate; adds accept, reason and similarity.
 
     Columns: floor_hyp, new_hyp (normalised), p1, lang2, ortho, lp_own, lp_rival, error, already_dual.
     """
-    from hyplab.operators.fuse import similarity_column
-
     floor, new = F.col("floor_hyp"), F.col("new_hyp")
     delta = F.col("lp_own") - F.col("lp_rival")
     staged = df.withColumns({"_fw": T.words(floor), "_nw": T.words(new), "_delta": delta}).withColumn(
-        "similarity", similarity_column(mode)(floor, new)
+        "similarity", D.similarity(floor, new)
     )
     sim, d = F.col("similarity"), F.col("_delta")
     a = strict_ortho_ok(F.col("ortho"), d, min_ortho, min_lp_delta)

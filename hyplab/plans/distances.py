@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hyplab.functions import distance as D, kernels as K
+from hyplab.functions import distance as D
 from hyplab.operators import pairs as P
 from hyplab.plans import views as V
+from hyplab.plans.alignment_sql import alignment
 from hyplab.plans.registry import query
 
 
@@ -30,12 +31,14 @@ def d03(spark, d):
     return V.wide(spark, d).select("id", D.pair_error(F.col("drop7"), F.col("swap11")).alias("error"))
 
 
-@query("d04_similarity")
+@query("d04_similarity", f"SELECT id, system, R6(1 - ({PAIR_ERROR.format('reference', 'hypothesis')})) AS similarity FROM pairs")
 def d04(spark, d):
-    return V.pairs(spark, d).select("id", "system", K.similarity(F.col("reference"), F.col("hypothesis")).alias("similarity"))
+    return V.pairs(spark, d).select("id", "system", D.similarity(F.col("reference"), F.col("hypothesis")).alias("similarity"))
 
 
-@query("d05_word_alignment")
+@query("d05_word_alignment", f"""
+WITH RECURSIVE {alignment("SELECT id, system, reference AS a, hypothesis AS b FROM pairs WHERE reference <> hypothesis")}
+SELECT id, system, step, op, ref, hyp FROM aligned WHERE op <> 'C'""")
 def d05(spark, d):
     return P.alignment_table(V.pairs(spark, d), ["id", "system"], "reference", "hypothesis")
 
@@ -68,7 +71,13 @@ def d07(spark, d):
     return P.agreement(V.hypotheses(spark, d))
 
 
-@query("d07_pair_operations")
+@query("d07_pair_operations", f"""
+WITH RECURSIVE j AS (SELECT a.id, a.system AS system_a, b.system AS system_b, a.hypothesis AS a, b.hypothesis AS b
+  FROM hyp a JOIN hyp b ON a.id = b.id AND a.pos < b.pos), {alignment("SELECT * FROM j WHERE a <> b")},
+n AS (SELECT id, system_a, system_b, count(*) FILTER (op = 'S') AS s, count(*) FILTER (op = 'I') AS i, count(*) FILTER (op = 'D') AS d
+  FROM aligned GROUP BY ALL)
+SELECT id, system_a, system_b, coalesce(s, 0) AS substitutions, coalesce(i, 0) AS insertions, coalesce(d, 0) AS deletions
+FROM j LEFT JOIN n USING (id, system_a, system_b)""")
 def d07_ops(spark, d):
     return P.pair_operations(V.hypotheses(spark, d))
 

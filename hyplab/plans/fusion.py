@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hyplab.functions import distance as D, kernels as K, text as T
+from hyplab.functions import distance as D, fixed, kernels as K, text as T
+from hyplab.functions.fixed import ANOMALY_REASONS
 from hyplab.operators import counts as C, errors as E, fuse as M, joins as J, lexicon as X, lm as L, policy as Y, score as S, select as G
 from hyplab.plans import views as V
+from hyplab.plans.alignment_sql import alignment
 from hyplab.plans.registry import query
 
 PAIR_ERROR = """CASE WHEN {0} = {1} THEN 0 WHEN {0} = '' OR {1} = '' THEN 1
@@ -19,19 +21,34 @@ def lexicon(spark, d):
     return X.lexicon(V.utterances(spark, d))
 
 
-@query("f06_error_types")
+ERROR_OPS = f"""WITH RECURSIVE {alignment("SELECT language, reference AS a, hypothesis AS b FROM pairs WHERE hypothesis NOT IN ('', '.') AND reference <> hypothesis")},
+ops AS (SELECT language, op, ref, hyp, count(*) AS n FROM aligned WHERE op <> 'C' GROUP BY ALL)"""
+
+
+@query("f06_error_types", f"""{ERROR_OPS}
+SELECT language, op, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (op <> 'S' AND ((language = 'en' AND coalesce(ref, hyp) IN ('the', 'and', 'of', 'to'))
+  OR (language = 'fr' AND coalesce(ref, hyp) IN ('le', 'la', 'de')) OR (language = 'de' AND coalesce(ref, hyp) IN ('und', 'der'))
+  OR (language = 'es' AND coalesce(ref, hyp) IN ('de', 'la')))), 0)::BIGINT AS function_words FROM ops GROUP BY ALL""")
 def f06(spark, d):
     ops = E.operations(V.pairs(spark, d), "reference", "hypothesis", "language")
     return E.error_types(ops, "language", {"en": ("the", "and", "of", "to"), "fr": ("le", "la", "de"), "de": ("und", "der"), "es": ("de", "la")})
 
 
-@query("f07_substitution_map")
+@query("f07_substitution_map", f"""{ERROR_OPS},
+b AS (SELECT language, hyp AS word, sum(n)::BIGINT AS total, max((n, ref)) AS best FROM ops WHERE op = 'S' GROUP BY ALL),
+c AS (SELECT language, word, best[2] AS new, best[1] AS n, total FROM b)
+SELECT c.language, c.word, new, c.n, total FROM c LEFT JOIN lex f ON f.language = c.language AND f.word = c.word
+  LEFT JOIN lex g ON g.language = c.language AND g.word = c.new
+WHERE c.n >= 5 AND c.n::DOUBLE / total >= 0.7::DOUBLE AND new <> c.word
+  AND NOT (coalesce(f.n, 0) >= 20 AND coalesce(f.n, 0) >= coalesce(g.n, 0)) AND coalesce(g.n, 0) >= 2""")
 def f07(spark, d):
-    ops = E.operations(V.pairs(spark, d).where("system = 'swap11'"), "reference", "hypothesis", "language")
+    ops = E.operations(V.pairs(spark, d), "reference", "hypothesis", "language")
     return E.substitution_map(ops, lexicon(spark, d), "language")
 
 
-@query("h03_most_common_errors")
+@query("h03_most_common_errors", f"""{ERROR_OPS}
+SELECT language, op, ref, hyp, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY language, op ORDER BY n DESC, ref NULLS FIRST, hyp NULLS FIRST) AS rank
+  FROM ops WHERE op <> 'S' OR n >= 5) WHERE rank <= 15""")
 def h03(spark, d):
     return E.most_common(E.operations(V.pairs(spark, d), "reference", "hypothesis", "language"), "language", top=15)
 
@@ -92,9 +109,16 @@ def m03(spark, d):
     return _layers(spark, d).groupBy("id").agg(F.max_by("after", "layer").alias("text"))
 
 
-@query("m04_word_merge")
+@query("m04_word_merge", f"""
+WITH RECURSIVE {alignment("SELECT id, reference AS a, swap11 AS b FROM wide WHERE reference <> swap11")},
+c AS (SELECT *, op = 'S' AND 1 - levenshtein(ref, hyp)::DOUBLE / greatest(length(ref), length(hyp)) >= 0.4::DOUBLE AS alike FROM aligned),
+r AS (SELECT *, sum(alike::INT) OVER (PARTITION BY id ORDER BY step) AS nth FROM c),
+m AS (SELECT id, string_agg(CASE WHEN alike AND nth <= 2 THEN hyp ELSE ref END, ' ' ORDER BY step) FILTER (op <> 'I') AS text FROM r GROUP BY id)
+SELECT w.id, CASE WHEN swap11 IN ('', '.') THEN CASE WHEN reference = '' THEN '.' ELSE reference END WHEN reference IN ('', '.') THEN swap11
+  ELSE coalesce(m.text, reference) END AS text FROM wide w LEFT JOIN m USING (id)""")
 def m04(spark, d):
-    return V.wide(spark, d).select("id", K.merge_words(F.col("reference"), F.col("swap11"), min_similarity=0.4, max_edits=2).alias("text"))
+    a, b = F.col("reference"), F.col("swap11")
+    return V.wide(spark, d).select("id", M.word_merge(a, b, K.alignment(a, b), min_similarity=0.4, max_edits=2).alias("text"))
 
 
 @query("m05_consensus", f"""
@@ -132,29 +156,18 @@ def m07(spark, d):
     return M.lattice_fusion(w, "id", "swap11", "dup5", bi, uni)
 
 
-@query("m08_medoid")
-def m08(spark, d):
-    return M.medoid(V.hypotheses(spark, d), "drop7")
-
-
 @query("m08_medoid_edits", f"""
 WITH t AS (SELECT id, CASE WHEN hypothesis = '' THEN '.' ELSE hypothesis END AS t, min(pos) AS pos, max((system = 'drop7')::INT) AS inc FROM hyp GROUP BY ALL),
 c AS (SELECT a.id, a.t, a.pos, a.inc, coalesce(sum(1 - (1 - ({PAIR_ERROR.format('a.t', 'b.t')}))), 0) AS cost
   FROM t a LEFT JOIN t b ON a.id = b.id AND a.pos <> b.pos GROUP BY ALL)
 SELECT id, first(t ORDER BY round(cost, 9), inc DESC, pos) AS text, R6(first(cost ORDER BY round(cost, 9), inc DESC, pos)) AS cost FROM c GROUP BY id""")
 def m08_edits(spark, d):
-    return M.medoid(V.hypotheses(spark, d), "drop7", mode="edits")
+    return M.medoid(V.hypotheses(spark, d), "drop7")
 
 
 TIERS = (0.99, 0.98, 0.97, 0.95, 0.9, 0.8)
 
 
-@query("m09_similarity_tiers")
-def m09(spark, d):
-    rows = M.similarity_tiers(V.wide(spark, d), "id", "drop7", "swap11", "dup5", TIERS)
-    return rows.groupBy("tier").agg(F.count("*").alias("rows"), F.count_if("changed").alias("changed"))
-
-
 @query("m09_edit_tiers", f"""
 WITH t AS (SELECT id, drop7, swap11, dup5, 1 - ({PAIR_ERROR.format('drop7', 'swap11')}) AS s FROM wide WHERE swap11 <> ''),
 k AS (SELECT unnest([0.99, 0.98, 0.97, 0.95, 0.9, 0.8])::DOUBLE AS x),
@@ -162,7 +175,7 @@ r AS (SELECT id, 'sim' || round(x * 100)::INT AS tier, s >= x AS take FROM t, k
   UNION ALL SELECT id, 'consensus', swap11 = dup5 FROM t UNION ALL SELECT id, 'full', true FROM t)
 SELECT r.id, tier, CASE WHEN take THEN swap11 ELSE drop7 END AS text, take AND swap11 <> drop7 AS changed FROM r JOIN t USING (id)""")
 def m09_edits(spark, d):
-    return M.similarity_tiers(V.wide(spark, d), "id", "drop7", "swap11", "dup5", TIERS, mode="edits")
+    return M.similarity_tiers(V.wide(spark, d), "id", "drop7", "swap11", "dup5", TIERS)
 
 
 @query("m10_exact_agreement", """
@@ -172,18 +185,13 @@ def m10(spark, d):
     return V.wide(spark, d).select("id", hit.alias("replaced"), F.when(hit, F.col("swap11")).otherwise(F.col("drop7")).alias("text"))
 
 
-@query("m11_support_select")
-def m11(spark, d):
-    return M.support_select(V.wide(spark, d), "id", "drop7", "swap11", [("dup5", 0.8)], [("dup5", 0.01)], (0.8, 1.25))
-
-
 @query("m11_support_select_edits", f"""
 WITH t AS (SELECT id, drop7, swap11, {WORDS.format('swap11')}::DOUBLE / greatest({WORDS.format('drop7')}, 1) BETWEEN 0.8::DOUBLE AND 1.25::DOUBLE
   AND 1 - ({PAIR_ERROR.format('swap11', 'dup5')}) >= 0.75::DOUBLE
   AND 1 - ({PAIR_ERROR.format('swap11', 'dup5')}) >= 1 - ({PAIR_ERROR.format('drop7', 'dup5')}) + 0.01::DOUBLE AS take FROM wide)
 SELECT id, take, CASE WHEN take THEN swap11 ELSE drop7 END AS text FROM t""")
 def m11_edits(spark, d):
-    return M.support_select(V.wide(spark, d), "id", "drop7", "swap11", [("dup5", 0.75)], [("dup5", 0.01)], (0.8, 1.25), mode="edits")
+    return M.support_select(V.wide(spark, d), "id", "drop7", "swap11", [("dup5", 0.75)], [("dup5", 0.01)], (0.8, 1.25))
 
 
 @query("m12_agreement_modes", f"""
@@ -199,10 +207,24 @@ def m12(spark, d):
     return M.agreement_modes(j, "id", "drop7", "swap11", "dup5", "p1", r.where("lid_lang <> decode_lang"), 0.2, 0.6)
 
 
-@query("m13_word_op_policies")
+@query("m13_word_op_policies", f"""
+WITH RECURSIVE w AS (SELECT id, drop7 AS f, swap11 AS x, dup5 AS m FROM wide WHERE swap11 <> '' AND swap11 <> drop7),
+{alignment("SELECT id, 'bm' AS side, f AS a, m AS b FROM w WHERE f <> m UNION ALL SELECT id, 'bx', f, x FROM w UNION ALL SELECT id, 'mx', m, x FROM w WHERE m <> x")},
+o AS (SELECT id, side, count(*) FILTER (op = 'S') AS s, count(*) FILTER (op IN ('I', 'D')) AS shift FROM aligned GROUP BY ALL),
+c AS (SELECT id, coalesce(max(s) FILTER (side = 'bm'), 0) AS bm_s, coalesce(max(shift) FILTER (side = 'bm'), 0) AS bm_g,
+  coalesce(max(s + shift) FILTER (side = 'bx'), 0) AS bx, coalesce(max(s + shift) FILTER (side = 'mx'), 0) AS mx,
+  coalesce(max(shift) FILTER (side = 'mx'), 0) AS mx_g FROM o GROUP BY id),
+t AS (SELECT w.*, c.* EXCLUDE (id), 1 - ({PAIR_ERROR.format('f', 'x')}) AS sb, 1 - ({PAIR_ERROR.format('x', 'm')}) AS sx,
+  {WORDS.format('f')} = {WORDS.format('m')} AS same FROM w LEFT JOIN c USING (id)),
+p AS (SELECT *, unnest([{{'policy': 'agree99', 'ok': sx >= 0.99::DOUBLE}}, {{'policy': 'agree98', 'ok': sx >= 0.98::DOUBLE}}, {{'policy': 'agree95', 'ok': sx >= 0.95::DOUBLE}},
+  {{'policy': 'agree90', 'ok': sx >= 0.9::DOUBLE}}, {{'policy': 'agree95_wordeq', 'ok': sx >= 0.95::DOUBLE AND same}},
+  {{'policy': 'agree95_noinsdel', 'ok': sx >= 0.95::DOUBLE AND bm_g = 0}}, {{'policy': 'agree95_noinsdel_sub2', 'ok': sx >= 0.95::DOUBLE AND bm_g = 0 AND bm_s <= 2}},
+  {{'policy': 'agree95_samecount_closer', 'ok': sx >= 0.95::DOUBLE AND same AND mx < bx}},
+  {{'policy': 'agree95_xm_noinsdel_dist2', 'ok': sx >= 0.95::DOUBLE AND mx_g = 0 AND mx <= 2}}]) AS q FROM t),
+s AS (SELECT *, CASE WHEN sb >= 0.95::DOUBLE THEN 'challenger' WHEN q.ok THEN 'helper' ELSE 'base' END AS source FROM p)
+SELECT id, q.policy AS policy, source, CASE source WHEN 'challenger' THEN x WHEN 'helper' THEN m ELSE f END AS text FROM s""")
 def m13(spark, d):
-    rows = M.word_op_policies(V.wide(spark, d), "id", "drop7", "swap11", "dup5", sure=0.95)
-    return rows.groupBy("policy", "source").agg(F.count("*").alias("n"))
+    return M.word_op_policies(V.wide(spark, d), "id", "drop7", "swap11", "dup5", sure=0.95)
 
 
 OOV = """o AS (SELECT t.id, t.system, avg((l.word IS NULL)::INT) AS oov FROM
@@ -259,10 +281,19 @@ def m15(spark, d):
     return _rule_features(spark, d).select("id", M.collapse_switch("a", "b", max_edit=0.3, min_oov_gain=-0.2).alias("switched"))
 
 
-@query("m16_anomaly_reasons")
+@query("m16_anomaly_reasons", f"""
+WITH RECURSIVE {OOV}, {FEATURES}, {alignment("SELECT id, ta AS a, tb AS b FROM rf WHERE ta <> tb")},
+x AS (SELECT id, string_agg(op, '' ORDER BY step) AS letters FROM aligned GROUP BY id),
+t AS (SELECT rf.*, coalesce(letters, '') AS letters, list_filter(string_split(tb, ' '), lambda z: z <> '') AS w FROM rf LEFT JOIN x USING (id))
+SELECT id, array_to_string(list_filter([
+  CASE WHEN len(w) > 0 AND length(w[-1]) <= 1 THEN '{{0}}' END,
+  CASE WHEN len(w) >= 2 AND w[-1] <> w[-2] AND (starts_with(w[-2], w[-1]) OR starts_with(w[-1], w[-2])) THEN '{{1}}' END,
+  CASE WHEN e <= 0.2::DOUBLE AND regexp_matches(letters, '(^|C)(SII+|ISI+|II+SI*|DIII+|IDII+|IIDI+|III+DI*)(C|$)') THEN '{{2}}' END,
+  CASE WHEN -gain > 0.1::DOUBLE THEN '{{3}}' END], lambda z: z IS NOT NULL), ';') AS reasons FROM t""".format(*ANOMALY_REASONS))
 def m16(spark, d):
     f = _rule_features(spark, d)
-    reasons = M.anomaly_reasons(F.col("a_hypothesis"), F.col("b_hypothesis"), F.col("a_oov_rate"), F.col("b_oov_rate"), F.col("pair_error"))
+    a, b = F.col("a_hypothesis"), F.col("b_hypothesis")
+    reasons = M.anomaly_reasons(a, b, F.col("a_oov_rate"), F.col("b_oov_rate"), F.col("pair_error"), K.alignment(a, b))
     return f.select("id", reasons.alias("reasons"))
 
 
@@ -318,10 +349,23 @@ def m19(spark, d):
     return M.threshold_sweep(j, D.word_ratio(F.col("merged_text"), F.col("base_text")), F.col("n") % 3 == 0, SWEEP)
 
 
-@query("m20_fallback_policies")
+def _fallback_sql() -> str:
+    rules = ["('candidate_all', false)", "('incumbent_all', true)", "('incumbent_if_trailing_aa', regexp_matches(c, '(^| )aa$'))",
+             "('incumbent_if_trailing_filler', regexp_matches(c, '(^| )(aa|ah|ee|eh)$'))"]
+    rules += [f"('incumbent_if_word_ratio_gt_{t:.2f}', r > {t}::DOUBLE)" for t in fixed.FALLBACK_RATIO_ABOVE]
+    rules += [f"('incumbent_if_word_ratio_lt_{t:.2f}', r < {t}::DOUBLE)" for t in fixed.FALLBACK_RATIO_BELOW]
+    rules += [f"('incumbent_if_similarity_lt_{t:.2f}', s < {t}::DOUBLE)" for t in fixed.FALLBACK_SIMILARITY_BELOW]
+    rules += ["('incumbent_if_duplicate_and_ratio_gt_1.20', twice AND r > 1.2::DOUBLE)"]
+    return ", ".join(rules)
+
+
+@query("m20_fallback_policies", f"""
+WITH t AS (SELECT id, dup5 AS c, {WORDS.format('dup5')}::DOUBLE / greatest({WORDS.format('drop7')}, 1) AS r, 1 - ({PAIR_ERROR.format('dup5', 'drop7')}) AS s,
+  list_filter(string_split(dup5, ' '), lambda x: x <> '') AS w FROM wide),
+d AS (SELECT *, len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) > 0 AS twice FROM t)
+SELECT id, p[1] AS policy, p[2] AS fallback FROM (SELECT id, unnest([{_fallback_sql()}]) AS p FROM d)""")
 def m20(spark, d):
-    rows = M.fallback_policies(V.wide(spark, d), "id", "dup5", "drop7")
-    return rows.groupBy("policy").agg(F.count("*").alias("n"), F.count_if("fallback").alias("fallbacks"))
+    return M.fallback_policies(V.wide(spark, d), "id", "dup5", "drop7")
 
 
 BLEND = """t AS (SELECT language, system, pos, 0.5 * sum(we)::DOUBLE / sum(nw) + 0.5 * sum(ce)::DOUBLE / sum(nc) AS score FROM scored GROUP BY ALL),

@@ -167,7 +167,7 @@ rm AS (SELECT *, {_marker_sql('luo')} - {_marker_sql('ach')} AS marker FROM rs)"
 _UNIQ = "len(list_distinct({0}))::DOUBLE / greatest(len({0}), 1)"
 
 
-@query("j09_residual_stack_edits", f"""
+@query("j09_residual_stack", f"""
 WITH {_residual_sql()},
 k AS (SELECT *, list_filter(string_split(h, ' '), lambda x: x <> '') AS w, list_filter(string_split(f, ' '), lambda x: x <> '') AS fw FROM rm),
 g AS (SELECT *, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS bg, len(list_filter(w, lambda x: length(x) <= 1)) AS single FROM k),
@@ -182,15 +182,9 @@ r AS (SELECT id, 1 - e AS similarity, CASE WHEN dual THEN 'already_dual' WHEN h
   WHEN p1 < 0.6::DOUBLE OR lang2 IN ('es') THEN 'lid_mass_fail' WHEN 1 - e < 0.8::DOUBLE AND (ortho < 3.0 OR delta <= 0.05::DOUBLE) THEN 'low_similarity_without_strict_ortho'
   WHEN a AND b THEN 'strict+soft' WHEN a THEN 'strict' WHEN b THEN 'soft' ELSE 'no_path' END AS reason FROM s)
 SELECT id, R6(similarity) AS similarity, reason, reason IN ('strict+soft', 'strict', 'soft') AS accept FROM r""")
-def j09_edits(spark, d):
-    out = G.residual_stack(_residual(spark, d), mode="edits", min_p1=0.6, min_similarity=0.8, rivals=("es",), junk=())
-    return out.select("id", "similarity", "reason", "accept")
-
-
-@query("j09_residual_stack")
 def j09(spark, d):
-    out = G.residual_stack(_residual(spark, d), min_p1=0.6, rivals=("es",), junk=())
-    return out.groupBy("reason").agg(F.count("*").alias("n"), F.avg("similarity").alias("similarity"))
+    out = G.residual_stack(_residual(spark, d), min_p1=0.6, min_similarity=0.8, rivals=("es",), junk=())
+    return out.select("id", "similarity", "reason", "accept")
 
 
 @query("j10_feature_coercion", """

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hyplab.functions import distance as D, kernels as K, text as T
+from hyplab.operators import fuse as M
 from hyplab.operators import pairs as P, score as S
 
 
@@ -70,16 +71,65 @@ def test_guards(one):
 
 
 def test_similarity_and_merge(one):
-    assert one(lambda a, b: K.similarity(a, b), "hello", "hello") == 1.0
-    assert 0.5 < one(lambda a, b: K.similarity(a, b), "hello world", "hello earth") < 1.0
-    assert one(lambda a, b: K.similarity(a, b), "", "x") == 0.0
-    merge = lambda a, b, **k: one(lambda x, y: K.merge_words(x, y, **k), a, b)
+    assert one(lambda a, b: D.similarity(a, b), "hello", "hello") == 1.0
+    assert 0.5 < one(lambda a, b: D.similarity(a, b), "hello world", "hello earth") < 1.0
+    assert one(lambda a, b: D.similarity(a, b), "", "x") == 0.0
+    merge = lambda a, b, **k: one(lambda x, y: M.word_merge(x, y, K.alignment(x, y), **k), a, b)
     assert merge("the quick brown fox", "the quikc brown fox", min_similarity=0.6) == "the quikc brown fox"
+    assert merge("the quick brown fox", "the quikc brwon fxo", min_similarity=0.3, max_edits=2) == "the quikc brwon fox"
     assert merge("the quick brown fox", "the zzzzz brown fox") == "the quick brown fox"
     assert merge("one two", "one two three") == "one two" and merge("one two", "one two three", allow_insert=True) == "one two three"
+    assert merge("one two three", "one three", allow_delete=True) == "one three"
     assert merge("", "x y") == "x y" and merge("x y", ".") == "x y" and merge("", "") == "."
 
 
+def test_alignment_is_cheapest_and_rebuilds_both_sides(spark):
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(7))] for _ in range(2))
+        for diagonal in (False, True):
+            ops = K.align_words(a, b, diagonal)
+            assert [o["ref"] for o in ops if o["op"] != "I"] == a and [o["hyp"] for o in ops if o["op"] != "D"] == b
+            cost = list(range(len(b) + 1))
+            for x in a:
+                row = [cost[0] + 1]
+                for j, y in enumerate(b):
+                    row.append(min(cost[j] + (x != y), cost[j + 1] + 1, row[j] + 1))
+                cost = row
+            assert sum(o["op"] != "C" for o in ops) == cost[-1]
+
+
+def test_lattice_path_is_the_best_of_all(spark):
+    from itertools import product
+
+    import math
+
+    texts = [("a b c", "a c c d"), ("x a", "a"), ("b", "c b b")]
+    uni = spark.createDataFrame([("l", w, n) for w, n in (("a", 4), ("b", 3), ("c", 2), ("<s>", 5), ("d", 1))], "language string, word string, n long")
+    counts = {("<s>", "a"): 3, ("a", "b"): 2, ("b", "c"): 2, ("a", "c"): 1, ("c", "d"): 1, ("b", "b"): 1}
+    bi = spark.createDataFrame([("l", *k, n) for k, n in counts.items()], "language string, a string, b string, n long")
+    df = spark.createDataFrame([(i, "l", x, y) for i, (x, y) in enumerate(texts)], "id long, language string, x string, y string")
+    got = {r["id"]: r["fused"] for r in M.lattice_fusion(df, "id", "x", "y", bi, uni).collect()}
+    unis = {"a": 4, "b": 3, "c": 2, "<s>": 5, "d": 1}
+    for i, (x, y) in enumerate(texts):
+        slots = K.align_words(x.split(), y.split(), True)
+        value = {}
+        for pick in product(*[["ref"] if o["op"] == "C" else ["ref", "hyp"] for o in slots]):
+            total, last, words = 0.0, "<s>", []
+            for o, side in zip(slots, pick):
+                total += 0.2 if side == "ref" and o["op"] != "C" else 0.0
+                if o[side] is None:
+                    total -= 0.4
+                else:
+                    total += 0.3 * math.log10((counts.get((last, o[side]), 0) + 0.1) / max(0.1, unis.get(last, 0) + 0.1 * 4))
+                    last = o[side]
+                    words.append(last)
+            value[" ".join(words) or "."] = max(total, value.get(" ".join(words) or ".", -1e9))
+        assert value[got[i]] == max(value.values())
+
+
 def test_prototype_margin(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.0, 1.0])], "label int, v array<double>")
     out = P.prototype_margin(df, P.prototypes(df, "label", "v", (0, 1)), "v", 0, 1).collect()
