@@ -1,6 +1,6 @@
 """Paired bootstrap on per-unit sums; texts are never scored again.
 
-Draws are hashes of (seed, draw, position), so a run can be repeated on any engine; they
+Every unit gets a Poisson(1) weight per draw from a hash of (seed, unit, draw), so a run can be repeated on any engine; they
 are not the draws of a seeded generator in another library.
 """
 
@@ -9,10 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from hyplab.operators import ordering as O
-from hyplab.operators.sizing import keep, sized
+from hyplab.operators.sizing import keep
 
 COUNTS = ("we", "ce", "base_we", "base_ce", "nw", "nc")
 
@@ -22,32 +21,6 @@ def unit_sums(pairs: DataFrame, unit: str, *by: str) -> DataFrame:
     return pairs.groupBy(*by, unit).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in COUNTS])
 
 
-def pick(seed: int, draw: Column, k: Column, size: Column) -> Column:
-    """Position 1..size drawn for slot k of a draw."""
-    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), k.cast("string")), 256)
-    return F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("long"), size) + 1
-
-
-def group_draws(units: DataFrame, unit: str, seed: int, draws: int, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Resample whole units with replacement; sums of ``values`` per draw (and per ``by``).
-
-    The same units are drawn for every ``by`` value. The position table is one row per
-    unit and is broadcast while it is small; beyond that the draws meet it in a shuffle join.
-    """
-    names = keep(units.select(unit).distinct().withColumn("_h", F.sha2(F.col(unit).cast("string"), 256)))
-    numbered = O.hash_positions(names, "_h", unit, out="_pos").select(unit, "_pos")
-    numbered, _ = sized(numbered)
-    total = names.agg(F.count("*").alias("_size"))
-    slots = numbered.join(F.broadcast(total), F.lit(True)).select(
-        "_pos", "_size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    )
-    drawn = slots.select("draw", pick(seed, F.col("draw"), F.col("_pos"), F.col("_size")).alias("_pos"))
-    # how often a unit comes in a draw, before the sums are joined
-    times = drawn.groupBy("draw", "_pos").agg(F.count("*").alias("_times"))
-    with_unit = times.join(numbered, "_pos").join(units, unit)
-    return with_unit.groupBy(*by, "draw").agg(*[F.sum(F.col(v) * F.col("_times")).alias(v) for v in values])
-
-
 def _poisson_cuts(bits: int = 32) -> list[float]:
     """Upper bounds of the Poisson(1) counts that ``bits`` random bits can tell apart."""
     cuts, term, total, k = [], math.exp(-1), 0.0, 0
@@ -70,11 +43,22 @@ def poisson_weights(df: DataFrame, key: str, seed: int, draws: int) -> DataFrame
     blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 8))).alias("_b")
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("_b").cast("string")), 256)
     part = F.expr("transform(sequence(0, 7), j -> named_struct('draw', _b * 8 + j, 'u', conv(substr(_h, j * 8 + 1, 8), 16, 10) / 4294967296.0D))")
-    weight = F.size(F.filter(F.array(*[F.lit(c) for c in POISSON_CUTS]), lambda c: F.col("u") >= c))
+    weight = sum(((F.col("u") >= c).cast("int") for c in POISSON_CUTS), F.lit(0))
     staged = df.select("*", blocks).withColumn("_h", h).select(*df.columns, F.inline(part))
     return staged.where(F.col("draw") < draws).withColumn("weight", weight).drop("u").where(F.col("weight") > 0)
 
 
+def group_draws(units: DataFrame, unit: str, seed: int, draws: int, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Resample whole units with Poisson(1) weights; sums of ``values`` per draw (and per ``by``).
+
+    A unit's weights follow from its name, so the same units weigh alike for every ``by``
+    value. Weights are made and summed where the unit's row is: what is shuffled is one row
+    per draw and task.
+    """
+    weighted = poisson_weights(units.select(*by, unit, *values), unit, seed, draws)
+    return weighted.groupBy(*by, "draw").agg(*[F.sum(F.col(v) * F.col("weight")).alias(v) for v in values])
+
+
 def corpus_delta(draws: DataFrame) -> DataFrame:
     """Gain of the candidate over the base per draw (positive is better)."""
     score = lambda w, c: 0.5 * F.col(w) / F.col("nw") + 0.5 * F.col(c) / F.col("nc")
@@ -100,9 +84,7 @@ def group_bootstrap(pairs: DataFrame, unit: str, seed: int, draws: int, *by: str
 
 def row_bootstrap(pairs: DataFrame, key: str, seed: int, draws: int, *by: str) -> DataFrame:
     """Rows resampled with Poisson weights, pooled rates per draw."""
-    weighted = poisson_weights(pairs.select(*by, key, *COUNTS), key, seed, draws)
-    summed = weighted.groupBy(*by, "draw").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in COUNTS])
-    return summary(corpus_delta(summed), *by)
+    return summary(corpus_delta(group_draws(pairs, key, seed, draws, COUNTS, by)), *by)
 
 
 def row_mean_bootstrap(pairs: DataFrame, unit: str, seed: int, draws: int, *by: str) -> DataFrame:

@@ -108,25 +108,51 @@ def hash_half(group: Column, seed: str) -> Column:
     return F.pmod(F.conv(first, 16, 10).cast("long"), F.lit(2))
 
 
-def balanced_folds(df: DataFrame, group: str, k: int, exact_groups: int = 100_000) -> DataFrame:
-    """Groups by size descending, each to the lightest fold so far (lowest number on ties).
+def _fold_pieces(histogram: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Greedy placement of equal-sized groups, in closed form: (rows, first position, folds in turn).
 
-    The greedy order is sequential by nature, so it runs on one row per group. Beyond
-    ``exact_groups`` groups the tail of small groups is dealt by hash instead: after the
-    large ones are placed their sizes no longer unbalance the folds.
+    ``histogram`` has (rows, groups) by falling rows. While the lightest folds stay below
+    the next one, groups go round them in turn; so a size needs a few pieces, however many
+    groups have it.
     """
-    spark = df.sparkSession
-    sizes = df.groupBy(group).agg(F.count("*").alias("rows"))
-    head = sizes.orderBy(F.desc("rows"), group).limit(exact_groups).collect()
     loads = [0] * k
-    placed = []
-    for r in head:
-        fold = loads.index(min(loads))
-        loads[fold] += r["rows"]
-        placed.append((r[group], fold))
-    table = spark.createDataFrame(placed, f"{group} {dict(df.dtypes)[group]}, fold int")
-    by_hash = hash_fold(F.col(group), "folds", k).cast("int")
-    return sizes.join(table, group, "left").select(group, "rows", F.coalesce("fold", by_hash).alias("fold"))
+    pieces: list[tuple[int, int, list[int]]] = []
+    for rows, groups in histogram:
+        at = 0
+        while at < groups:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            # the longest run of lightest folds that take turns: each is again behind all others after one group
+            turn = next(m for m in range(1, k + 1) if m == k or (loads[order[0]] + rows, order[0]) <= (loads[order[m]], order[m]))
+            if turn < k:
+                gap = loads[order[turn]] - loads[order[turn - 1]]
+                rounds = max(1, min(gap // rows - 1, (groups - at) // turn))
+            else:
+                rounds = max(1, (groups - at) // turn)
+            n = min(rounds * turn, groups - at)
+            pieces.append((rows, at, order[:turn]))
+            for i in range(min(turn, n)):
+                loads[order[i]] += rows * (n // turn + (i < n % turn))
+            at += n
+    return pieces
+
+
+def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Groups by size descending (by hash within a size), each to the lightest fold so far (lowest number on ties).
+
+    The fold follows from a group's position among groups of its size, so the driver sees
+    one row per distinct size, of which there are at most the square root of twice the rows.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("rows")).withColumn("_h", F.sha2(F.col(group).cast("string"), 256))
+    histogram = sizes.groupBy("rows").agg(F.count("*").alias("n")).orderBy(F.desc("rows")).collect()
+    pieces = _fold_pieces([(r["rows"], r["n"]) for r in histogram], k)
+    # a few rows per distinct size, as bounded as the histogram
+    table = df.sparkSession.createDataFrame(pieces, "rows long, _from long, _turn array<int>")
+    until = F.coalesce(F.lead("_from").over(W.partitionBy("rows").orderBy("_from")), F.lit(2**62))
+    placed = O.running_totals(sizes, ["_h", group], O.hash_bucket(F.col("_h")), {"_pos": F.lit(1).cast("long")}, ["rows"])
+    joined = placed.withColumn("_pos", F.col("_pos") - 1).join(F.broadcast(table.withColumn("_until", until)), "rows")
+    here = (F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_until"))
+    fold = F.get("_turn", ((F.col("_pos") - F.col("_from")) % F.size("_turn")).cast("int"))
+    return joined.where(here).select(group, "rows", fold.alias("fold"))
 
 
 def positional_slices(df: DataFrame, key: str, report: tuple[int, int] = (0, 50), select: tuple[int, int] = (50, 90)) -> DataFrame:

@@ -80,7 +80,7 @@ def g07(spark, d):
 
 @query("g08_balanced_folds", """
 WITH RECURSIVE s AS (SELECT speaker_id, count(*) AS rows FROM utt GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (ORDER BY rows DESC, speaker_id) AS p FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY rows DESC, sha256(speaker_id), speaker_id) AS p FROM s),
 f AS (SELECT 0::BIGINT AS p, ''::VARCHAR AS speaker_id, 0::BIGINT AS rows, -1::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
   UNION ALL
   SELECT o.p, o.speaker_id, o.rows, list_position(f.loads, list_min(f.loads)) - 1,

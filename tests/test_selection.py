@@ -160,3 +160,27 @@ def test_anomaly_reasons_and_medoid(spark):
     assert [set(r["r"].split(";")) >= set(r["want"].split(";")) for r in got] == [True] * 4 and got[3]["r"] == ""
     hyps = spark.createDataFrame([(1, 0, "p", "abcd"), (1, 1, "q", "abce"), (1, 2, "r", "abxe"), (2, 0, "p", "same"), (2, 1, "q", "same")], "id int, pos int, system string, hypothesis string")
     assert {r["id"]: r["text"] for r in M.medoid(hyps, "p").collect()} == {1: "abce", 2: "same"}
+
+
+def test_fold_pieces_equal_plain_greedy():
+    import random
+
+    from hyplab.operators.select import _fold_pieces
+
+    rng = random.Random(3)
+    for _ in range(500):
+        k = rng.randrange(1, 7)
+        sizes = {rng.randrange(1, rng.choice([5, 40, 1000])): rng.randrange(1, rng.choice([3, 30])) for _ in range(rng.randrange(1, 6))}
+        histogram = sorted(sizes.items(), reverse=True)
+        loads, want, got = [0] * k, [], []
+        pieces = _fold_pieces(histogram, k)
+        for rows, n in histogram:
+            mine = [p for p in pieces if p[0] == rows]
+            for pos in range(n):
+                fold = loads.index(min(loads))
+                loads[fold] += rows
+                want.append(fold)
+                piece = max((p for p in mine if p[1] <= pos), key=lambda p: p[1])
+                got.append(piece[2][(pos - piece[1]) % len(piece[2])])
+        assert got == want
+    assert len(_fold_pieces([(10**9, 1), (1, 10**10)], 5)) < 20
