@@ -16,7 +16,8 @@ carrier of boilerplate; it stays whole for near-duplicate detection and is marke
 Lines of fewer than ``min_tokens`` tokens are never templates. Null and empty texts come
 back empty. Rows alike in doc_id and text each count as a document and get the same
 result; a null doc_id is a value like any other. Very long texts are worked whole, an
-empty table gives an empty result, other columns pass through ``drop_recurring``.
+empty table gives an empty result; other columns pass through ``drop_recurring``, but
+for names that begin with two underscores and those of its results.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def parse(block: K.Block) -> Lines:
 
 
 def occurrences(docs: DataFrame, bounds: Bounds) -> DataFrame:
-    """The distinct lines of each document: _id, _hash (of the text), leaf and templates (narrow, then wide ones)."""
+    """The distinct lines of each document: __id, __hash (of the text), leaf and templates (narrow, then wide ones)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for row, block in K.blocks(batch.column(2)):
@@ -102,20 +103,20 @@ def occurrences(docs: DataFrame, bounds: Bounds) -> DataFrame:
             sizes = np.where(x.n[pick] >= WIDE_FROM, SEGMENTS + 1, 1)
             keep = np.arange(SEGMENTS + 1)[None, :] < sizes[:, None]
             rows = pa.array(x.owner[pick] + row)
-            yield {"_id": batch.column(0).take(rows), "_hash": batch.column(1).take(rows), "leaf": x.leaf[pick].view(np.int64),
+            yield {"__id": batch.column(0).take(rows), "__hash": batch.column(1).take(rows), "leaf": x.leaf[pick].view(np.int64),
                    "templates": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), made[keep])}
 
-    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    return K.map_batches(keyed, ["_id", "_hash", "text"], "_id long, _hash long, leaf long, templates array<long>", run)
+    keyed = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text")
+    return K.map_batches(keyed, ["__id", "__hash", "text"], "__id long, __hash long, leaf long, templates array<long>", run)
 
 
 def recurring(docs: DataFrame, bounds: Bounds) -> DataFrame:
-    """_id, _hash and the recurring templates that the document's lines belong to, for documents that have any."""
+    """__id, __hash and the recurring templates that the document's lines belong to, for documents that have any."""
     seen = occurrences(docs, bounds)
     live = seen.groupBy("leaf").count().where(F.col("count") >= bounds.min_documents).select("leaf")
-    lines = cut(seen.join(live, "leaf").select("_id", "_hash", F.explode("templates").alias("template")))
+    lines = cut(seen.join(live, "leaf").select("__id", "__hash", F.explode("templates").alias("template")))
     often = lines.groupBy("template").count().where(F.col("count") >= bounds.min_documents).select("template")
-    return lines.join(often, "template").groupBy("_id", "_hash").agg(F.collect_set("template").alias("_drop"))
+    return lines.join(often, "template").groupBy("__id", "__hash").agg(F.collect_set("template").alias("__drop"))
 
 
 def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
@@ -126,8 +127,8 @@ def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     own = {"text": "string", "n_lines": "bigint", "n_lines_dropped": "bigint", "n_words_dropped": "bigint", "mostly_recurring": "boolean"}
     names = [c for c in names if c not in own]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], "text", F.xxhash64("text").alias("_h"))
-    marked = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_h"] == found["_hash"]), "left")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], "text", F.xxhash64("text").alias("__h"))
+    marked = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__h"] == found["__hash"]), "left")
     schema = ", ".join(f"`{c}` {fields.get(c, own.get(c))}" for c in [*names, *own])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -171,4 +172,4 @@ def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
                 "n_words_dropped": np.where(much, 0, lost), "mostly_recurring": much,
             }
 
-    return K.map_batches(marked, [*[F.col(f"`{c}`") for c in names], "text", "_drop"], schema, run)
+    return K.map_batches(marked, [*[F.col(f"`{c}`") for c in names], "text", "__drop"], schema, run)
