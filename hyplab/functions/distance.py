@@ -7,15 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hyplab.functions import text as T
 
 EMPTY_REFERENCE = "<empty>"
-# Tokens of a pair become single characters: Latin-1 for up to 200 distinct tokens,
-# a block with room for 20,992 beyond.
+# Tokens of a pair become single characters: Latin-1 for up to 200 distinct tokens, a
+# block of two-byte characters for up to 20,992, the supplementary planes beyond.
 _SHORT, _BLOCK_START, _BLOCK_SIZE = 200, 0x4E00, 20_992
+_PLANES_START, _PLANES_SIZE = 0x10000, 0x100000
 
 
-def _codes(w: Column, vocab: Column, wide: bool) -> Column:
-    if wide:
-        one = lambda x: F.lpad(F.hex(F.array_position(vocab, x) + F.lit(_BLOCK_START - 1)), 4, "0")
-        return F.decode(F.unhex(F.array_join(F.transform(w, one), "")), "UTF-16BE")
+def _codes(w: Column, vocab: Column, width: int) -> Column:
+    if width > 1:
+        start, charset = (_BLOCK_START, "UTF-16BE") if width == 2 else (_PLANES_START, "UTF-32")
+        one = lambda x: F.lpad(F.hex(F.array_position(vocab, x) + F.lit(start - 1)), 2 * width, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(w, one), "")), charset)
     return F.array_join(F.transform(w, lambda x: F.char(F.array_position(vocab, x) + F.lit(32))), "")
 
 
@@ -32,8 +34,9 @@ def with_word_distance(df: DataFrame, out: str, left: Column, right: Column) ->
         F.when(a == b, F.lit(0))
         .when(F.size(a) == 0, F.size(b))
         .when(F.size(b) == 0, F.size(a))
-        .when(F.size(v) <= _SHORT, F.levenshtein(_codes(a, v, False), _codes(b, v, False)))
-        .when(F.size(v) <= _BLOCK_SIZE, F.levenshtein(_codes(a, v, True), _codes(b, v, True)))
+        .when(F.size(v) <= _SHORT, F.levenshtein(_codes(a, v, 1), _codes(b, v, 1)))
+        .when(F.size(v) <= _BLOCK_SIZE, F.levenshtein(_codes(a, v, 2), _codes(b, v, 2)))
+        .when(F.size(v) <= _PLANES_SIZE, F.levenshtein(_codes(a, v, 4), _codes(b, v, 4)))
         .otherwise(too_wide)
     )
     return (

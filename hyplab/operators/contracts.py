@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hyplab.functions import text as T
+from hyplab.operators import ordering as O
 from hyplab.operators.joins import resolve_route
 
 
@@ -24,6 +25,14 @@ def overlap(parts: DataFrame, key: str, part: str) -> DataFrame:
     return parts.groupBy(key).agg(F.count_distinct(part).alias("parts")).where(F.col("parts") > 1)
 
 
+def require_disjoint(parts: DataFrame, key: str, part: str) -> DataFrame:
+    """``parts`` unchanged, but reading a key that occurs in more than one part is an error."""
+    shared = overlap(parts, key, part).select(F.col(key).alias("_k"), F.lit(True).alias("_both"))
+    j = parts.join(shared, F.col(key) == F.col("_k"), "left")
+    leak = F.raise_error(F.concat(F.lit("id in more than one part: "), F.col(key).cast("string"))).cast(dict(parts.dtypes)[key])
+    return j.withColumn(key, F.when(F.col("_both"), leak).otherwise(F.col(key))).select(*parts.columns)
+
+
 def change_sets(base: DataFrame, candidate: DataFrame, failed: DataFrame, key: str, text: str) -> DataFrame:
     """Rows the candidate changes, and whether the failed table changed the id or to the same text."""
     j = (
@@ -93,19 +102,29 @@ def public_file_check(df: DataFrame, key: str, text: str, rows: int | Column, pr
     return c.withColumn("errors", _errors(tests)).withColumn("ok", F.col("errors") == "")
 
 
-def route_cache_check(index: DataFrame, cache: DataFrame, key: str, route: str, order: str) -> DataFrame:
-    """Per route the id set and whether the rows come in route order or in key order.
+def route_cache_check(index: DataFrame, cache: DataFrame, key: str, route: str, index_order: str, cache_order: str) -> DataFrame:
+    """Per route the id set, and how many rows stand elsewhere than in route order and in key order.
 
-    Order is compared through neighbours: each row's predecessor in the cache must be its
-    predecessor in the route, which needs no rank over a whole route.
+    A cache may keep its route's order or be sorted by key; any other order is refused.
+    Order columns and the key are numbers, ascending and unique within a route. Positions
+    come from ordered buckets, so a large route is not ranked in one task.
     """
-    e = index.select(key, route, F.lit(True).alias("_e"))
-    c = cache.select(key, F.col(order).alias("_o"), F.lit(True).alias("_a"))
-    j = e.join(c, key, "full_outer")
-    return j.groupBy(route).agg(
+    def placed(df: DataFrame, by: str, out: str) -> DataFrame:
+        points = O.split_points(df, by)
+        return O.running_totals(df, [by], O.bucket_of(F.col(by), points), {out: F.lit(1).cast("long")}, [route]).select(key, out)
+
+    e = index.select(key, route, F.col(index_order).alias("_i"), F.col(key).alias("_k"))
+    c = cache.select(key, F.col(cache_order).alias("_c"))
+    known = c.join(e.select(key, route), key)
+    j = e.select(key, route, F.lit(True).alias("_e")).join(c.select(key, F.lit(True).alias("_a")), key, "full_outer")
+    for df, by, out in ((e, "_i", "_in_route"), (e, "_k", "_by_key"), (known, "_c", "_here")):
+        j = j.join(placed(df, by, out), key, "left")
+    off = lambda p: F.count_if(F.col("_here") != F.col(p))
+    out = j.groupBy(route).agg(
         F.count("_e").alias("expected"), F.count_if(F.col("_e").isNotNull() & F.col("_a").isNull()).alias("missing"),
-        F.count_if(F.col("_e").isNull()).alias("extra"), F.count_if(F.col("_o") != F.col(key)).alias("moved"),
-    ).withColumn("exact", (F.col("missing") == 0) & (F.col("extra") == 0)).withColumn("ordered", F.col("exact") & (F.col("moved") == 0))
+        F.count_if(F.col("_e").isNull()).alias("extra"), off("_in_route").alias("off_route_order"), off("_by_key").alias("off_key_order"),
+    ).withColumn("exact", (F.col("missing") == 0) & (F.col("extra") == 0))
+    return out.withColumn("ordered", F.col("exact") & ((F.col("off_route_order") == 0) | (F.col("off_key_order") == 0)))
 
 
 def pack_rows(df: DataFrame, routes: Mapping, unicode_form: bool = True, required: Sequence[str] = ("id", "first_hyp", "second_hyp", "decode_lang", "lid_lang")) -> DataFrame:

@@ -35,10 +35,10 @@ def fuse_two(
     )
 
 
-def overlay(floor: DataFrame, replaces: DataFrame, key: str, text: str, order: str | None = None) -> DataFrame:
-    """Floor texts with keyed replacements; blank ones are skipped, an unknown id is an error, the last wins."""
+def overlay(floor: DataFrame, replaces: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """Floor texts with keyed replacements; blank ones are skipped, an unknown id is an error, the last by ``order`` wins."""
     new = F.trim(F.coalesce(F.col(text), F.lit("")))
-    r = replaces.where(new != "").groupBy(key).agg(F.max_by(new, F.col(order) if order else F.lit(0)).alias("_new"))
+    r = replaces.where(new != "").groupBy(key).agg(F.max_by(new, order).alias("_new"))
     unknown = F.raise_error(F.concat(F.lit("replacement for unknown id "), F.col(key).cast("string"))).cast("string")
     base = floor.select(key, F.trim(F.coalesce(F.col(text), F.lit(""))).alias("_old"), F.lit(True).alias("_in"))
     old = F.when(F.col("_old") == "", ".").otherwise(F.col("_old"))

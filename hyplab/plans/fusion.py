@@ -71,13 +71,16 @@ def m01(spark, d):
 
 
 @query("m02_overlay", """
-SELECT id, CASE WHEN conf_swap11 > -0.02::DOUBLE AND trim(swap11) <> '' THEN trim(swap11) WHEN trim(drop7) = '' THEN '.' ELSE trim(drop7) END AS target,
-  CASE WHEN conf_swap11 > -0.02::DOUBLE AND trim(swap11) <> '' THEN trim(swap11) <> CASE WHEN trim(drop7) = '' THEN '.' ELSE trim(drop7) END ELSE false END AS changed
-FROM wide""")
+WITH r AS (SELECT id, trim(swap11) AS t, 1 AS o FROM wide WHERE conf_swap11 > -0.02::DOUBLE UNION ALL SELECT id, trim(dup5), 2 FROM wide WHERE n % 5 = 0),
+l AS (SELECT id, max_by(t, o) AS t FROM r WHERE t <> '' GROUP BY id)
+SELECT id, coalesce(l.t, f) AS target, coalesce(l.t <> f, false) AS changed
+FROM (SELECT id, CASE WHEN trim(drop7) = '' THEN '.' ELSE trim(drop7) END AS f FROM wide) LEFT JOIN l USING (id)""")
 def m02(spark, d):
     w = V.wide(spark, d)
     floor = w.select("id", F.col("drop7").alias("target"))
-    return M.overlay(floor, w.where("conf_swap11 > -0.02").select("id", F.col("swap11").alias("target")), "id", "target")
+    first = w.where("conf_swap11 > -0.02").select("id", F.col("swap11").alias("target"), F.lit(1).alias("o"))
+    second = w.where("n % 5 = 0").select("id", F.col("dup5").alias("target"), F.lit(2).alias("o"))
+    return M.overlay(floor, first.unionByName(second), "id", "target", "o")
 
 
 LAYERS = """l AS (SELECT id, 0 AS layer, CASE WHEN trim(drop7) = '' THEN '.' ELSE trim(drop7) END AS text FROM wide

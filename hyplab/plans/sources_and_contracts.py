@@ -15,7 +15,7 @@ def a01(spark, d):
     return I.scan_text(spark, f"{d}/documents.parquet", ("doc_id", "source", "text", "lang"))
 
 
-@query("a02_shard_discovery")
+@query("a02_shard_discovery", "SELECT 'documents.parquet' AS file, count(*) AS rows FROM documents")
 def a02(spark, d):
     files = spark.read.option("pathGlobFilter", "doc*.parquet").parquet(d).select("doc_id", F.col("_metadata.file_name").alias("file"))
     return files.groupBy("file").agg(F.count("*").alias("rows"))
@@ -69,9 +69,7 @@ def a08(spark, d):
 SELECT language, split, id AS "ID", reference AS "Target" FROM (SELECT *, row_number() OVER (PARTITION BY language, split ORDER BY id) AS r FROM utt WHERE split <> 'test') WHERE r <= 500""")
 def a09(spark, d):
     u = V.utterances(spark, d).select("id", "language", "split", F.col("reference").alias("transcription"))
-    part = lambda l, s: u.where((F.col("language") == l) & (F.col("split") == s)).drop("split")
-    parts = {(l, s): part(l, s) for l in ("en", "fr", "de", "es") for s in ("train", "validation")}
-    return I.labelled_union(parts, cap=500).select("language", "split", "ID", "Target")
+    return I.labelled(u, cap=500).select("language", "split", "ID", "Target")
 
 
 @query("a10_round_trip", "SELECT count(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS extra, count(*) FILTER (drop7 <> swap11) AS changed FROM wide")
@@ -115,6 +113,15 @@ def i02(spark, d):
     return C.overlap(V.utterances(spark, d), "reference", "split")
 
 
+@query("i02_id_leakage", """
+WITH p AS (SELECT id, split FROM utt UNION ALL SELECT id, 'test' FROM utt WHERE n % 23 = 0)
+SELECT id, count(DISTINCT split) AS parts FROM p GROUP BY id HAVING count(DISTINCT split) > 1""")
+def i02_ids(spark, d):
+    u = V.utterances(spark, d)
+    again = u.where("n % 23 = 0").select("id", F.lit("test").alias("split"))
+    return C.overlap(u.select("id", "split").unionByName(again), "id", "split")
+
+
 @query("i03_submission_check", """
 WITH s AS (SELECT id + CASE WHEN n % 97 = 0 THEN 50000 ELSE 0 END AS id, drop7 AS t FROM wide WHERE n % 89 <> 0 UNION ALL SELECT id, drop7 FROM wide WHERE n % 91 = 1 AND n % 89 <> 0 AND n % 97 <> 0),
 k AS (SELECT id, count(*) AS n, count(*) FILTER (trim(t) = '') AS blank, count(*) FILTER (t IN ('', '.', 'nan', 'null', 'none')) AS bad FROM s GROUP BY id),
@@ -140,23 +147,37 @@ def i04(spark, d):
 
 
 @query("i05_public_check", """
-WITH c AS (SELECT count(*) AS rows, 0::BIGINT AS duplicated, count(*) FILTER (n % 50 = 7) AS bad_prefix, count(*) FILTER (lower(trim(drop7)) IN ('', '.', 'nan', 'null', 'none')) AS placeholders FROM wide)
-SELECT *, concat_ws(';', CASE WHEN bad_prefix > 0 THEN 'prefix' END, CASE WHEN placeholders > 0 THEN 'placeholders' END) AS errors, bad_prefix = 0 AND placeholders = 0 AS ok FROM c""")
+WITH f AS (SELECT CASE WHEN n % 50 = 7 THEN 'X_' ELSE 'ID_' END || id AS id, drop7 AS t FROM wide
+  UNION ALL SELECT 'ID_' || id, 'nan' FROM wide WHERE n % 60 = 1 AND n % 50 <> 7),
+k AS (SELECT id, count(*) AS n, count(*) FILTER (lower(trim(t)) IN ('', '.', 'nan', 'null', 'none')) AS bad FROM f GROUP BY id),
+c AS (SELECT sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS duplicated, count(*) FILTER (NOT starts_with(id, 'ID_')) AS bad_prefix, sum(bad)::BIGINT AS placeholders FROM k)
+SELECT *, concat_ws(';', CASE WHEN rows <> (SELECT count(*) FROM utt) THEN 'row_count' END, CASE WHEN duplicated > 0 THEN 'duplicates' END,
+  CASE WHEN bad_prefix > 0 THEN 'prefix' END, CASE WHEN placeholders > 0 THEN 'placeholders' END) AS errors,
+  rows = (SELECT count(*) FROM utt) AND duplicated = 0 AND bad_prefix = 0 AND placeholders = 0 AS ok FROM c""")
 def i05(spark, d):
     w = V.wide(spark, d)
     named = w.select(F.concat(F.when(F.col("n") % 50 == 7, "X_").otherwise("ID_"), F.col("id").cast("string")).alias("id"), F.col("drop7").alias("t"))
-    return C.public_file_check(named, "id", "t", F.col("rows"), "ID_")
+    twice = w.where("n % 60 = 1 AND n % 50 <> 7").select(F.concat(F.lit("ID_"), F.col("id").cast("string")).alias("id"), F.lit("nan").alias("t"))
+    return C.public_file_check(named.unionByName(twice), "id", "t", V.utterances(spark, d).count(), "ID_")
 
 
+# The route order is falling ids. English caches keep it, Spanish ones are sorted by id, French ones have
+# rows out of place, German ones miss rows, and some rows belong to no route.
 @query("i06_route_cache", """
-WITH c AS (SELECT id, id + CASE WHEN decode_lang = 'fr' AND n % 20 = 0 THEN 1 ELSE 0 END AS o FROM routes WHERE NOT (decode_lang = 'de' AND n % 30 = 0)),
-j AS (SELECT r.decode_lang, count(*) AS expected, count(*) FILTER (c.id IS NULL) AS missing, 0::BIGINT AS extra, count(*) FILTER (c.o <> c.id) AS moved FROM routes r LEFT JOIN c USING (id) GROUP BY ALL)
-SELECT *, missing = 0 AS exact, missing = 0 AND moved = 0 AS ordered FROM j""")
+WITH c AS (SELECT id, decode_lang, CASE WHEN decode_lang = 'es' THEN id WHEN decode_lang = 'fr' AND n % 20 = 0 THEN -id - 1000000000 ELSE -id END AS o
+  FROM routes WHERE NOT (decode_lang = 'de' AND n % 30 = 0)),
+p AS (SELECT id, row_number() OVER (PARTITION BY decode_lang ORDER BY o) AS here FROM c),
+e AS (SELECT id, decode_lang, row_number() OVER (PARTITION BY decode_lang ORDER BY -id) AS in_route, row_number() OVER (PARTITION BY decode_lang ORDER BY id) AS by_key FROM routes),
+j AS (SELECT decode_lang, count(*) AS expected, count(*) FILTER (here IS NULL) AS missing, 0::BIGINT AS extra, count(*) FILTER (here <> in_route) AS off_route_order,
+    count(*) FILTER (here <> by_key) AS off_key_order FROM e LEFT JOIN p USING (id) GROUP BY decode_lang
+  UNION ALL SELECT NULL, 0, 0, count(*), 0, 0 FROM routes WHERE n % 40 = 0 HAVING count(*) > 0)
+SELECT *, missing = 0 AND extra = 0 AS exact, missing = 0 AND extra = 0 AND (off_route_order = 0 OR off_key_order = 0) AS ordered FROM j""")
 def i06(spark, d):
-    r = V.routes(spark, d)
-    shift = F.when((F.col("decode_lang") == "fr") & (F.col("n") % 20 == 0), 1).otherwise(0)
-    cache = r.where("not (decode_lang = 'de' and n % 30 = 0)").select("id", (F.col("id") + shift).alias("o"))
-    return C.route_cache_check(r, cache, "id", "decode_lang", "o")
+    r = V.routes(spark, d).withColumn("q", -F.col("id"))
+    o = F.when(F.col("decode_lang") == "es", F.col("id")).when((F.col("decode_lang") == "fr") & (F.col("n") % 20 == 0), F.col("q") - 1000000000).otherwise(F.col("q"))
+    cache = r.where("not (decode_lang = 'de' and n % 30 = 0)").select("id", o.alias("o"))
+    stray = r.where("n % 40 = 0").select((-F.col("id") - 1).alias("id"), F.lit(0).cast("long").alias("o"))
+    return C.route_cache_check(r, cache.unionByName(stray), "id", "decode_lang", "q", "o")
 
 
 @query("i07_pack_rows", """
@@ -188,9 +209,19 @@ def i09(spark, d):
 
 
 @query("i10_label_checks", """
-SELECT language, split, count(*) AS rows, 0::BIGINT AS duplicated, 0::BIGINT AS blank, 0::BIGINT AS other_language, count(DISTINCT speaker_id) AS speakers, true AS ok FROM utt GROUP BY ALL""")
+WITH l AS (SELECT id, speaker_id, split, language AS wanted, CASE WHEN n % 41 = 0 THEN 'xx' ELSE language END AS language, CASE WHEN n % 53 = 0 THEN ' ' ELSE reference END AS t FROM utt
+  UNION ALL SELECT id, speaker_id, split, language, language, reference FROM utt WHERE n % 67 = 0),
+k AS (SELECT wanted, split, id, count(*) AS n, count(*) FILTER (trim(t) = '') AS blank, count(*) FILTER (language <> wanted) AS other FROM l GROUP BY ALL),
+c AS (SELECT wanted, split, sum(n)::BIGINT AS rows, count(*) FILTER (n > 1) AS duplicated, sum(blank)::BIGINT AS blank, sum(other)::BIGINT AS other_language FROM k GROUP BY ALL)
+SELECT c.*, s.speakers, duplicated = 0 AND blank = 0 AND other_language = 0 AS ok
+FROM c JOIN (SELECT wanted, split, count(DISTINCT speaker_id) AS speakers FROM l GROUP BY ALL) s USING (wanted, split)""")
 def i10(spark, d):
-    return C.label_checks(V.utterances(spark, d), "id", "reference", "language", F.col("language"), "language", "split")
+    u = V.utterances(spark, d).withColumn("wanted", F.col("language"))
+    fetched = u.withColumns({
+        "language": F.when(F.col("n") % 41 == 0, "xx").otherwise(F.col("language")),
+        "reference": F.when(F.col("n") % 53 == 0, " ").otherwise(F.col("reference")),
+    })
+    return C.label_checks(fetched.unionByName(u.where("n % 67 = 0")), "id", "reference", "language", F.col("wanted"), "wanted", "split")
 
 
 @query("k01_set_difference", """

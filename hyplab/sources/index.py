@@ -109,3 +109,10 @@ def labelled_union(parts: Mapping[tuple[str, str], DataFrame], cap: int | None =
             raise ValueError(f"refusing to put the held-out split {split!r} into a labelled set")
     out = union_parts(harmonise(df, lang, split) for (lang, split), df in parts.items())
     return out if cap is None else capped(out, ["language", "split"], "ID", cap)
+
+
+def labelled(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """A09 over one table that already has language and split: held-out splits are left out, one scan for all languages."""
+    kept = df.where(~F.col("split").isin(*FORBIDDEN_SPLITS))
+    out = harmonise(kept, F.col("language"), F.col("split"))
+    return out if cap is None else capped(out, ["language", "split"], "ID", cap)

@@ -134,3 +134,20 @@ def test_prototype_margin(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.0, 1.0])], "label int, v array<double>")
     out = P.prototype_margin(df, P.prototypes(df, "label", "v", (0, 1)), "v", 0, 1).collect()
     assert all((r["margin"] > 0) == (r["label"] == 0) for r in out)
+
+
+@pytest.mark.parametrize("short, block", [(200, 20_992), (2, 20_992), (2, 3)])
+def test_word_distance_with_every_token_coding(spark, monkeypatch, short, block):
+    monkeypatch.setattr(D, "_SHORT", short)
+    monkeypatch.setattr(D, "_BLOCK_SIZE", block)
+    rows = [("a b c d e f", "a x c e f g"), ("a b", "b a"), ("", "a b c d"), ("one two three four five", "one two four five six seven")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = D.with_word_distance(df, "d", T.words(F.col("x")), T.words(F.col("y"))).collect()
+    assert [r["d"] for r in got] == [3, 2, 4, 3]
+
+
+def test_word_distance_of_a_long_pair(spark):
+    words = [f"w{i}" for i in range(3000)]
+    other = words[:10] + ["new"] + words[10:2000] + words[2005:]
+    df = spark.createDataFrame([(" ".join(words), " ".join(other))], "x string, y string")
+    assert D.with_word_distance(df, "d", T.words(F.col("x")), T.words(F.col("y"))).first()["d"] == 6

@@ -20,10 +20,10 @@ def test_fusion_reasons(spark):
 
 def test_overlay(spark):
     floor = spark.createDataFrame([("A", "hello world"), ("B", "")], "id string, t string")
-    new = spark.createDataFrame([("A", "hello earth"), ("B", " ")], "id string, t string")
-    assert {r["id"]: r["t"] for r in M.overlay(floor, new, "id", "t").collect()} == {"A": "hello earth", "B": "."}
+    new = spark.createDataFrame([("A", "hello earth", 2), ("A", "hello moon", 1), ("B", " ", 3)], "id string, t string, o int")
+    assert {r["id"]: r["t"] for r in M.overlay(floor, new, "id", "t", "o").collect()} == {"A": "hello earth", "B": "."}
     with pytest.raises(Exception, match="unknown id"):
-        M.overlay(floor, spark.createDataFrame([("Z", "x")], "id string, t string"), "id", "t").collect()
+        M.overlay(floor, spark.createDataFrame([("Z", "x", 1)], "id string, t string, o int"), "id", "t", "o").collect()
 
 
 def test_lexicon_correction_equals_brute_force(spark):
@@ -184,3 +184,13 @@ def test_fold_pieces_equal_plain_greedy():
                 got.append(piece[2][(pos - piece[1]) % len(piece[2])])
         assert got == want
     assert len(_fold_pieces([(10**9, 1), (1, 10**10)], 5)) < 20
+
+
+def test_ids_in_two_parts_are_an_error(spark):
+    from hyplab.operators import contracts as C
+
+    good = spark.createDataFrame([(1, "train"), (2, "test"), (1, "train")], "id int, part string")
+    assert C.require_disjoint(good, "id", "part").count() == 3
+    bad = good.union(spark.createDataFrame([(2, "train")], "id int, part string"))
+    with pytest.raises(Exception, match="more than one part: 2"):
+        C.require_disjoint(bad, "id", "part").collect()
