@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hyplab.functions import distance as D, fixed, text as T
+from hyplab.operators.sizing import keep
 
 
 def mass_gate(a: Column, b: Column, c: Column, *, min_a: float, max_b: float, min_margin: float, max_c: float) -> Column:
@@ -122,9 +123,11 @@ def pool_gates(df: DataFrame, key: str, thr: float, thr_hi: float | None = None,
         "ngram_marker": (F.col("ngram") >= 0.15) & (F.col("marker") >= 2.0) & (p >= 0.99) & (o >= thr),
     }
     rows = F.array(*[F.when(c, F.lit(name)) for name, c in gates.items()])
+    df = keep(df.select(key, "ortho", "ngram", "marker", "p1", "error", "conf_delta"))  # the scoring plan runs once
     flagged = df.select(key, F.explode(F.filter(rows, lambda g: g.isNotNull())).alias("gate"))
+    # the bounded head is taken once and labelled by rank
     head = df.select(key, "ortho").orderBy(F.desc("ortho"), key).limit(max(tops))
-    for k in tops:
-        best = head.orderBy(F.desc("ortho"), key).limit(k).select(key, F.lit(f"top{k}").alias("gate"))
-        flagged = flagged.unionByName(best)
-    return flagged
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("ortho"), key))
+    labels = F.array(*[F.when(F.col("_r") <= k, F.lit(f"top{k}")) for k in tops])
+    best = head.withColumn("_r", rank).select(key, F.explode(F.filter(labels, lambda g: g.isNotNull())).alias("gate"))
+    return flagged.unionByName(best)
