@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (behind a closing mark or at a line end; a sentence is cut
-again every ``longest`` words). Every run of consecutive sentences, at least two and at
-least ``min_words`` words, is hashed over its lower-cased words. A global join finds the
-runs that occur more than once; the document with the least doc_id keeps its first
+again every ``longest`` words). From every sentence the shortest run of at least
+``sentences`` consecutive sentences and ``min_words`` words is hashed over its
+lower-cased words. A global join finds the runs that occur more than once; the document with the least doc_id keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
 
 A document sends each distinct run once, counting is by hash with map-side minima, and
@@ -34,8 +34,8 @@ CLOSERS = np.frombuffer(b".!?", np.uint8)
 @dataclass(frozen=True)
 class Bounds:
     sentences: int = 2
-    min_words: int = 25
-    longest: int = 20
+    min_words: int = 12
+    longest: int = 10
 
 
 @dataclass
@@ -66,10 +66,8 @@ def spans(block: K.Block, bounds: Bounds) -> Spans:
     owner = np.searchsorted(w_at, at, "right") - 1
     count = len(at)
     edge = np.append(at, n)
-    wanted = np.searchsorted(edge, at + bounds.min_words)  # first sentence edge with enough words before it
-    last = np.maximum(np.arange(count) + bounds.sentences, wanted)
-    stop = np.searchsorted(owner, owner, "right")
-    first = np.flatnonzero(last <= stop)
+    last = np.maximum(np.arange(count) + bounds.sentences, np.searchsorted(edge, at + bounds.min_words))
+    first = np.flatnonzero(last <= np.searchsorted(owner, owner, "right"))
     last = last[first]
     total = np.concatenate([np.zeros(1, np.uint64), np.zeros(n, np.uint64)])
     up, down = K.powers(n)
