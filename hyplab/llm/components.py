@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from hyplab.llm.store import cut
 
+ROWS_PER_PARTITION = 200_000
+MAX_BROADCAST_ROWS = 500_000
+
 
 def _mark(edges: DataFrame) -> tuple[int, int | None]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -25,11 +28,14 @@ def stars(edges: DataFrame) -> DataFrame:
     now = cut(now)
     mark = _mark(now)
     while mark[0]:
+        # two numbers a row and a counted number of rows: small tables are broadcast and kept in few partitions
+        side = (lambda df: F.broadcast(df)) if mark[0] <= MAX_BROADCAST_ROWS else (lambda df: df)
+        now = now.coalesce(-(-mark[0] // ROWS_PER_PARTITION))
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        up = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        up = both.where("y > x").join(side(least), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = up.groupBy("u").agg(F.min("v").alias("m"))
-        hung = up.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = up.join(side(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(low.select("u", F.col("m").alias("v")).union(hung).distinct())
         before, mark = mark, _mark(now)
         if before == mark:

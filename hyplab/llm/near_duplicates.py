@@ -12,8 +12,8 @@ signatures differ in as many lanes as MinHash draws differ, on average 48 * (1 -
   far less.
 * **First links.** Members of a key are compared with one leading member, not with each
   other, and pairs that pass in size and signature are confirmed on their full sets.
-  That links groups of copies of any size by one row per member. Two more turns do the
-  same for components: one member of each component in a key with one of its largest.
+  That links groups of copies of any size by one row per member. A second turn does
+  the same for components: one member of each component in a key with one of its largest.
 * **The rest of a key.** Keys whose members are still in several components could hide
   a link. Their documents (and only these) are compared by rare shingles: two sets of
   the wanted similarity share one of their rarest quarter, at a place early enough for
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hyplab.llm import kernels as K
 from hyplab.llm.components import stars
-from hyplab.llm.store import cut
+from hyplab.llm.store import cut, snug
 
 WORDS = 5
 SIMILAR = 75  # percent
@@ -47,7 +47,8 @@ CHUNKS, PER_CHUNK = 12, 4
 LANES = CHUNKS * PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 RARITY_BITS = 18
-TURNS = 3
+SLIM_ROWS, TEXT_ROWS = 200_000, 10_000  # rows of a partition, without and with texts
+TURNS = 2
 
 _draw = np.random.default_rng(48)
 _FACTOR = _draw.integers(0, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -255,18 +256,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     keys = classes.select("node", F.explode(_keys(F.col("chunks"))).alias("key"))
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    members = cut(keys.join(heads, "key"))
+    members = snug(cut(keys.join(heads, "key")), SLIM_ROWS)
     involved = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-    texts = cut(_texts(docs, involved))
+    texts = snug(cut(_texts(docs, involved)), TEXT_ROWS)
 
     roots = None
     for turn in range(TURNS):
         linked = confirm(_plausible(_spokes(_placed(members, roots), turn), classes), texts)
         roots = stars(linked if roots is None else linked.union(_edges(roots)))
 
-    placed = cut(_placed(members, roots))
+    placed = snug(cut(_placed(members, roots)), SLIM_ROWS)
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = cut(placed.join(mixed, "key").select("node", "root").distinct().join(texts, "node"))
+    rest = snug(rest, TEXT_ROWS)
     more = cut(confirm(_rare_pairs(rest), texts))
     if more.limit(1).count():
         roots = stars(more.union(_edges(roots)))

@@ -30,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def snug(df: DataFrame, rows: int) -> DataFrame:
+    """A cut frame in partitions of about ``rows`` rows, never more of them than before.
+
+    Counting a cut frame is cheap, and a small table in hundreds of partitions costs every
+    later shuffle hundreds of files. The number of partitions grows with the table.
+    """
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per Spark context, so that its functions can be loaded there."""
     context = spark.sparkContext
