@@ -36,6 +36,7 @@ from hyplab.llm.store import cut
 LEADING = 3
 SEGMENTS = 4
 WIDE_FROM = 8
+HOT = 1000
 _FIELD = np.uint64(0x0123456789ABCDEF)
 _STEP = 0xA0761D6478BD642F
 
@@ -115,8 +116,13 @@ def recurring(docs: DataFrame, bounds: Bounds) -> DataFrame:
     seen = occurrences(docs, bounds)
     live = seen.groupBy("leaf").count().where(F.col("count") >= bounds.min_documents).select("leaf")
     lines = cut(seen.join(live, "leaf").select("__id", "__hash", F.explode("templates").alias("template")))
-    often = lines.groupBy("template").count().where(F.col("count") >= bounds.min_documents).select("template")
-    return lines.join(often, "template").groupBy("__id", "__hash").agg(F.collect_set("template").alias("__drop"))
+    often = cut(lines.groupBy("template").count().where(F.col("count") >= bounds.min_documents))
+    # fewer than HOT templates can hold more than their share of the lines: those go to the lines, the others meet by shuffle
+    share = (often.agg(F.sum("count")).first()[0] or 0) / HOT
+    hot = F.broadcast(often.where(F.col("count") > share).select("template"))
+    cold = often.where(F.col("count") <= share).select("template")
+    met = lines.join(hot, "template").union(lines.join(hot, "template", "left_anti").join(cold, "template"))
+    return met.groupBy("__id", "__hash").agg(F.collect_set("template").alias("__drop"))
 
 
 def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
