@@ -47,7 +47,7 @@ def _probability(train: DataFrame, test: DataFrame, counts: tuple[int, int], nam
     weighted = train.withColumn("_w", balanced if weight == "balanced" else F.lit(1.0))
     # the inverse strength counts rows, so the penalty is scaled by them; features are scaled inside
     model = LogisticRegression(
-        featuresCol=f"x_{name}", labelCol="label", weightCol="_w", regParam=1.0 / (c * n), maxIter=15, tol=1e-4, standardization=True
+        featuresCol=f"x_{name}", labelCol="label", weightCol="_w", regParam=1.0 / (c * n), maxIter=200, tol=1e-6, standardization=True
     ).fit(weighted)
     return model.transform(test).select(*test.columns, vector_to_array("probability")[1].alias("p"))
 

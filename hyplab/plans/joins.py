@@ -147,14 +147,15 @@ WITH f AS (SELECT a.id, a.system AS alt, a.confidence, a.we, a.ce, a.nw, a.nc, b
       LEFT JOIN lex l ON l.language = t.language AND l.word = t.word GROUP BY ALL) o ON o.id = a.id AND o.system = a.system
   WHERE a.system <> 'drop7'),
 g AS (SELECT lo, hi, oov_max, conf_min FROM (VALUES (0.70::DOUBLE, 1.40::DOUBLE), (0.85::DOUBLE, 1.40::DOUBLE), (0.90::DOUBLE, 1.20::DOUBLE)) l(lo, hi),
-  (VALUES (0.20::DOUBLE), (0.35::DOUBLE), (0.50::DOUBLE)) o(oov_max), (VALUES (-1.0::DOUBLE), (-0.075::DOUBLE), (-0.05::DOUBLE)) c(conf_min)),
-x AS (SELECT f.*, g.*, ratio BETWEEN lo AND hi AND oov <= oov_max AND confidence >= conf_min AS take FROM f, g)
+  (VALUES (0.20::DOUBLE), (0.35::DOUBLE), (0.50::DOUBLE)) o(oov_max), (SELECT NULL::DOUBLE AS conf_min UNION ALL SELECT unnest([round(quantile_cont(confidence, 0.25), 6), round(quantile_cont(confidence, 0.5), 6)]) FROM f)),
+x AS (SELECT f.*, g.*, ratio BETWEEN lo AND hi AND oov <= oov_max AND (conf_min IS NULL OR coalesce(confidence >= conf_min, false)) AS take FROM f, g)
 SELECT alt, R6(lo) AS length_lo, R6(hi) AS length_hi, R6(oov_max) AS oov_max, R6(conf_min) AS conf_min, count(*) FILTER (take) AS switched,
   count(*) AS n, R6(0.5 * sum(CASE WHEN take THEN we ELSE bwe END)::DOUBLE / sum(nw) + 0.5 * sum(CASE WHEN take THEN ce ELSE bce END)::DOUBLE / sum(nc)) AS score
 FROM x GROUP BY ALL""")
 def e09(spark, d):
     feats = Y.pair_table(V.scored(spark, d), "drop7", X.lexicon(V.utterances(spark, d)))
-    return Y.grid_scores(feats, Y.GUARD_GRID, by=["alt"]).select(
+    grid = Y.GUARD_GRID | {"conf_min": Y.confidence_bounds(feats)}
+    return Y.grid_scores(feats, grid, by=["alt"]).select(
         "alt", "length_lo", "length_hi", "oov_max", "conf_min", "switched", "n", "score"
     )
 

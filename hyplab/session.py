@@ -23,18 +23,6 @@ def local_session(cores: str | int = "*", app: str = "hyplab", shuffle_partition
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Keep the checkpoint folder the cluster names; set ``fallback`` only when none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan that came in fewer splits than there are cores.
 
