@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hyplab.functions import kernels as K
 from hyplab.operators import calibrate as C, fuse as M, gates as G, lexicon as X, promote as P, resample as R
 
 
@@ -153,9 +154,10 @@ def test_lattice_fusion(spark):
 
 def test_anomaly_reasons_and_medoid(spark):
     rows = [("na ko", "na k", 0.0, 0.0, 0.5, "dangling_one_character_terminal"), ("na moko", "na moko mok", 0.0, 0.0, 0.5, "trailing_prefix_fragment"),
-            ("aa bb cc", "aa xx yy zz cc", 0.0, 0.3, 0.1, "localized_one_to_three_expansion;oov_blowup_gt_0.10"), ("aa bb", "aa bb", 0.0, 0.0, 0.0, "")]
+            ("aa bb cc", "aa xx yy zz cc", 0.0, 0.3, 0.1, "localized_one_to_three_expansion;production_oov_blowup_gt_0.10"), ("aa bb", "aa bb", 0.0, 0.0, 0.0, "")]
     df = spark.createDataFrame(rows, "a string, b string, oa double, ob double, d double, want string")
-    got = df.select("want", M.anomaly_reasons(*[F.col(c) for c in ("a", "b", "oa", "ob", "d")]).alias("r")).collect()
+    ops = K.alignment(F.col("a"), F.col("b"))
+    got = df.select("want", M.anomaly_reasons(*[F.col(c) for c in ("a", "b", "oa", "ob", "d")], ops).alias("r")).collect()
     # a dangling one-letter word is also a prefix of the word before it in the first row
     assert [set(r["r"].split(";")) >= set(r["want"].split(";")) for r in got] == [True] * 4 and got[3]["r"] == ""
     hyps = spark.createDataFrame([(1, 0, "p", "abcd"), (1, 1, "q", "abce"), (1, 2, "r", "abxe"), (2, 0, "p", "same"), (2, 1, "q", "same")], "id int, pos int, system string, hypothesis string")
