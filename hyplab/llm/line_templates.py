@@ -91,30 +91,40 @@ def parse(block: K.Block) -> Lines:
     return Lines(owner, l_start, l_end, n, leaf, K.mix(whole), wide)
 
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Marks the first place of each key."""
+    out = np.zeros(len(keys), bool)
+    out[np.unique(keys, return_index=True)[1]] = True
+    return out
+
+
 def occurrences(docs: DataFrame, bounds: Bounds) -> DataFrame:
-    """The distinct lines of each document: __id, __hash (of the text), leaf and templates (narrow, then wide ones)."""
+    """The distinct lines of each document: __id, __hash (of the text), leaf, opens (1 at the first line of a
+    leaf in a document, else 0) and the templates that no line of the document had before."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for row, block in K.blocks(batch.column(2)):
             x = parse(block)
             pick = np.flatnonzero(x.n >= bounds.min_tokens)
-            key = K.mix(x.narrow[pick] ^ K.mix(x.owner[pick].astype(np.uint64) + np.uint64(1)))
-            pick = pick[np.unique(key, return_index=True)[1]]
-            made = np.column_stack([x.narrow[pick], x.wide[pick]]).view(np.int64)
-            sizes = np.where(x.n[pick] >= WIDE_FROM, SEGMENTS + 1, 1)
-            keep = np.arange(SEGMENTS + 1)[None, :] < sizes[:, None]
+            own = K.mix(x.owner[pick].astype(np.uint64) + np.uint64(1))
+            once = np.unique(K.mix(x.narrow[pick] ^ own), return_index=True)[1]
+            pick, own = pick[once], own[once]
+            made = np.column_stack([x.narrow[pick], x.wide[pick]])
+            full = np.arange(SEGMENTS + 1)[None, :] < np.where(x.n[pick] >= WIDE_FROM, SEGMENTS + 1, 1)[:, None]
+            keep = _firsts(K.mix(made ^ own[:, None]).ravel()).reshape(made.shape) & full
             rows = pa.array(x.owner[pick] + row)
             yield {"__id": batch.column(0).take(rows), "__hash": batch.column(1).take(rows), "leaf": x.leaf[pick].view(np.int64),
-                   "templates": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), made[keep])}
+                   "opens": _firsts(K.mix(x.leaf[pick] ^ own)).astype(np.int64),
+                   "templates": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32), made[keep].view(np.int64))}
 
     keyed = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text")
-    return K.map_batches(keyed, ["__id", "__hash", "text"], "__id long, __hash long, leaf long, templates array<long>", run)
+    return K.map_batches(keyed, ["__id", "__hash", "text"], "__id long, __hash long, leaf long, opens long, templates array<long>", run)
 
 
 def recurring(docs: DataFrame, bounds: Bounds) -> DataFrame:
     """__id, __hash and the recurring templates that the document's lines belong to, for documents that have any."""
     seen = occurrences(docs, bounds)
-    live = seen.groupBy("leaf").count().where(F.col("count") >= bounds.min_documents).select("leaf")
+    live = seen.groupBy("leaf").agg(F.sum("opens").alias("n")).where(F.col("n") >= bounds.min_documents).select("leaf")
     lines = cut(seen.join(live, "leaf").select("__id", "__hash", F.explode("templates").alias("template")))
     often = cut(lines.groupBy("template").count().where(F.col("count") >= bounds.min_documents))
     # fewer than HOT templates can hold more than their share of the lines: those go to the lines, the others meet by shuffle

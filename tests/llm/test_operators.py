@@ -331,3 +331,13 @@ def test_templates_with_fields_recur_and_copies_stay_whole(spark):
     assert all(got[i]["text"] == body(i) for i in range(12))
     assert all(got[100 + i]["text"] == body(100 + i) for i in range(12))
     assert all(got[200 + i]["mostly_recurring"] and got[200 + i]["n_lines_dropped"] == 0 for i in range(12))
+
+
+def test_lines_of_one_document_do_not_make_a_template(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    table = "\n".join(f"the entry for the item called {word()} is listed here" for _ in range(10))
+    prose = "\n".join(" ".join(word() for _ in range(14)) for _ in range(30))
+    rows = [(1, prose + "\n" + table)] + [(i, " ".join(word() for _ in range(20))) for i in range(2, 20)]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_lines_dropped"] == 0 and got[1]["text"] == rows[0][1]
