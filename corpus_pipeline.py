@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; n_chars follows the text."""
-    left = line_templates.drop_recurring(docs.select(*DOCUMENT))
+    """Documents without lines of recurring templates, near duplicates counted once; n_chars follows the text."""
+    classes = cut(near_duplicates.components(docs))
+    left = line_templates.drop_recurring(docs.select(*DOCUMENT), line_templates.EVERY_LINE, classes)
     n_chars = F.when(F.col("n_lines_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*DOCUMENT)
 

@@ -10,8 +10,12 @@ documents hold it; its lines are dropped from all of them.
 Wide templates are only formed in leaves (same length and leading tokens) that enough
 documents reach, which prose rarely does. Counting is by hash with map-side sums, so a
 line that a third of all documents share is one row per task. A document that would
-lose more than ``max_loss`` percent of its words is a copy of others rather than a
-carrier of boilerplate; it stays whole for near-duplicate detection and is marked.
+lose all its words, or more than ``max_loss`` percent of them, stays whole and is marked.
+
+Copies share all their lines, boilerplate or not. With ``classes``, a class of near
+duplicates counts as one document; then a line can be judged by itself, whatever its
+share of a document, and ``EVERY_LINE`` drops recurring lines of any length from every
+document. Without classes, ``max_loss`` is what protects copies.
 
 Lines of fewer than ``min_tokens`` tokens are never templates. Null and empty texts come
 back empty. Rows alike in doc_id and text each count as a document and get the same
@@ -48,6 +52,9 @@ class Bounds:
     max_loss: int = 33
 
 
+EVERY_LINE = Bounds(min_tokens=1, max_loss=100)
+
+
 @dataclass
 class Lines:
     """Lines with tokens of a block: owner text, byte span, token span and hashes."""
@@ -121,12 +128,19 @@ def occurrences(docs: DataFrame, bounds: Bounds) -> DataFrame:
     return K.map_batches(keyed, ["__id", "__hash", "text"], "__id long, __hash long, leaf long, opens long, templates array<long>", run)
 
 
-def recurring(docs: DataFrame, bounds: Bounds) -> DataFrame:
+def recurring(docs: DataFrame, bounds: Bounds, classes: DataFrame | None = None) -> DataFrame:
     """__id, __hash and the recurring templates that the document's lines belong to, for documents that have any."""
     seen = occurrences(docs, bounds)
     live = seen.groupBy("leaf").agg(F.sum("opens").alias("n")).where(F.col("n") >= bounds.min_documents).select("leaf")
     lines = cut(seen.join(live, "leaf").select("__id", "__hash", F.explode("templates").alias("template")))
-    often = cut(lines.groupBy("template").count().where(F.col("count") >= bounds.min_documents))
+    if classes is None:
+        counted = lines.groupBy("template").agg(F.count("*").alias("count"), F.count("*").alias("n"))
+    else:
+        known = classes.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__text"), "root")
+        placed = lines.join(known, lines["__id"].eqNullSafe(known["__doc"]) & (lines["__hash"] == known["__text"]))
+        held = placed.groupBy("template", "root").count()
+        counted = held.groupBy("template").agg(F.sum("count").alias("count"), F.count("*").alias("n"))
+    often = cut(counted.where(F.col("n") >= bounds.min_documents).select("template", "count"))
     # fewer than HOT templates can hold more than their share of the lines: those go to the lines, the others meet by shuffle
     share = (often.agg(F.sum("count")).first()[0] or 0) / HOT
     hot = F.broadcast(often.where(F.col("count") > share).select("template"))
@@ -135,10 +149,11 @@ def recurring(docs: DataFrame, bounds: Bounds) -> DataFrame:
     return met.groupBy("__id", "__hash").agg(F.collect_set("template").alias("__drop"))
 
 
-def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds(), classes: DataFrame | None = None) -> DataFrame:
     """``docs`` with recurring lines gone from ``text`` and n_lines, n_lines_dropped, n_words_dropped (long) and
-    mostly_recurring (boolean: left whole because it would lose too much)."""
-    found = recurring(docs, bounds)
+    mostly_recurring (boolean: left whole because it would lose too much). ``classes`` has doc_id, hash (of the text)
+    and root, once for each document with words, as ``near_duplicates.components`` gives them."""
+    found = recurring(docs, bounds, classes)
     names = [c for c in docs.columns if c != "text"]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     own = {"text": "string", "n_lines": "bigint", "n_lines_dropped": "bigint", "n_words_dropped": "bigint", "mostly_recurring": "boolean"}
@@ -166,7 +181,7 @@ def drop_recurring(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
             gone &= x.n >= bounds.min_tokens
             words = np.bincount(x.owner, x.n, block.n).astype(np.int64)
             lost = np.bincount(x.owner[gone], x.n[gone], block.n).astype(np.int64)
-            much = lost * 100 > words * bounds.max_loss
+            much = (lost * 100 > words * bounds.max_loss) | ((lost == words) & (lost > 0))
             gone &= ~much[x.owner]
             texts = batch.column(n).slice(row, block.n)
             changed = np.unique(x.owner[gone])

@@ -89,7 +89,7 @@ def chunks_of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (name of the set, null when empty) and the signature's chunks."""
+    """doc_id, n_shingles, node (name of the set, null when empty), the signature's chunks and hash (of the text)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for row, block in K.blocks(batch.column(1)):
@@ -103,9 +103,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield {
                 "doc_id": batch.column(0).slice(row, block.n), "n_shingles": n,
                 "node": pa.array(set_ids(values, at), mask=~full), "chunks": pa.array(sig, pa.list_(pa.int64())),
+                "hash": batch.column(2).slice(row, block.n),
             }
 
-    return K.map_batches(docs, ["doc_id", "text"], "doc_id long, n_shingles long, node long, chunks array<long>", run)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    return K.map_batches(keyed, ["doc_id", "text", "hash"], "doc_id long, n_shingles long, node long, chunks array<long>, hash long", run)
 
 
 def _keys(chunks: Column) -> Column:
@@ -247,8 +249,8 @@ def _spokes(placed: DataFrame, turn: int) -> DataFrame:
     return pairs.where("root <> hub").select("a", F.col("node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept, one row per row of ``docs``."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``docs`` and, per set: node, the least doc_id that holds it, and root (the same in a component)."""
     sigs = cut(signatures(docs))
     classes = cut(
         sigs.where("node IS NOT NULL").groupBy("node")
@@ -273,8 +275,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         roots = stars(more.union(_edges(roots)))
 
-    rooted = classes.select("node", "doc_id").join(roots, "node", "left").select(
+    return sigs, classes.select("node", "doc_id").join(roots, "node", "left").select(
         "node", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (xxhash64 of the text) and root, the same for all near duplicates; texts without words have no row."""
+    sigs, rooted = _linked(docs)
+    return sigs.select("doc_id", "hash", "node").distinct().join(rooted.select("node", "root"), "node").select("doc_id", "hash", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept, one row per row of ``docs``."""
+    sigs, rooted = _linked(docs)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = rooted.join(least, "root").select("node", "component_id")
     return sigs.select("doc_id", "n_shingles", "node").join(names, "node", "left").select(

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hyplab.llm import (
     components, kernels as K, line_rules, line_templates, mixing, near_duplicates as ND, packing, quality_classifier as QC,
     sentence_spans, sharding, simhash, toxicity,
@@ -341,3 +342,18 @@ def test_lines_of_one_document_do_not_make_a_template(spark):
     rows = [(1, prose + "\n" + table)] + [(i, " ".join(word() for _ in range(20))) for i in range(2, 20)]
     got = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["n_lines_dropped"] == 0 and got[1]["text"] == rows[0][1]
+
+
+def test_short_pages_lose_their_boilerplate_and_near_copies_count_once(spark):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    own = [" ".join(word() for _ in range(11)) for _ in range(12)]
+    common = [" ".join(word() for _ in range(12)) for _ in range(6)]
+    rows = [(i, f"Home\nContact us\n{x}\nLicensed under the Apache License, Version two.") for i, x in enumerate(own)]
+    rows += [(100 + i, "\n".join([*common, word()])) for i in range(15)]
+    rows += [(200, "Home\nContact us"), (None, f"Home\n{common[0]} {word()}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert all(got[i] == x for i, x in enumerate(own))
+    assert all(got[i] == t for i, t in rows if i is not None and 100 <= i <= 200)
+    assert got[None] == rows[-1][1].removeprefix("Home\n")
