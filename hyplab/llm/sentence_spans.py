@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (behind a closing mark or at a line end; a sentence is cut
-again every ``longest`` words). From every sentence the shortest run of at least
+A text is cut into sentences (behind a closing mark or at a line end). A sentence of more
+than ``longest`` words is cut again before each word whose hash is least among ``around``
+words on either side, and every ``longest`` words counted from such a cut: a passage is
+cut alike whatever words stand before it. From every sentence, and up to every sentence, the shortest run of at least
 ``sentences`` consecutive sentences and ``min_words`` words is hashed over its
 lower-cased words. A global join finds the runs that occur more than once; the document with the least doc_id keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hyplab.llm import kernels as K
 
-CLOSERS = np.frombuffer(b".!?", np.uint8)
+CLOSERS = tuple(c.encode() for c in ".!?…。！？｡؟۔।॥።")
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,7 @@ class Bounds:
     sentences: int = 2
     min_words: int = 12
     longest: int = 10
+    around: int = 2
 
 
 @dataclass
@@ -49,17 +52,41 @@ class Spans:
     hash: np.ndarray
 
 
+def _closed(data: np.ndarray, w_start: np.ndarray, w_end: np.ndarray) -> np.ndarray:
+    """Which words end in a closing mark."""
+    out = np.zeros(len(w_end), bool)
+    for mark in CLOSERS:
+        hit = w_end - w_start >= len(mark)
+        for k, byte in enumerate(reversed(mark), 1):
+            hit &= data[np.maximum(w_end - k, 0)] == byte
+        out |= hit
+    return out
+
+
+def _least(words: np.ndarray, sentence: np.ndarray, around: int) -> np.ndarray:
+    """Which words have the least hash among their neighbours in the sentence; of equal ones the first."""
+    out = np.ones(len(words), bool)
+    for k in range(1, around + 1):
+        same, before, behind = sentence[:-k] == sentence[k:], words[:-k], words[k:]
+        out[k:] &= ~same | (behind < before)
+        out[:-k] &= ~same | (before <= behind)
+    return out
+
+
 def spans(block: K.Block, bounds: Bounds) -> Spans:
     w_start, w_end, w_at = block.words()
     n = len(w_start)
     words = K.Block.span_hash(block.prefix(K.LOWER), w_start, w_end)
     breaks = np.concatenate([[0], np.cumsum(block.data == K.NEWLINE)])
-    ends = np.isin(block.data[w_end - 1], CLOSERS) if n else np.zeros(0, bool)
+    ends = _closed(block.data, w_start, w_end) if n else np.zeros(0, bool)
     if n:
         ends[:-1] |= breaks[w_start[1:]] > breaks[w_end[:-1]]
         stops = w_at[1:] - 1
         ends[stops[np.diff(w_at) > 0]] = True
     begins = np.concatenate([[True], ends[:-1]]) if n else np.zeros(0, bool)
+    if n:
+        sentence = np.cumsum(begins) - 1
+        begins |= _least(words, sentence, bounds.around) & (np.bincount(sentence)[sentence] > bounds.longest)
     at = np.flatnonzero(begins)
     inside = np.arange(n) - np.repeat(at, np.diff(np.append(at, n))) if n else np.zeros(0, np.int64)
     at = np.flatnonzero(inside % bounds.longest == 0)
@@ -68,7 +95,12 @@ def spans(block: K.Block, bounds: Bounds) -> Spans:
     edge = np.append(at, n)
     last = np.maximum(np.arange(count) + bounds.sentences, np.searchsorted(edge, at + bounds.min_words))
     first = np.flatnonzero(last <= np.searchsorted(owner, owner, "right"))
-    last = last[first]
+    # and the shortest run that ends behind each sentence, so that the end of a passage is covered like its start
+    behind = np.arange(1, count + 1)
+    start = np.minimum(behind - bounds.sentences, np.searchsorted(edge, edge[1:] - bounds.min_words, "right") - 1)
+    good = start >= np.searchsorted(owner, owner)
+    pair = np.unique(np.concatenate([first * (count + 1) + last[first], start[good] * (count + 1) + behind[good]]))
+    first, last = pair // (count + 1), pair % (count + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.zeros(n, np.uint64)])
     up, down = K.powers(n)
     np.cumsum(words * up[:n], out=total[1:])

@@ -357,3 +357,16 @@ def test_short_pages_lose_their_boilerplate_and_near_copies_count_once(spark):
     assert all(got[i] == x for i, x in enumerate(own))
     assert all(got[i] == t for i, t in rows if i is not None and 100 <= i <= 200)
     assert got[None] == rows[-1][1].removeprefix("Home\n")
+
+
+def test_passages_without_marks_are_found_at_every_offset(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    line = lambda n: [word() for _ in range(n)]
+    passages = {k: line(50 + k % 11) for k in range(22)}
+    rows = [(k, " ".join(line(7) + p + line(5))) for k, p in passages.items()]
+    rows += [(100 + k, " ".join(line(k) + p + line(9))) for k, p in passages.items()]
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in passages.items():
+        assert got[k] == rows[k][1]
+        assert len(set(p) & set(got[100 + k].split())) <= len(p) // 2
