@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hyplab.llm import line_rules, line_templates, mixing, near_duplicates, packing, quality_classifier, sentence_spans, sharding, simhash, toxicity
+from hyplab.llm import bin_slack, line_rules, line_templates, mixing, near_duplicates, packing, quality_classifier, sentence_spans, sharding, simhash, toxicity
 from hyplab.llm.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,11 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit(cut(taught), (*toxicity.SEEDS, "toxic"))
     scored = toxicity.score(docs, chain)
     return scored.withColumn("held_out", quality_classifier.held_out(F.col("doc_id")))
+
+
+@register("op11_minimum_bin_slack")
+def op11_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = bin_slack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
