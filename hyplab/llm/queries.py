@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hyplab.llm import bin_slack, line_rules, line_templates, mixing, near_duplicates, packing, quality_classifier, sentence_spans, sharding, simhash, toxicity
+from hyplab.llm import bin_slack, line_rules, line_templates, mixing, near_duplicates, packing, prefix_trie, quality_classifier, sentence_spans, sharding, simhash, toxicity
 from hyplab.llm.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,34 @@ def op11_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = bin_slack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+# CRC-32 of a decimal by table; nodes are lists of turns; a subtree holds the nodes that start with its top.
+OP13_SQL = r"""
+WITH RECURSIVE steps(i, v, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 9 AS h FROM own, crc),
+paths AS (SELECT h.conv_id, list_concat(coalesce(b.turns[:h.h], []), h.turns[h.h + 1:]) AS p
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+members AS (SELECT conv_id, p, unnest(range(len(p) + 1)) AS depth FROM paths),
+nodes AS (SELECT depth, p[:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p) = depth), '')) AS ends_sha256
+  FROM members GROUP BY depth, p[:depth]),
+kids AS (SELECT depth - 1 AS depth, node[:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own_sums AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.node[n.depth].t) END AS saved FROM nodes n LEFT JOIN kids USING (depth, node)),
+up AS (SELECT leaf, saved, node, unnest(range(depth + 1)) AS top FROM own_sums),
+sums AS (SELECT top AS depth, node[:top] AS node, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY top, node[:top])
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM own_sums n JOIN sums s ON s.depth = n.depth AND s.node = n.node LEFT JOIN nodes q ON q.depth = n.depth - 1 AND q.node = n.node[:n.depth - 1]
+"""
+
+
+@register("op13_prefix_trie", OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
