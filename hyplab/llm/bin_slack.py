@@ -30,18 +30,29 @@ joins words over white space are not served; ``same_by_words`` tells.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import struct
+import unicodedata
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from hyplab.llm.store import ship
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
+CHUNK_BYTES = 1 << 22
+CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 300_000, 500_000, 64  # words of a generation, length of a kept word
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # an apostrophe may open a contraction
+_MARKS = MARKS.encode()
+# a byte-level model names a byte by the character of its number where that is visible, else by the next one from 256 on
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+OLD_LETTERS = "\u0600"  # below it, every version of Unicode agrees on what is a letter
 ENCODE_AT_ONCE = 4096
 
 
@@ -141,35 +152,94 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
+class Seen:
+    """What was looked up before, in two generations: a full young one becomes the old one, which is dropped then."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """The keys that are not known; those that are will be found in ``young``."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys:
+            if k not in self.young:
+                if k in self.old:
+                    self.young[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+
+def _small(word: bytes) -> bool:
+    """Whether a word consists of letters that no normaliser changes: composed, small and of long standing."""
+    if word.isalpha():
+        return word.islower()
+    w = word.decode("utf-8", "replace")
+    return w.isalpha() and w == w.lower() and max(w) < OLD_LETTERS and unicodedata.is_normalized("NFC", w)
+
+
 class Words:
-    """Ids of texts by the ids of their words, as little-endian unsigned 32-bit numbers."""
+    """Ids of texts by the ids of their words, as little-endian unsigned 32-bit numbers.
+
+    A word of letters with closing marks behind it is its letters (in lower case where the
+    tokenizer ignores case) and its marks, so far fewer words than stand in the texts are
+    encoded. Composed small letters go straight to the tokenizer's byte-level model where that is the same.
+    """
 
     def __init__(self, described: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(described)
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        self.model = Tokenizer(self.tokenizer.model)
+        self.words, self.parts = Seen(CACHED_WORDS), Seen(CACHED_PARTS)
+        one = lambda w, t=self.tokenizer: t.encode(w, add_special_tokens=False).ids
+        self.caseless = all(one(w) == one(w.lower()) for w in ("A", "Ab", "WORD", "Éa", "Straße"))
+        self.apart = all(one(w + m) == one(w) + one(m) for w in ("a", "word", "é") for m in (*MARKS, "...", "?!"))
+        self.plain = all(one(w) == one(self._levelled(w.encode()), self.model) for w in ("a", "word", "qqxzj", *"bcxyz", "é", "straße", "ñandú", "жук"))
+
+    @staticmethod
+    def _levelled(word: bytes) -> str:
+        return word.decode("latin-1").translate(_BYTE_LEVEL)
+
+    def _encode(self, words: list[bytes], direct: bool = False) -> Iterator[tuple[bytes, bytes]]:
+        tokenizer, text = (self.model, self._levelled) if direct else (self.tokenizer, lambda w: w.decode("utf-8", "replace"))
         for i in range(0, len(words), ENCODE_AT_ONCE):
             part = words[i : i + ENCODE_AT_ONCE]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                yield w, np.asarray(e.ids, "<u4").tobytes()
+            for w, e in zip(part, tokenizer.encode_batch_fast([text(w) for w in part], add_special_tokens=False)):
+                ids = e.ids
+                yield w, struct.pack(f"<{len(ids)}I", *ids)
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(_MARKS)
+        if not stem.isalpha():  # bytes: ASCII letters
+            letters = stem.decode("utf-8", "replace").lower()
+            if not letters.isalpha() or max(letters) >= OLD_LETTERS:
+                return word, b""
+        return stem.lower() if self.caseless else stem, word[len(stem) :]
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = {w: self._split(w) if self.apart else (w, b"") for w in words}
+        new = self.parts.missing(set().union(*split.values()))
+        known = self.parts.young
+        known[b""] = b""
+        known.update(self._encode([w for w in new if _small(w)] if self.plain else [], direct=True))
+        known.update(self._encode([w for w in new if w not in known]))
+        self.words.young.update((w, known[a] + known[b]) for w, (a, b) in split.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         # bytes are split at exactly the six white space bytes of ASCII
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new = set().union(*split) - self.known.keys()
-        long = {w for w in new if len(w) > CACHED_BYTES}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = set().union(*split)
-        self.known.update(self._encode([w for w in new if w not in long]))
+        new = self.words.missing(set().union(*split))
+        long = [w for w in new if len(w) > CACHED_BYTES]
+        self._learn([w for w in new if len(w) <= CACHED_BYTES] if long else new)
+        known = self.words.young
         if not long:
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        rare = dict(self._encode(list(long)))
-        return [b"".join([rare[w] if w in rare else self.known[w] for w in words]) for words in split]
+            return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        rare = dict(self._encode(long))
+        return [b"".join([rare[w] if w in rare else known[w] for w in ws]) for ws in split]
 
 
 _LOADED: dict[int, Words] = {}
@@ -219,11 +289,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                for ids in words.ids(texts.slice(at, 256).to_pylist()):
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                done = int(sizes[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, done + CHUNK_BYTES, "right")))
+                for ids in words.ids(texts.slice(at, to - at).to_pylist()):
                     held.append(ids + end)
                     tokens += len(held[-1]) // 4
-                names += ids_of[at : at + 256]
+                names += ids_of[at:to]
+                at = to
                 if tokens >= cell_tokens:
                     made, base = emit(names, held, base)
                     yield made

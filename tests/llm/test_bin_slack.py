@@ -84,6 +84,7 @@ def test_words_give_the_ids_of_whole_texts():
 
 def test_cache_may_overflow(monkeypatch):
     monkeypatch.setattr(B, "CACHED_WORDS", 3)
+    monkeypatch.setattr(B, "CACHED_PARTS", 2)
     monkeypatch.setattr(B, "CACHED_BYTES", 6)
     w = B.Words(open(FILE, encoding="utf-8").read())
     texts = ["one two three", "four fivefivefive six one", None, "", "two " * 9]
