@@ -46,7 +46,7 @@ from hyplab.llm.store import ship
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 CHUNK_BYTES = 1 << 22
-CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 300_000, 500_000, 64  # words of a generation, length of a kept word
+CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 400_000, 800_000, 64  # words of a generation, length of a kept word
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # an apostrophe may open a contraction
 _MARKS = MARKS.encode()
 # a byte-level model names a byte by the character of its number where that is visible, else by the next one from 256 on
@@ -232,14 +232,16 @@ class Words:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         # bytes are split at exactly the six white space bytes of ASCII
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new = self.words.missing(set().union(*split))
-        long = [w for w in new if len(w) > CACHED_BYTES]
-        self._learn([w for w in new if len(w) <= CACHED_BYTES] if long else new)
-        known = self.words.young
-        if not long:
-            return [b"".join(map(known.__getitem__, ws)) for ws in split]
-        rare = dict(self._encode(long))
-        return [b"".join([rare[w] if w in rare else known[w] for w in ws]) for ws in split]
+        get = self.words.young.get
+        found = [list(map(get, ws)) for ws in split]
+        holes = [[i for i, x in enumerate(f) if x is None] for f in found]
+        new = self.words.missing({ws[i] for ws, at in zip(split, holes) for i in at})
+        self._learn([w for w in new if len(w) <= CACHED_BYTES])
+        known, long = self.words.young, dict(self._encode([w for w in new if len(w) > CACHED_BYTES]))
+        for ws, f, at in zip(split, found, holes):
+            for i in at:
+                f[i] = known[ws[i]] if ws[i] in known else long[ws[i]]
+        return [b"".join(f) for f in found]
 
 
 _LOADED: dict[int, Words] = {}
