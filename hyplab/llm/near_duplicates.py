@@ -12,12 +12,15 @@ signatures differ in as many lanes as MinHash draws differ, on average 48 * (1 -
   far less.
 * **First links.** Members of a key are compared with one leading member, not with each
   other, and pairs that pass in size and signature are confirmed on their full sets.
-  That links groups of copies of any size by one row per member. A second turn does
-  the same for components: one member of each component in a key with one of its largest.
+  That links groups of copies of any size by one row per member. The leader is the member
+  that shares most keys with most others, so that a group of edited copies is linked around
+  what all of them were. A second turn does the same for components: one member of each
+  component in a key with one of its largest.
 * **The rest of a key.** Keys whose members are still in several components could hide
   a link. Their documents (and only these) are compared by rare shingles: two sets of
   the wanted similarity share one of their rarest quarter, at a place early enough for
-  the overlap that is still possible. What remains is confirmed on full sets, too.
+  the overlap that is still possible. Frequent shingles are counted exactly, the others by
+  cells of a hash. What remains is confirmed on full sets, too.
 
 Identical sets are one class from the start, so copies are never compared. No key,
 bucket or candidate list is capped.
@@ -47,6 +50,7 @@ CHUNKS, PER_CHUNK = 12, 4
 LANES = CHUNKS * PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 RARITY_BITS = 18
+OFTEN, EXACT = 16, 1 << 17  # from which count a shingle may be counted exactly, and how many at most are
 SLIM_ROWS, TEXT_ROWS = 200_000, 10_000  # rows of a partition, without and with texts
 TURNS = 2
 
@@ -169,23 +173,25 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text per wanted class; ``nodes`` has node and the doc_id of a member."""
+    """One text per wanted class; ``nodes`` has node and the doc_id (or null) and text hash of a member."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         names = np.concatenate([set_ids(*sets_of(b)) for _, b in K.blocks(batch.column(0))] or [np.zeros(0, np.int64)])
         good = pa.array(names == batch.column(1).to_numpy(zero_copy_only=False))
         yield {"node": batch.column(1).filter(good), "text": batch.column(0).filter(good)}
 
-    rows = docs.select("doc_id", "text").join(nodes.select("doc_id", "node"), "doc_id")
+    named = nodes.select("node", F.col("hash").alias("_hash"), F.col("doc_id").alias("_doc"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = rows.join(named, (F.col("hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     found = K.map_batches(rows, ["text", "node"], "node long, text string", run)
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _rare_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a rare shingle early enough.
+def _frequencies(rest: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often shingles occur in ``rest``: counts of hash cells, and shingles (sorted) that are counted exactly.
 
-    ``rest`` has node, root and text. Shingles are ordered by how often their hash
-    prefix occurs in ``rest`` (a table of 2 ** RARITY_BITS numbers, whatever the input).
+    Both have a fixed largest size. Only shingles of crowded cells are counted one by one, so
+    that a passage which many documents share is known to be frequent however full the cells are.
     """
     shift = np.uint64(64 - RARITY_BITS)
 
@@ -194,18 +200,47 @@ def _rare_pairs(rest: DataFrame) -> DataFrame:
             cell, n = np.unique((sets_of(block)[0] >> shift).astype(np.int32), return_counts=True)
             yield {"cell": cell, "n": n}
 
-    cells = K.map_batches(rest, ["text"], "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
-    often = np.zeros(1 << RARITY_BITS, np.int64)
-    for r in cells.toLocalIterator():
-        often[r["cell"]] = r["n"]
-    shared = rest.sparkSession.sparkContext.broadcast(often)
+    cells = np.zeros(1 << RARITY_BITS, np.int64)
+    for r in K.map_batches(rest, ["text"], "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        cells[r["cell"]] = r["n"]
+    crowded = rest.sparkSession.sparkContext.broadcast(cells >= max(OFTEN, 4 * int(cells.mean())))
+
+    def single(batch: pa.RecordBatch) -> Iterator[dict]:
+        for _, block in K.blocks(batch.column(0)):
+            values = sets_of(block)[0]
+            value, n = np.unique(values[crowded.value[(values >> shift).astype(np.int64)]], return_counts=True)
+            yield {"shingle": value.view(np.int64), "n": n}
+
+    exact = K.map_batches(rest, ["text"], "shingle long, n long", single).groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = exact.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(EXACT).collect()
+    known = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return cells, known[order], np.array([r["n"] for r in top], np.int64)[order]
+
+
+def _rare_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle early enough.
+
+    ``rest`` has node, root and text. Any order of shingles that is the same for all sets gives
+    every pair; the better it follows their counts, the fewer sets meet in vain.
+    """
+    shift = np.uint64(64 - RARITY_BITS)
+    shared = rest.sparkSession.sparkContext.broadcast(_frequencies(rest))
+
+    def frequency(values: np.ndarray) -> np.ndarray:
+        cells, known, n = shared.value
+        out = cells[(values >> shift).astype(np.int64)]
+        if len(known):
+            out = np.minimum(out, n.min() - 1)  # what is not known to be frequent comes before what is
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            out = np.where(known[at] == values, n[at], out)
+        return out
 
     def rare(batch: pa.RecordBatch) -> Iterator[dict]:
-        frequent = shared.value
         row = 0
         for values in _each_set(batch.column(2)):
             first = len(values) - -(-len(values) * SIMILAR // 100) + 1
-            order = np.lexsort((values, frequent[(values >> shift).astype(np.int64)]))[:first]
+            order = np.lexsort((values, frequency(values)))[:first]
             m = len(order)
             yield {
                 "shingle": values[order].view(np.int64), "place": np.arange(m), "n": np.full(m, len(values)),
@@ -225,10 +260,10 @@ def _rare_pairs(rest: DataFrame) -> DataFrame:
 
 
 def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, node and root (the node itself where it has no links yet)."""
+    """key, node, company and root (the node itself where it has no links yet)."""
     if roots is None:
-        return members.select("key", "node", F.col("node").alias("root"))
-    return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        return members.select("key", "node", "company", F.col("node").alias("root"))
+    return members.join(roots, "node", "left").select("key", "node", "company", F.coalesce("root", "node").alias("root"))
 
 
 def _edges(roots: DataFrame) -> DataFrame:
@@ -238,12 +273,14 @@ def _edges(roots: DataFrame) -> DataFrame:
 def _spokes(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): in each key one member of every component with one member of its largest component.
 
-    Rows are linear in ``placed``. Each turn draws other members.
+    Rows are linear in ``placed``. The first turn draws the member with most company (the sum of
+    members over its keys): among edited copies that is the one nearest to what all of them were,
+    and most others are similar to it. Each further turn draws other members.
     """
-    draw = F.xxhash64("node", F.lit(turn))
-    drawn = placed.groupBy("key", "root").agg(F.min_by("node", draw).alias("node"), F.count("*").alias("n"))
+    draw = F.struct(F.xxhash64("node", F.lit(turn)) if turn else -F.col("company"), "node")
+    drawn = placed.groupBy("key", "root").agg(F.min_by("node", draw).alias("node"), F.count("*").alias("n"), F.max("company").alias("company"))
     # where components are equally large, the same one should lead in many keys
-    lead = F.max(F.struct("n", "root", "node"))
+    lead = F.max(F.struct("n", "company", "root", "node"))
     hubs = drawn.groupBy("key").agg(lead.alias("hub"), F.count("*").alias("k")).where("k > 1")
     pairs = drawn.join(hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.root").alias("hub")), "key")
     return pairs.where("root <> hub").select("a", F.col("node").alias("b")).distinct()
@@ -254,12 +291,16 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sigs = cut(signatures(docs))
     classes = cut(
         sigs.where("node IS NOT NULL").groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("chunks").alias("chunks"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")).alias("m"),
+             F.first("n_shingles").alias("n_shingles"), F.first("chunks").alias("chunks"))
+        .select("node", "m.doc_id", "m.hash", "n_shingles", "chunks")
     )
     keys = classes.select("node", F.explode(_keys(F.col("chunks"))).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    members = snug(cut(keys.join(heads, "key")), SLIM_ROWS)
-    involved = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
+    heads = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(heads, "key")
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    members = snug(cut(shared.select("key", "node").join(company, "node")), SLIM_ROWS)
+    involved = members.select("node").distinct().join(classes.select("node", "doc_id", "hash"), "node")
     texts = snug(cut(_texts(docs, involved)), TEXT_ROWS)
 
     roots = None
@@ -286,10 +327,10 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept, one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept and hash (xxhash64 of the text), one row per row of ``docs``."""
     sigs, rooted = _linked(docs)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = rooted.join(least, "root").select("node", "component_id")
-    return sigs.select("doc_id", "n_shingles", "node").join(names, "node", "left").select(
+    return sigs.select("doc_id", "n_shingles", "node", "hash").join(names, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"))
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"), "hash")

@@ -89,7 +89,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS o FROM
 
 @register("op5_near_duplicates", OP5_SQL)
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).drop("hash")
 
 
 @register("op3_best_fit_packing")
