@@ -36,9 +36,10 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows that repeat a doc_id with its text are one document. Rows without doc_id cannot
     be named by a verdict and stay, one for each text.
     """
-    gone = near_duplicates.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    verdicts = near_duplicates.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL")
+    gone = verdicts.select("doc_id", F.col("hash").alias("_h")).distinct()
     named = docs.select(*DOCUMENT).withColumn("_h", F.xxhash64("text"))
-    left = named.join(gone, "doc_id", "left_anti")
+    left = named.join(gone, ["doc_id", "_h"], "left_anti")
     once = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy("source"))
     return left.withColumn("_n", once).where("_n = 1").select(*DOCUMENT)
 
