@@ -225,17 +225,26 @@ def best_accuracy(df: DataFrame, score: str, positive: Column) -> DataFrame:
 # --- distribution fits ---------------------------------------------------------------------------
 
 
-def ecdf(df: DataFrame, value: Column, sample: str, grid: Sequence[float], *by: str, weight: str | None = None) -> DataFrame:
-    """Empirical distribution on a grid: one row per (sample, grid point), share of values at or below it."""
-    k = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g < value))  # first point at or above
-    bands = df.groupBy(*by, sample, k.alias("k")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+def grid_cells(df: DataFrame, value: Column, sample: str, grid: Sequence[float], *by: str) -> DataFrame:
+    """Rows per sample and grid cell: k is the first grid point at or above the value (len(grid) beyond it), n the count."""
+    k = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g < value))
+    return df.groupBy(*by, sample, k.alias("k")).agg(F.count("*").alias("n"))
+
+
+def cell_shares(cells: DataFrame, sample: str, grid: Sequence[float], *by: str) -> DataFrame:
+    """Empirical distribution on a grid from the rows per cell: share of values at or below each grid point."""
     total = F.sum("n").over(W.partitionBy(*by, sample))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(g)).alias("t")) for i, g in enumerate(grid)])
-    return bands.withColumn("_total", total).select(*by, sample, "k", "n", "_total", F.inline(steps)).groupBy(*by, sample, "i", "t").agg(
+    return cells.withColumn("_total", total).select(*by, sample, "k", "n", "_total", F.inline(steps)).groupBy(*by, sample, "i", "t").agg(
         (F.sum(F.when(F.col("k") <= F.col("i"), F.col("n")).otherwise(0)) / F.max("_total")).alias("share")
     )
 
 
+def ecdf(df: DataFrame, value: Column, sample: str, grid: Sequence[float], *by: str) -> DataFrame:
+    """Empirical distribution on a grid: one row per (sample, grid point), share of values at or below it."""
+    return cell_shares(grid_cells(df, value, sample, grid, *by), sample, grid, *by)
+
+
 def mixture_two(cdf: DataFrame, sample: str, test: str, a: str, b: str, *by: str) -> DataFrame:
     """Share of class a in the test sample by least squares on the grid, clipped; fit and null error."""
     of = lambda s: F.max(F.when(F.col(sample) == s, F.col("share")))

@@ -214,7 +214,7 @@ def j11(spark, d):
     return s.withColumns({"mass_rewrite": bad, "verdict": F.when(bad, "FAIL_mass_rewrite").otherwise("PASS_ban_check")})
 
 
-GRID = [float(x) for x in fixed.ECDF_GRID if x <= 1.0]
+GRID = [float(x) for x in fixed.ECDF_GRID]
 
 
 def _errors(spark, d):
@@ -239,28 +239,44 @@ def j12(spark, d):
     return C.mixture_two(C.ecdf(_errors(spark, d), F.col("value"), "sample", GRID), "sample", "test", "en", "fr")
 
 
-@query("j13_mixture_three")
+# Least squares on the simplex from moments: every support in turn, the feasible one of least error.
+MIXTURE = f"""{ECDF},
+y3 AS (SELECT t, coalesce(max(share) FILTER (sample = 'test'), 0) AS y, coalesce(max(share) FILTER (sample = 'en'), 0) AS a,
+  coalesce(max(share) FILTER (sample = 'fr'), 0) AS b, coalesce(max(share) FILTER (sample = 'de'), 0) AS c FROM c GROUP BY t),
+mo AS (SELECT count(*) AS m, sum(y * y) AS yy, sum(a * a) AS aa, sum(b * b) AS bb, sum(c * c) AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc,
+  sum(a * y) AS ay, sum(b * y) AS by_, sum(c * y) AS cy FROM y3),
+uv AS (SELECT *, aa - 2 * ac + cc AS uu, bb - 2 * bc + cc AS vv, ab - ac - bc + cc AS uv, ay - ac - cy + cc AS uz, by_ - bc - cy + cc AS vz FROM mo),
+ca AS (SELECT 1.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS wc UNION ALL SELECT 0, 1, 0 UNION ALL SELECT 0, 0, 1
+  UNION ALL SELECT (ay - ab - by_ + bb) / (aa - 2 * ab + bb), 1 - (ay - ab - by_ + bb) / (aa - 2 * ab + bb), 0 FROM mo
+  UNION ALL SELECT uz / uu, 0, 1 - uz / uu FROM uv UNION ALL SELECT 0, vz / vv, 1 - vz / vv FROM uv
+  UNION ALL SELECT (uz * vv - vz * uv) / (uu * vv - uv * uv), (vz * uu - uz * uv) / (uu * vv - uv * uv), 1 - (uz * vv - vz * uv + vz * uu - uz * uv) / (uu * vv - uv * uv) FROM uv),
+mx AS (SELECT wa, wb, wc FROM ca, mo WHERE least(wa, wb, wc) >= -1e-12
+  ORDER BY yy - 2 * (wa * ay + wb * by_ + wc * cy) + wa * wa * aa + wb * wb * bb + wc * wc * cc + 2 * (wa * wb * ab + wa * wc * ac + wb * wc * bc) LIMIT 1)"""
+
+
+@query("j13_mixture_three", f"""
+WITH {MIXTURE}
+SELECT R6(wa) AS weight_en, R6(wb) AS weight_fr, R6(wc) AS weight_de, R6(sqrt(avg((y - (wa * a + wb * b + wc * c)) ** 2))) AS rmse FROM mx, y3 GROUP BY wa, wb, wc""")
 def j13(spark, d):
     return C.mixture_three(C.ecdf(_errors(spark, d), F.col("value"), "sample", GRID), "sample", "test", ("en", "fr", "de"))
 
 
 @query("j14_decision_table", f"""
-WITH s AS (SELECT id, CASE WHEN split = 'test' THEN 'test' ELSE language END AS sample, {PAIR_ERROR.format('swap11', 'dup5')} AS value FROM wide),
-c AS (SELECT sample, t, avg((value <= t)::INT) AS share, count(*) FILTER (value <= t) AS k FROM s, (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4])::DOUBLE AS t) GROUP BY ALL),
-m AS (SELECT count(*) FILTER (language = 'en')::DOUBLE / count(*) AS wa, count(*) FILTER (language = 'fr')::DOUBLE / count(*) AS wb,
-  count(*) FILTER (language = 'de')::DOUBLE / count(*) AS wc, count(*) FILTER (split = 'test') AS n FROM utt),
+WITH {MIXTURE},
+d AS (SELECT sample, t, avg((value <= t)::INT) AS share, count(*) FILTER (value <= t) AS k FROM s, (SELECT unnest({list(fixed.DECISION_GRID)})::DOUBLE AS t) GROUP BY ALL),
 g AS (SELECT t, max(share) FILTER (sample = 'en') AS a, max(share) FILTER (sample = 'fr') AS b, max(share) FILTER (sample = 'de') AS c,
-  max(k) FILTER (sample = 'test') AS observed FROM c GROUP BY t),
-h AS (SELECT g.*, wa * n * a AS ha, wb * n * b AS hb, wc * n * c AS hc FROM g, m)
+  max(k) FILTER (sample = 'test') AS observed FROM d GROUP BY t),
+h AS (SELECT g.*, wa * n * a AS ha, wb * n * b AS hb, wc * n * c AS hc FROM g, mx, (SELECT count(*) FILTER (sample = 'test') AS n FROM s))
 SELECT R6(t) AS threshold, R6(a) AS rate_en, R6(b) AS rate_fr, R6(c) AS rate_de, observed, R6(ha + hb + hc) AS predicted, R6(ha / (ha + hb + hc)) AS precision,
-  R6((ha * 0.5692::DOUBLE - hb * 0.3137::DOUBLE - hc * 0.1767::DOUBLE) / (ha + hb + hc)) AS value_per_row,
-  R6(ha * 0.5692::DOUBLE - hb * 0.3137::DOUBLE - hc * 0.1767::DOUBLE) AS value_total FROM h""")
+  R6((ha * {fixed.SWAP_GAIN}::DOUBLE - hb * {fixed.SWAP_LOSS_B}::DOUBLE - hc * {fixed.SWAP_LOSS_C}::DOUBLE) / (ha + hb + hc)) AS value_per_row,
+  R6(ha * {fixed.SWAP_GAIN}::DOUBLE - hb * {fixed.SWAP_LOSS_B}::DOUBLE - hc * {fixed.SWAP_LOSS_C}::DOUBLE) AS value_total FROM h""")
 def j14(spark, d):
-    cdf = C.ecdf(_errors(spark, d), F.col("value"), "sample", (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4))
-    u = V.utterances(spark, d)
-    share = lambda l: (F.count_if(F.col("language") == l) / F.count("*")).alias(f"weight_{l}")
-    weights = u.agg(share("en"), share("fr"), share("de"))
-    return C.decision_table(cdf, "sample", "test", ("en", "fr", "de"), weights, u.agg(F.count_if(F.col("split") == "test").alias("n")))
+    """Decision value under the fitted three-class mixture."""
+    errors = _errors(spark, d)
+    weights = C.mixture_three(C.ecdf(errors, F.col("value"), "sample", GRID), "sample", "test", ("en", "fr", "de"))
+    cdf = C.ecdf(errors, F.col("value"), "sample", fixed.DECISION_GRID)
+    n_test = errors.agg(F.count_if(F.col("sample") == "test").alias("n"))
+    return C.decision_table(cdf, "sample", "test", ("en", "fr", "de"), weights, n_test)
 
 
 @query("j15_expected_delta", f"""

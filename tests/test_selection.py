@@ -120,7 +120,7 @@ def test_residual_gate_order(spark):
 def test_bootstrap_sign(spark):
     rows = [(i, f"s{i % 7}", 1, 1, 2, 2, 10, 50) for i in range(140)]
     df = spark.createDataFrame(rows, "id long, speaker_id string, we long, ce long, base_we long, base_ce long, nw long, nc long")
-    for r in (R.group_bootstrap(df, "speaker_id", 1, 50).first(), R.row_bootstrap(df, "id", 1, 20).first(), R.row_mean_bootstrap(df, "speaker_id", 1, 50).first()):
+    for r in (R.group_bootstrap(df, "speaker_id", 1, 50).first(), R.row_bootstrap(df, 1, 20).first(), R.row_mean_bootstrap(df, "speaker_id", 1, 50).first()):
         assert r["mean"] == pytest.approx(0.06) and r["p_gt_0"] == 1.0
     total = R.poisson_weights(df, "id", 3, 40).agg(F.sum("weight") / (140 * 40)).first()[0]
     assert total == pytest.approx(1.0, abs=0.06)
