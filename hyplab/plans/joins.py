@@ -96,7 +96,7 @@ def e06(spark, d):
 
 # every unknown word against every lexicon word of its block
 NEAREST = """q AS (SELECT DISTINCT t.language, t.word, CASE WHEN length(t.word) <= 3 THEN 0 WHEN length(t.word) <= 5 THEN 1 ELSE 2 END AS k
-  FROM (SELECT language, unnest(string_split(hypothesis, ' ')) AS word FROM pairs WHERE system = 'swap11') t
+  FROM (SELECT language, unnest(string_split(hypothesis, ' ')) AS word FROM pairs) t
   WHERE t.word <> '' AND NOT regexp_full_match(t.word, '[0-9]+')
     AND NOT EXISTS (SELECT 1 FROM lex l WHERE l.language = t.language AND l.word = t.word)),
 lx AS (SELECT language, word, n, word[1:1] AS f, length(word) AS len FROM lex),
@@ -110,20 +110,20 @@ b AS (SELECT *, row_number() OVER (PARTITION BY language, word ORDER BY d, n DES
 WITH {NEAREST}
 SELECT language, word, cand AS new, d::BIGINT AS distance, n FROM b WHERE r = 1 AND (n >= 2 OR d = 1)""")
 def e07(spark, d):
-    p = V.pairs(spark, d).where("system = 'swap11'")
+    p = V.pairs(spark, d)
     return X.corrections(p, "hypothesis", X.lexicon(V.utterances(spark, d)), "language")
 
 
 @query("e07_corrected_texts", f"""
 WITH {NEAREST},
 m AS (SELECT language, word, cand AS new FROM b WHERE r = 1 AND (n >= 2 OR d = 1)),
-e AS (SELECT id, language, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (
-  SELECT id, language, string_split(hypothesis, ' ') AS w FROM pairs WHERE system = 'swap11'))
-SELECT e.id, string_agg(coalesce(m.new, e.x), ' ' ORDER BY i) AS corrected FROM e LEFT JOIN m ON m.language = e.language AND m.word = e.x GROUP BY e.id""")
+e AS (SELECT id, system, language, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (
+  SELECT id, system, language, string_split(hypothesis, ' ') AS w FROM pairs))
+SELECT e.id, e.system, string_agg(coalesce(m.new, e.x), ' ' ORDER BY i) AS corrected FROM e LEFT JOIN m ON m.language = e.language AND m.word = e.x GROUP BY e.id, e.system""")
 def e07_texts(spark, d):
-    p = V.pairs(spark, d).where("system = 'swap11'").select("id", "language", "hypothesis")
+    p = V.pairs(spark, d).select("id", "system", "language", "hypothesis")
     mapping = X.corrections(p, "hypothesis", X.lexicon(V.utterances(spark, d)), "language")
-    return X.apply_word_map(p, ["id"], "hypothesis", "language", mapping, "corrected").select("id", "corrected")
+    return X.apply_word_map(p, ["id", "system"], "hypothesis", "language", mapping, "corrected").select("id", "system", "corrected")
 
 
 @query("e08_error_band", """
