@@ -188,7 +188,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _frequencies(rest: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often shingles occur in ``rest``: counts of hash cells, and shingles (sorted) that are counted exactly.
+    """How often shingles occur in ``rest``: shingles (sorted) that are counted exactly, and counts of hash cells without those.
 
     Both have a fixed largest size. Only shingles of crowded cells are counted one by one, so
     that a passage which many documents share is known to be frequent however full the cells are.
@@ -214,8 +214,10 @@ def _frequencies(rest: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     exact = K.map_batches(rest, ["text"], "shingle long, n long", single).groupBy("shingle").agg(F.sum("n").alias("n"))
     top = exact.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(EXACT).collect()
     known = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    n = np.array([r["n"] for r in top], np.int64)
+    np.subtract.at(cells, (known >> shift).astype(np.int64), n)  # what is left is the rest of a cell
     order = np.argsort(known)
-    return cells, known[order], np.array([r["n"] for r in top], np.int64)[order]
+    return cells, known[order], n[order]
 
 
 def _rare_pairs(rest: DataFrame) -> DataFrame:
@@ -230,10 +232,9 @@ def _rare_pairs(rest: DataFrame) -> DataFrame:
     def frequency(values: np.ndarray) -> np.ndarray:
         cells, known, n = shared.value
         out = cells[(values >> shift).astype(np.int64)]
-        if len(known):
-            out = np.minimum(out, n.min() - 1)  # what is not known to be frequent comes before what is
+        if len(known):  # what is known to be frequent comes after all others
             at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            out = np.where(known[at] == values, n[at], out)
+            out = np.where(known[at] == values, n[at] + cells.max(), out)
         return out
 
     def rare(batch: pa.RecordBatch) -> Iterator[dict]:
