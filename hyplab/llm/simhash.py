@@ -81,12 +81,15 @@ def _cells(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("_cell", cell.cast("long"))
 
 
-def _firsts(rows: DataFrame, value: str, order: Column) -> DataFrame:
-    """For each cell the ``value`` of the next cell's first row, after the last cell the first one's."""
-    firsts = rows.groupBy("_cell").agg(F.min_by(value, order).alias("_first"))
-    over = W.orderBy("_cell")  # one row per cell
+def _firsts(rows: DataFrame, value: str) -> DataFrame:
+    """For each cell the ``value`` of the next cell's first row, after the last cell the first one's. ``rows`` have _row
+    (from 1) in their cell. Only cell numbers are ordered; values travel from one cell to the one before."""
+    firsts = rows.where(F.col("_row") == 1).select(F.col("_cell").alias("_after"), F.col(value).alias("_first"))
+    over = W.orderBy("_cell")  # one number per cell
     whole = over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return firsts.select(F.col("_cell"), F.coalesce(F.lead("_first").over(over), F.first("_first").over(whole)).alias("_first"))
+    follows = rows.where(F.col("_row") == 1).select("_cell").select(
+        "_cell", F.coalesce(F.lead("_cell").over(over), F.first("_cell").over(whole)).alias("_after"))
+    return firsts.hint("merge").join(follows, "_after").select("_cell", "_first")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,14 +101,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     placed = _cells(docs)
     falling = [F.col("doc_id").desc_nulls_last(), F.col("_h").desc()]
     in_cell = W.partitionBy("_cell").orderBy(*falling)
-    # a falling order as a rising key: cells hold ids or nulls, never both
-    key = F.struct((-F.coalesce("doc_id", F.lit(0))).alias("i"), (-F.shiftright("_h", 1)).alias("h"), (-F.col("_h").bitwiseAND(F.lit(1))).alias("l"))
-    heads = _firsts(placed, "text", key)
-    rows = (
-        placed.withColumns({"_row": F.row_number().over(in_cell), "_next": F.lead("text").over(in_cell)})
-        .join(heads, "_cell", "left")
-        .select("_cell", "_row", "doc_id", "text", F.coalesce("_next", "_first").alias("_next"), F.char_length("text").cast("long").alias("n_chars"))
-    )
+    ordered = placed.withColumns({"_row": F.row_number().over(in_cell), "_next": F.lead("text").over(in_cell)})
+    rows = ordered.join(_firsts(ordered, "text").hint("merge"), "_cell", "left").select(
+        "_cell", "_row", "doc_id", "text", F.coalesce("_next", "_first").alias("_next"), F.char_length("text").cast("long").alias("n_chars"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     kept = (F.col("n_chars") - third).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), kept), F.substring("_next", F.lit(1), third))
@@ -120,7 +118,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     made = cut(voted.groupBy(*row).agg(
         F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp")))
     following = F.coalesce(F.lead("fp").over(W.partitionBy("_cell").orderBy("_row")), F.col("_first"))
-    return made.join(_firsts(made, "fp", F.col("_row")), "_cell", "left").select(
+    return made.join(_firsts(made, "fp"), "_cell", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp",
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), following).alias("near_next"))
 
