@@ -7,19 +7,19 @@ wider templates that leave one segment open, so a variable field made of plain w
 is generalised, too. A template, narrow or wide, recurs when at least ``min_documents``
 documents hold it; its lines are dropped from all of them.
 
-Wide templates are only formed in leaves (same length and leading tokens) that enough
+Wide templates are only counted in leaves (same length and leading tokens) that enough
 documents reach, which prose rarely does. Counting is by hash with map-side sums, so a
-line that a third of all documents share is one row per task. A document that would
-lose all its words, or more than ``max_loss`` percent of them, stays whole and is marked.
+line that a third of all documents share is one row per task. Each line is judged by
+itself, whatever its length and its share of a document; only a document that would lose
+all its words stays whole and is marked.
 
-Copies share all their lines, boilerplate or not. With ``classes``, a class of near
-duplicates counts as one document; then a line can be judged by itself, whatever its
-share of a document, and ``EVERY_LINE`` drops recurring lines of any length from every
-document. Without classes, ``max_loss`` is what protects copies.
+Equal texts count as one document, so copies alone make no line recur. With ``classes``
+a class of near duplicates counts as one document; without them ten or more different
+edits of one text make its lines recur. ``Bounds`` can spare short lines (``min_tokens``)
+and documents that would lose more than ``max_loss`` percent of their words.
 
-Lines of fewer than ``min_tokens`` tokens are never templates. Null and empty texts come
-back empty. Rows alike in doc_id and text each count as a document and get the same
-result; a null doc_id is a value like any other. Very long texts are worked whole, an
+Null and empty texts come back empty. Rows alike in doc_id and text get the same result;
+a null doc_id is a value like any other. Very long texts are worked whole, an
 empty table gives an empty result; other columns pass through ``drop_recurring``, but
 for names that begin with two underscores and those of its results.
 """
@@ -48,11 +48,11 @@ _STEP = 0xA0761D6478BD642F
 @dataclass(frozen=True)
 class Bounds:
     min_documents: int = 10
-    min_tokens: int = 3
-    max_loss: int = 33
+    min_tokens: int = 1
+    max_loss: int = 100
 
 
-EVERY_LINE = Bounds(min_tokens=1, max_loss=100)
+EVERY_LINE = Bounds()
 
 
 @dataclass
@@ -131,15 +131,23 @@ def occurrences(docs: DataFrame, bounds: Bounds) -> DataFrame:
 def recurring(docs: DataFrame, bounds: Bounds, classes: DataFrame | None = None) -> DataFrame:
     """__id, __hash and the recurring templates that the document's lines belong to, for documents that have any."""
     seen = occurrences(docs, bounds)
-    live = seen.groupBy("leaf").agg(F.sum("opens").alias("n")).where(F.col("n") >= bounds.min_documents).select("leaf")
-    lines = cut(seen.join(live, "leaf").select("__id", "__hash", F.explode("templates").alias("template")))
+    live = cut(seen.groupBy("leaf").agg(F.sum("opens").alias("n")).where(F.col("n") >= bounds.min_documents))
+    # fewer than HOT leaves can hold more than their share of the openings: those go to the lines, the others meet by
+    # shuffle, where lines of the former are spread by document
+    share = (live.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = live.where(F.col("n") > share).select("leaf", F.lit(True).alias("known"))
+    cold = live.where(F.col("n") <= share).select(F.col("leaf").alias("place"), F.lit(True).alias("cold"))
+    marked = seen.join(F.broadcast(hot), "leaf", "left")
+    marked = marked.withColumn("place", F.when(F.col("known"), F.xxhash64("__id", "__hash")).otherwise(F.col("leaf")))
+    met = marked.join(cold, "place", "left").where("known OR cold")
+    lines = cut(met.select("__id", "__hash", F.explode("templates").alias("template")))
     if classes is None:
-        counted = lines.groupBy("template").agg(F.count("*").alias("count"), F.count("*").alias("n"))
+        held = lines.groupBy("template", "__hash").count()
     else:
         known = classes.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__text"), "root")
         placed = lines.join(known, lines["__id"].eqNullSafe(known["__doc"]) & (lines["__hash"] == known["__text"]))
         held = placed.groupBy("template", "root").count()
-        counted = held.groupBy("template").agg(F.sum("count").alias("count"), F.count("*").alias("n"))
+    counted = held.groupBy("template").agg(F.sum("count").alias("count"), F.count("*").alias("n"))
     often = cut(counted.where(F.col("n") >= bounds.min_documents).select("template", "count"))
     # fewer than HOT templates can hold more than their share of the lines: those go to the lines, the others meet by shuffle
     share = (often.agg(F.sum("count")).first()[0] or 0) / HOT

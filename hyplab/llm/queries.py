@@ -132,24 +132,24 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
 
 
-# Templates as strings: tokens with a digit read <*>, one segment of the rest may be open (~).
+# Templates as strings: tokens with a digit read <*>, one segment of the rest may be open (~). Different texts are counted.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 l AS (SELECT r, i, l, list_transform(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
       FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM d)),
 f AS (SELECT r, i, l, t, len(t) AS n, len(t) || ':' || array_to_string(t[1:3], ' ') AS leaf FROM l WHERE len(t) > 0),
-m AS (SELECT r, i, n, leaf, len(t) || ':' || array_to_string(t, ' ') AS template FROM f WHERE n >= 3
+m AS (SELECT r, i, n, leaf, len(t) || ':' || array_to_string(t, ' ') AS template FROM f
       UNION ALL
       SELECT r, i, n, leaf, n || ':' || s || '~' || array_to_string(t[1:3 + ((n - 3) * s) // 4], ' ') || '~' ||
         array_to_string(t[4 + ((n - 3) * (s + 1)) // 4:], ' ') FROM f, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE n >= 8),
-distinct_lines AS (SELECT DISTINCT r, leaf, len(t) || ':' || array_to_string(t, ' ') AS template FROM f WHERE n >= 3),
+distinct_lines AS (SELECT DISTINCT r, leaf, len(t) || ':' || array_to_string(t, ' ') AS template FROM f),
 live AS (SELECT leaf FROM distinct_lines GROUP BY leaf HAVING count(*) >= 10),
 per AS (SELECT DISTINCT r, template, whole FROM (SELECT m.*, f.n || ':' || array_to_string(f.t, ' ') AS whole FROM m JOIN f USING (r, i) WHERE m.leaf IN (FROM live))),
-often AS (SELECT template FROM per GROUP BY template HAVING count(*) >= 10),
+often AS (SELECT template FROM (SELECT DISTINCT text, template FROM per JOIN d USING (r)) GROUP BY template HAVING count(*) >= 10),
 gone AS (SELECT DISTINCT r, i, n FROM m WHERE template IN (FROM often) AND leaf IN (FROM live)),
 lost AS (SELECT r, sum(n) AS k, count(*) AS c FROM gone GROUP BY r),
 sums AS (SELECT r, sum(n) AS words, count(*) AS lines FROM f GROUP BY r),
-v AS (SELECT d.r, doc_id, text, coalesce(lines, 0) AS lines, coalesce(k, 0) AS k, coalesce(c, 0) AS c, coalesce(k, 0) * 100 > coalesce(words, 0) * 33 AS much
+v AS (SELECT d.r, doc_id, text, coalesce(lines, 0) AS lines, coalesce(k, 0) AS k, coalesce(c, 0) AS c, coalesce(k = words, false) AS much
       FROM d LEFT JOIN sums USING (r) LEFT JOIN lost USING (r)),
 kept AS (SELECT l.r, string_agg(l.l, chr(10) ORDER BY l.i) AS text FROM l JOIN v USING (r) LEFT JOIN gone g ON g.r = l.r AND g.i = l.i
          WHERE c > 0 AND NOT much AND g.r IS NULL GROUP BY l.r)

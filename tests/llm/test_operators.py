@@ -304,6 +304,15 @@ def test_fingerprints_against_plain_votes(spark, documents):
         assert r["near_edited"] == 1 - (a ^ b).bit_count() / 64 and r["near_next"] == 1 - (a ^ c).bit_count() / 64
 
 
+def test_fingerprints_of_least_ids_and_of_one_id_on_many_rows(spark):
+    least = -(2**63)
+    rows = [(least, "the least id of all"), (2**63 - 1, "the largest id"), (None, "no id"), (None, "no id either")]
+    rows += [(7, f"text number {i} under one id") for i in range(40)]
+    got = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i is None, i or 0, len(t)) for i, t in rows)
+    assert {r["fp"] % 2**64 for r in got} == {plain_fingerprint(t) for _, t in rows}
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(-(2**63), 2**63 - 1, 12)
@@ -331,7 +340,23 @@ def test_templates_with_fields_recur_and_copies_stay_whole(spark):
     got = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i]["text"] == body(i) for i in range(12))
     assert all(got[100 + i]["text"] == body(100 + i) for i in range(12))
-    assert all(got[200 + i]["mostly_recurring"] and got[200 + i]["n_lines_dropped"] == 0 for i in range(12))
+    assert all(got[200 + i]["text"] == rows[-1][1] and got[200 + i]["n_lines_dropped"] == 0 for i in range(12))
+
+
+def test_short_pages_lose_a_shared_line_and_equal_texts_count_once(spark):
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    own = {i: " ".join(word() for _ in range(5)) for i in range(30)}
+    rows = [(i, f"{x}\nLicensed under the Apache License\nHome") for i, x in own.items()]
+    rows += [(100, "Licensed under the Apache License\nHome"), (101, "Home\n\n"), (None, f"Home\n{word()}")]
+    rows += [(200 + i, "Copied page\nMenu\nof one text") for i in range(20)]
+    rows += [(300 + i, f"{word()} {word()}\nMenu") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring(docs).collect()}
+    assert all(got[i]["text"] == x and got[i]["n_lines_dropped"] == 2 and got[i]["n_words_dropped"] == 6 for i, x in own.items())
+    assert got[100]["mostly_recurring"] and got[101]["mostly_recurring"] and got[100]["text"] == rows[30][1]
+    assert got[None]["text"] == rows[32][1].removeprefix("Home\n") and not got[None]["mostly_recurring"]
+    assert all(got[i]["text"] == t for i, t in rows if i is not None and i >= 200)
 
 
 def test_lines_of_one_document_do_not_make_a_template(spark):
