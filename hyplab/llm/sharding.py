@@ -1,11 +1,12 @@
 """Shards of near equal bytes: best-fit-decreasing bin packing of indivisible groups of equal texts.
 
-Groups above 1/256 of a shard are packed one by one (there are at most 256 per shard);
-the many smaller ones are first gathered by hash into 256 bundles per shard. What the
-driver packs is therefore bounded by the number of shards, not by the table. Items enter
-by falling size the bin with the tightest remaining capacity that fits, found in a
-balanced tree; the capacity is the least (by bisection) at which the wanted number of
-bins is enough. A group larger than an even share cannot fit any shard; it alone is
+The driver packs the histogram of group sizes, (size, number of groups), never groups: sizes
+enter by falling size the bin with the tightest remaining capacity that fits, found in a
+balanced tree, and as many groups of that size as still fit go in at once, which is
+where best fit decreasing puts them one by one. The capacity is the least (by
+bisection) at which the wanted number of bins is enough. Different sizes are few: n of them need
+n * n / 2 bytes of text. Groups of a size that several shards take are told apart by
+their rank among hash cells. A group larger than an even share cannot fit any shard; it alone is
 split, by a hash of doc_id, into parts of at most about an eighth of a share.
 
 Null texts count as empty ones and have size 1. Ties are settled by hash and doc_id.
@@ -15,15 +16,15 @@ table gives an empty result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hyplab.llm.store import cut
 
-FINE = 256
 ROWS_PER_CELL = 2000
+HOT = 1000
 
 
 @dataclass
@@ -79,62 +80,98 @@ class ResidualTree:
         return first.key
 
 
-def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
-    """Bin of each item, bins of one capacity, as few as best fit decreasing needs."""
-    tree, bins, opened = ResidualTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
+def best_fit_decreasing(counts: Mapping[int, int], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, bin, how many) for ``counts`` items of each size, as best fit decreasing puts them; None where it needs over ``most`` bins."""
+    tree, out, opened = ResidualTree(), [], 0
+    for size in sorted(counts, reverse=True):
+        if size > capacity:
             raise ValueError("an item is larger than a bin")
-        found = tree.take_at_least(sizes[i])
-        if found is None:
-            found = (capacity, opened)
-            opened += 1
-        bins[i] = found[1]
-        tree.add((found[0] - sizes[i], found[1]))
-    return bins
-
-
-def even_bins(sizes: Sequence[int], n: int) -> list[int]:
+        left = counts[size]
+        while left:
+            found = tree.take_at_least(size)
+            if found is None:
+                if opened == most:
+                    return None
+                found = (capacity, opened)
+                opened += 1
+            # a bin that took an item is the tightest still, as long as another one fits
+            n = min(left, found[0] // size)
+            out.append((size, found[1], n))
+            tree.add((found[0] - n * size, found[1]))
+            left -= n
+    return out
+
+
+def even_bins(counts: Mapping[int, int], n: int) -> list[tuple[int, int, int]]:
     """Best fit decreasing into ``n`` bins of the least capacity that is enough."""
-    if not sizes:
+    if not counts:
         return []
-    low = max(max(sizes), -(-sum(sizes) // n))
-    high = max(low, 2 * low)
-    best = None
-    while best is None or low < high:
-        middle = (low + high) // 2 if best is not None else high
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins) < n:
-            best, high = bins, middle
-        elif best is None:
-            low, high = high, 2 * high
-        else:
+    low = max(max(counts), -(-sum(s * c for s, c in counts.items()) // n))
+    high, step = low, 1
+    while (best := best_fit_decreasing(counts, high, n)) is None:
+        low, high, step = high + 1, high + step, 2 * step
+    while low < high:
+        middle = (low + high) // 2
+        if (found := best_fit_decreasing(counts, middle, n)) is None:
             low = middle + 1
+        else:
+            best, high = found, middle
     return best
 
 
-def shard(docs: DataFrame, n_shards: int = 16) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and one), text_crc32, law, shard, slot and grown_shard (null under this law)."""
+def _ranked(items: DataFrame, n: int) -> DataFrame:
+    """``items`` (bytes, key, part; ``n`` rows) with their rank (from 0) among those of equal bytes."""
+    dealt = items.withColumn("cell", F.pmod(F.xxhash64("key", "part"), F.lit(max(1, n // ROWS_PER_CELL))))
+    before = W.partitionBy("bytes").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy("bytes", "cell").count()
+    offsets = counts.select("bytes", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(W.partitionBy("bytes", "cell").orderBy("key", "part"))
+    return dealt.withColumn("inside", inside).join(offsets, ["bytes", "cell"]).select(
+        "bytes", "key", "part", (F.col("offset") + F.col("inside") - 1).alias("rank"))
+
+
+def _placed(items: DataFrame, n_shards: int, broadcast_rows: int) -> DataFrame:
+    """key, part and shard of each item (key, part, bytes)."""
+    counts = {r["bytes"]: r["count"] for r in items.groupBy("bytes").count().collect()}
+    ones, several, ranks = [], [], {}
+    for size, bin_, n in even_bins(counts, n_shards):
+        start = ranks.get(size, 0)
+        ranks[size] = start + n
+        if n == counts[size]:
+            ones.append((size, bin_))
+        else:
+            several.append((size, start, start + n, bin_))
+    small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    frame = items.sparkSession.createDataFrame
+    alone = items.join(small(frame(ones, "bytes long, shard int"), len(ones)), "bytes").select("key", "part", "shard")
+    shared = frame(several, "bytes long, start long, stop long, shard int")
+    sizes = {size for size, *_ in several}
+    among = items.join(small(frame([(x,) for x in sizes], "bytes long"), len(sizes)), "bytes")
+    ranked = _ranked(among, sum(counts[x] for x in sizes))
+    return alone.union(ranked.join(small(shared, len(several)), "bytes").where("rank >= start AND rank < stop").select("key", "part", "shard"))
+
+
+def shard(docs: DataFrame, n_shards: int = 16, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, size (UTF-8 bytes and one), text_crc32, law, shard, slot and grown_shard (null under this law).
+    Tables of sizes go to the groups up to ``broadcast_rows`` rows and meet them by shuffle beyond."""
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
-    bytes_, n_rows = total["bytes"] or 0, total["n"] or 0
-    share, unit = max(1, bytes_ // n_shards), max(1, bytes_ // (n_shards * FINE))
-    parts = F.when(F.col("bytes") > share, F.ceil(F.col("bytes") * 8 / share)).otherwise(F.lit(1)).cast("long")
-    # at most n_shards * FINE groups are larger than a unit, so these may be broadcast
-    big = groups.where(F.col("bytes") > unit).select("key", parts.alias("parts"))
-    item = F.when(F.col("parts").isNull(), F.struct(F.pmod("key", F.lit(n_shards * FINE)).alias("a"), F.lit(-1).cast("long").alias("b")))
-    item = item.otherwise(F.struct(F.col("key").alias("a"), F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("b")))
-    placed = rows.join(F.broadcast(big), "key", "left").withColumn("item", item).select(
-        "doc_id", "size", "text_crc32", "key", "item.a", "item.b")
-    items = placed.groupBy("a", "b").agg(F.sum("size").alias("bytes")).orderBy("a", "b").collect()  # bounded as above
-    bins = even_bins([r["bytes"] for r in items], n_shards)
-    plan = docs.sparkSession.createDataFrame(
-        [(r["a"], r["b"], s) for r, s in zip(items, bins)], "a long, b long, shard int")
-    sharded = placed.join(F.broadcast(plan), ["a", "b"])
+    n_rows, share = total["n"] or 0, max(1, (total["bytes"] or 0) // n_shards)
+    # fewer than n_shards + 1 groups are larger than a share, fewer than HOT hold more rows than their part: these may be broadcast
+    split = groups.where(F.col("bytes") > share).select("key", F.ceil(F.col("bytes") * 8 / share).cast("long").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0).cast("long"))
+    keyed = rows.join(F.broadcast(split), "key", "left").withColumn("part", part).drop("parts")
+    whole = groups.where(F.col("bytes") <= share).select("key", F.lit(0).cast("long").alias("part"), "bytes")
+    pieces = keyed.join(F.broadcast(split), "key", "left_semi").groupBy("key", "part").agg(F.sum("size").alias("bytes"))
+    placed = cut(_placed(cut(whole.union(pieces)), n_shards, broadcast_rows))
+    hot = F.broadcast(groups.where((F.col("n") > n_rows / HOT) | (F.col("bytes") > share)).select("key"))
+    many = keyed.join(hot, "key", "left_semi").join(F.broadcast(placed.join(hot, "key", "left_semi")), ["key", "part"])
+    few = keyed.join(hot, "key", "left_anti").join(placed.join(hot, "key", "left_anti"), ["key", "part"])
+    sharded = cut(many.unionByName(few))
 
     cells = max(1, n_rows // (n_shards * ROWS_PER_CELL))
     sharded = sharded.withColumn("cell", F.pmod(F.xxhash64("key", "doc_id"), F.lit(cells)))

@@ -249,8 +249,30 @@ def test_treap_and_best_fit_decreasing_against_lists():
                 b = len(free) - 1
             free[b] -= sizes[i]
             want[i] = b
-        assert sharding.best_fit_decreasing(sizes, 100) == want
-    assert max(sharding.even_bins(rng.integers(1, 60, 80).tolist(), 7)) < 7
+        got = Counter()
+        for size, b, n in sharding.best_fit_decreasing(Counter(sizes), 100):
+            got[size, b] += n
+        assert got == Counter(zip(sizes, want))
+        assert sharding.best_fit_decreasing(Counter(sizes), 100, len(free) - 1) is None
+    sizes = rng.integers(1, 60, 80).tolist()
+    load = Counter()
+    for size, b, n in sharding.even_bins(Counter(sizes), 7):
+        load[b] += size * n
+    assert set(load) <= set(range(7)) and sum(load.values()) == sum(sizes) and max(load.values()) <= sum(sizes) / 7 + 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_many_groups_of_few_sizes_are_whole_and_even(spark, broadcast_rows):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.expr("repeat('x', id % 7)")).alias("text"))
+    docs = docs.union(spark.range(40_000).select(F.col("id") + 200_000, F.lit(""))).union(docs.where("doc_id < 50"))
+    got = sharding.shard(docs, broadcast_rows=broadcast_rows).persist()
+    assert got.count() == 140_050
+    load = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 16 and max(load) - min(load) <= 40_000 and max(load) <= -(-sum(load) // 16) + 26
+    assert got.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    slots = got.groupBy("shard").agg(F.min("slot"), F.max("slot") + 1, F.countDistinct("slot"), F.count("*")).collect()
+    assert all(r[1] == 0 and r[2] == r[3] == r[4] for r in slots)
+    got.unpersist()
 
 
 def test_a_group_above_a_share_is_split(spark):
