@@ -5,7 +5,9 @@ than ``longest`` words is cut again before each word whose hash is least among `
 words on either side, and every ``longest`` words counted from such a cut: a passage is
 cut alike whatever words stand before it. From every sentence, and up to every sentence, the shortest run of at least
 ``sentences`` consecutive sentences and ``min_words`` words is hashed over its
-lower-cased words. A global join finds the runs that occur more than once; the document with the least doc_id keeps its first
+lower-cased words. Shorter runs are phrases that unrelated documents share by chance; with
+``longest`` words a sentence a run has at most 33 words, and nearly every passage of 50
+words holds one wherever it stands. A global join finds the runs that occur more than once; the document with the least doc_id keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
 
 A document sends each distinct run once, counting is by hash with map-side minima, and
@@ -14,8 +16,10 @@ something meet their list of runs again, which is as long as their own text allo
 
 Null and empty texts and texts too short for a run come back as they are. Rows that
 share a doc_id count as one document: none of them loses a run to another. A row without
-doc_id comes after all others. Very long texts are worked whole, an empty table gives an
-empty result, columns other than doc_id and text are ignored.
+doc_id is a document of its own, named by a number from 2**62 on that its text's hash gives,
+so it comes after all smaller ids; equal texts without doc_id count as one document. Very
+long texts are worked whole, an empty table gives an empty result, columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hyplab.llm import kernels as K
 
@@ -36,7 +40,7 @@ CLOSERS = tuple(c.encode() for c in ".!?…。！？｡؟۔।॥።")
 @dataclass(frozen=True)
 class Bounds:
     sentences: int = 2
-    min_words: int = 12
+    min_words: int = 24
     longest: int = 10
     around: int = 2
 
@@ -113,6 +117,11 @@ def _own(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return K.mix(h ^ K.mix(owner.astype(np.uint64) + np.uint64(1)))
 
 
+def _named(doc_id: str, text_hash: Column) -> Column:
+    """The doc_id, or for rows without one a number from 2**62 on out of the text's hash."""
+    return F.coalesce(doc_id, text_hash.bitwiseAND(2**61 - 1) + F.lit(2**62))
+
+
 def repeated_runs(docs: DataFrame, bounds: Bounds) -> DataFrame:
     """_id, _hash (of the text) and the runs of the document that an earlier document holds."""
 
@@ -124,7 +133,8 @@ def repeated_runs(docs: DataFrame, bounds: Bounds) -> DataFrame:
             rows = pa.array(owner[pick] + row)
             yield {"_id": batch.column(0).take(rows), "_hash": batch.column(1).take(rows), "run": x.hash[pick].view(np.int64)}
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    text_hash = F.xxhash64("text")
+    keyed = docs.select(_named("doc_id", text_hash).alias("_id"), text_hash.alias("_hash"), "text")
     runs = K.map_batches(keyed, ["_id", "_hash", "text"], "_id long, _hash long, run long", run)
     first = runs.groupBy("run").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first <> _last")
     later = runs.join(first.select("run", "_first"), "run").where("_id <> _first")
@@ -134,7 +144,8 @@ def repeated_runs(docs: DataFrame, bounds: Bounds) -> DataFrame:
 def remove_repeats(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (spans [first, behind) of sentence numbers) and the text that is left."""
     found = repeated_runs(docs, bounds)
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_i"), F.xxhash64("text").alias("_h"))
+    text_hash = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", _named("doc_id", text_hash).alias("_i"), text_hash.alias("_h"))
     marked = keyed.join(found, (keyed["_i"] == found["_id"]) & (keyed["_h"] == found["_hash"]), "left")
     schema = "doc_id long, n_sentences long, n_removed long, removed array<struct<first: long, behind: long>>, text string"
     span_type = pa.list_(pa.struct([pa.field("first", pa.int64()), pa.field("behind", pa.int64())]))

@@ -106,3 +106,17 @@ def test_sentence_spans_against_all_runs(spark):
         r = got[i]
         assert (r["n_sentences"], r["n_removed"], r["text"]) == (len(cut[i]), len(gone), left)
         assert {k for s in r["removed"] for k in range(s["first"], s["behind"])} == gone
+
+
+def test_rows_without_doc_id_are_documents_of_their_own(spark):
+    passage = " ".join(f"p{i} q{i} r{i}." for i in range(24))
+    other = " ".join(f"n{i} m{i}." for i in range(20))
+    own = [f"Opening {i} words of {i} one text. " for i in range(4)]
+    rows = [(None, own[0] + passage), (None, own[1] + passage), (None, own[2] + other), (7, own[3] + other), (None, own[0] + passage), (None, None)]
+    got = sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    holders = [r for r in got if r["text"] and "q3" in r["text"]]
+    # equal nameless texts are one document; the passage stays in one document, with its copy or without
+    assert len({r["text"] for r in holders}) == 1 and len(holders) in (1, 2)
+    named = [r for r in got if r["doc_id"] == 7]
+    assert named[0]["n_removed"] == 0 and sum("m3" in (r["text"] or "") for r in got) == 1
