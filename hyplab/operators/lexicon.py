@@ -160,11 +160,12 @@ def _deletions(t: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _variant_keys(t: Column) -> Column:
-    """The string and everything within two deletions: a pair within distance two shares one."""
-    once = _deletions(t)
-    twice = F.flatten(F.transform(once, _deletions))
-    return F.array_distinct(F.concat(F.array(t), once, twice))
+def _variant_keys(t: Column, k: int) -> Column:
+    """Keys (k, string) of the string and everything within ``k`` deletions: a pair within distance ``k`` shares one."""
+    found = [F.array(t)]
+    for _ in range(k):
+        found.append(F.array_distinct(F.flatten(F.transform(found[-1], _deletions))))
+    return F.transform(F.array_distinct(F.concat(*found)), lambda x: F.struct(F.lit(k).alias("k"), x.alias("key")))
 
 
 def _segments(t: Column, parts: int) -> Column:
@@ -216,9 +217,18 @@ def nearest_words(queries: DataFrame, lex: DataFrame, language: str, max_edit: i
         language, F.col("word").alias("cand"), "n", F.substring("word", 1, 1).alias("first"), F.expr("substr(word, 2)").alias("_tail")
     )
     short = F.length("tail") <= _VARIANT_TAIL
-    by_variant = q.where(short).withColumn("key", F.explode(_variant_keys(F.col("tail")))).join(
-        words.where(F.length("_tail") <= _VARIANT_TAIL + 2).withColumn("key", F.explode(_variant_keys(F.col("_tail")))),
-        [language, "first", "key"],
+    # each word goes as deep as its own distance allows; a lexicon word serves the queries of either depth that it can reach
+    asked = F.when(F.col("k") == 1, _variant_keys(F.col("tail"), 1)).otherwise(_variant_keys(F.col("tail"), 2))
+    size, none = F.length("_tail"), F.array().cast("array<struct<k:int,key:string>>")
+    near_one = size.between(2, 5 if max_edit >= 2 else _VARIANT_TAIL + 1)
+    near_two = size.between(3, _VARIANT_TAIL + 2) & F.lit(max_edit >= 2)
+    offered = F.concat(
+        F.when(near_one, _variant_keys(F.col("_tail"), 1)).otherwise(none),
+        F.when(near_two, _variant_keys(F.col("_tail"), 2)).otherwise(none),
+    )
+    by_variant = q.where(short).withColumn("v", F.explode(asked)).select(*q.columns, "v.key").join(
+        words.select("*", F.explode(offered).alias("v")).select(*words.columns, "v.k", "v.key"),
+        [language, "first", "k", "key"],
     )
     by_segment = q.where(~short).withColumn("key", F.explode(_windows(F.col("tail"), 3, 2))).join(
         words.where(F.length("_tail") >= _VARIANT_TAIL - 2).withColumn("key", F.explode(_segments(F.col("_tail"), 3))),
