@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from hyplab.functions import distance as D, fixed, kernels as K, text as T
 from hyplab.operators import ordering as O, score as S
 from hyplab.operators.counts import END, START
+from hyplab.operators.sizing import cut, keep
 
 
 def fuse_two(
@@ -384,41 +385,63 @@ def _last_words(w: Column) -> Column:
     return F.slice(w, F.greatest(F.size(w) - (MAX_OVERLAP - 1), F.lit(1)), F.lit(MAX_OVERLAP))
 
 
-def merge_chunks(chunks: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """What every chunk adds when exact word overlaps with the text so far are dropped.
+SEGMENT = 64
 
-    A chunk of 12 words or more fixes the tail of the text by itself, so a long group is
-    cut there into segments that are merged independently; only the anchor of a segment
-    looks at the tail of the segment before it. The result stays one row per chunk.
+
+def merge_chunks(chunks: DataFrame, group: str, order: str, text: str, segment: int = SEGMENT) -> DataFrame:
+    """What every chunk adds when exact word overlaps with the text so far are dropped; one row per chunk.
+
+    A group is cut into segments of ``segment`` chunks, whatever their lengths. A segment needs
+    only the last 12 words before it. It is folded behind an empty text first, and again where
+    the segment before it turns out to end otherwise, until nothing changes. A round settles one
+    more segment of every group at least; since each chunk ends the text, ends agree after a few
+    chunks and one or two rounds are the rule. Only ends of segments travel between rounds.
     """
     w = chunks.select(group, order, T.words(F.col(text)).alias("w")).where(F.size("w") > 0)
     points = O.split_points(w, order)
-    anchored = O.running_totals(
-        w, [order], O.bucket_of(F.col(order), points), {"seg": (F.size("w") >= MAX_OVERLAP).cast("long")}, [group]
+    numbered = O.running_totals(w, [order], O.bucket_of(F.col(order), points), {"_at": F.lit(1).cast("long")}, [group])
+    segments = keep(
+        numbered.groupBy(group, F.floor((F.col("_at") - 1) / segment).alias("seg")).agg(
+            F.sort_array(F.collect_list(F.struct(order, "w"))).alias("_c"))
     )
-    # an anchor and the short chunks after it
-    segments = anchored.groupBy(group, "seg").agg(F.sort_array(F.collect_list(F.struct(order, "w"))).alias("_c"))
-    start = F.struct(
-        F.array().cast("array<string>").alias("tail"),
-        F.array().cast(f"array<struct<{order}:bigint,piece:array<string>>>").alias("out"),
+    nothing = F.array().cast("array<string>")
+    new_words = lambda tail, c: F.slice(c["w"], _overlap(tail, c["w"]) + 1, F.size(c["w"]))
+
+    def end(before: str) -> Column:
+        return F.aggregate("_c", F.col(before), lambda tail, c: _last_words(F.concat(tail, new_words(tail, c))))
+
+    def folded(s: Column, c: Column) -> Column:
+        piece = new_words(s["tail"], c)
+        added = F.struct(c[order].cast("bigint").alias(order), piece.alias("piece"))
+        return F.struct(_last_words(F.concat(s["tail"], piece)).alias("tail"), F.concat(s["out"], F.array(added)).alias("out"))
+
+    def moved(ends: DataFrame) -> DataFrame:
+        """Segments that begin behind other words than they were folded behind."""
+        before = ends.select(group, (F.col("seg") + 1).alias("seg"), F.col("_end").alias("_now"))
+        return ends.join(before, [group, "seg"]).where(F.col("_now") != F.col("_before")).select(group, "seg", F.col("_now").alias("_before"))
+
+    begun = segments.withColumn("_before", nothing)
+    # a group's first segment is right from the start
+    if segments.where("seg > 0").limit(1).count():
+        ends = cut(begun.select(group, "seg", "_before", end("_before").alias("_end")))
+        while (again := cut(moved(ends))).count():
+            renewed = segments.join(again, [group, "seg"]).select(group, "seg", "_before", end("_before").alias("_end"))
+            ends = cut(ends.join(again, [group, "seg"], "left_anti").unionByName(renewed))
+        begun = segments.join(ends.select(group, "seg", "_before"), [group, "seg"])
+    start = F.struct(F.col("_before").alias("tail"), F.array().cast(f"array<struct<{order}:bigint,piece:array<string>>>").alias("out"))
+    return begun.select(group, F.explode(F.aggregate("_c", start, folded)["out"]).alias("o")).select(
+        group, f"o.{order}", F.array_join("o.piece", " ").alias("piece")
     )
 
-    def step(s: Column, c: Column) -> Column:
-        k = _overlap(s["tail"], c["w"])
-        piece = F.slice(c["w"], k + 1, F.greatest(F.size(c["w"]) - k, F.lit(0)))
-        return F.struct(
-            _last_words(F.concat(s["tail"], piece)).alias("tail"),
-            F.concat(s["out"], F.array(F.struct(c[order].cast("bigint").alias(order), piece.alias("piece")))).alias("out"),
-        )
 
-    merged = segments.withColumn("_m", F.aggregate("_c", start, step)).select(group, "seg", "_m.tail", "_m.out")
-    previous = merged.select(group, (F.col("seg") + 1).alias("seg"), F.col("tail").alias("_prev"))
-    pieces = merged.join(previous, [group, "seg"], "left").select(group, "_prev", F.posexplode("out").alias("i", "o"))
-    piece = F.col("o.piece")
-    k = F.when((F.col("i") == 0) & F.col("_prev").isNotNull(), _overlap(F.col("_prev"), piece)).otherwise(F.lit(0))
-    return (
-        pieces.withColumn("_k", k)
-        .select(group, f"o.{order}", F.array_join(F.slice(piece, F.col("_k") + 1, F.greatest(F.size(piece) - F.col("_k"), F.lit(0))), " ").alias("piece"))
+def merged_parts(pieces: DataFrame, group: str, order: str, segment: int = SEGMENT) -> DataFrame:
+    """The merged text of a group in parts of ``segment`` pieces: (group, part from 0, text); no group is one row."""
+    kept = pieces.where(F.col("piece") != "")
+    points = O.split_points(kept, order)
+    numbered = O.running_totals(kept, [order], O.bucket_of(F.col(order), points), {"_at": F.lit(1).cast("long")}, [group])
+    parts = F.sort_array(F.collect_list(F.struct(order, "piece")))
+    return numbered.groupBy(group, F.floor((F.col("_at") - 1) / segment).alias("part")).agg(
+        F.array_join(F.transform(parts, lambda s: s["piece"]), " ").alias("text")
     )
 
 

@@ -1,7 +1,9 @@
-"""Broadcast behind a size check."""
+"""Broadcast behind a size check, and tables kept or cut from their lineage."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,6 +18,20 @@ def keep(df: DataFrame) -> DataFrame:
     return _kept[-1]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A table of an iterative operator, written to the shared folder of ``spark.checkpoint.dir``.
+
+    Only a local session that names no folder falls back to one of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hyplab-checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Count a derived table once, keep it, and say whether it is small enough to broadcast.
 

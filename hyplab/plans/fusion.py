@@ -330,6 +330,14 @@ def m18_text(spark, d):
     return M.merged_text(M.merge_chunks(V.chunks(spark, d), "conv_id", "turn", "text"), "conv_id", "turn")
 
 
+@query("m18_merged_parts", f"""WITH RECURSIVE {MERGE},
+p AS (SELECT conv_id, turn, array_to_string(piece, ' ') AS piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM m WHERE len(piece) > 0)
+SELECT conv_id, pos // 4 AS part, string_agg(piece, ' ' ORDER BY turn) AS text FROM p GROUP BY ALL""")
+def m18_parts(spark, d):
+    # short segments and parts, so that conversations of some ten turns have several
+    return M.merged_parts(M.merge_chunks(V.chunks(spark, d), "conv_id", "turn", "text", 4), "conv_id", "turn", 4)
+
+
 SWEEP = (1.10, 1.15, 1.20, 1.30, 1.50, 2.00, 2.50, 2.75, 3.00)
 
 

@@ -66,8 +66,24 @@ def test_chunk_merge_matches_sequential_rule(spark):
             merged += w[k:]
         want[conv] = " ".join(merged)
     df = spark.createDataFrame(rows, "c long, t long, x string")
-    got = M.merged_text(M.merge_chunks(df, "c", "t", "x"), "c", "t")
-    assert {r["c"]: r["text"] for r in got.collect()} == want
+    for segment in (3, M.SEGMENT):
+        pieces = M.merge_chunks(df, "c", "t", "x", segment)
+        got = M.merged_text(pieces, "c", "t")
+        assert {r["c"]: r["text"] for r in got.collect()} == want
+
+
+def test_long_conversation_of_short_turns_merges_in_parts(spark):
+    rng = random.Random(8)
+    merged, rows = [], []
+    for turn in range(6000):
+        w = [rng.choice("ab") for _ in range(rng.choice((1, 1, 2, 3)))]
+        rows.append((5, turn, " ".join(w)))
+        k = next((s for s in range(min(12, len(merged), len(w)), 0, -1) if merged[-s:] == w[:s]), 0)
+        merged += w[k:]
+    df = spark.createDataFrame(rows, "c long, t long, x string").repartition(6)
+    parts = M.merged_parts(M.merge_chunks(df, "c", "t", "x"), "c", "t").collect()
+    assert len(parts) > 20 and [r["part"] for r in sorted(parts, key=lambda r: r["part"])] == list(range(len(parts)))
+    assert " ".join(r["text"] for r in sorted(parts, key=lambda r: r["part"])) == " ".join(merged)
 
 
 def _calibrate(pos, neg, cap=0.05):
