@@ -386,6 +386,13 @@ def _last_words(w: Column) -> Column:
 
 
 SEGMENT = 64
+ORDER_BLOCK = 4096  # values of the order column that are numbered in one task
+
+
+def _numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """``_at``: the place of a row in its group, from 1; ``order`` is a number, such as a turn or a time."""
+    block = F.floor(F.col(order) / ORDER_BLOCK)
+    return O.running_totals(df, [order], block, {"_at": F.lit(1).cast("long")}, [group])
 
 
 def merge_chunks(chunks: DataFrame, group: str, order: str, text: str, segment: int = SEGMENT) -> DataFrame:
@@ -398,8 +405,7 @@ def merge_chunks(chunks: DataFrame, group: str, order: str, text: str, segment:
     chunks and one or two rounds are the rule. Only ends of segments travel between rounds.
     """
     w = chunks.select(group, order, T.words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    points = O.split_points(w, order)
-    numbered = O.running_totals(w, [order], O.bucket_of(F.col(order), points), {"_at": F.lit(1).cast("long")}, [group])
+    numbered = _numbered(w, group, order)
     segments = keep(
         numbered.groupBy(group, F.floor((F.col("_at") - 1) / segment).alias("seg")).agg(
             F.sort_array(F.collect_list(F.struct(order, "w"))).alias("_c"))
@@ -437,8 +443,7 @@ def merge_chunks(chunks: DataFrame, group: str, order: str, text: str, segment:
 def merged_parts(pieces: DataFrame, group: str, order: str, segment: int = SEGMENT) -> DataFrame:
     """The merged text of a group in parts of ``segment`` pieces: (group, part from 0, text); no group is one row."""
     kept = pieces.where(F.col("piece") != "")
-    points = O.split_points(kept, order)
-    numbered = O.running_totals(kept, [order], O.bucket_of(F.col(order), points), {"_at": F.lit(1).cast("long")}, [group])
+    numbered = _numbered(kept, group, order)
     parts = F.sort_array(F.collect_list(F.struct(order, "piece")))
     return numbered.groupBy(group, F.floor((F.col("_at") - 1) / segment).alias("part")).agg(
         F.array_join(F.transform(parts, lambda s: s["piece"]), " ").alias("text")
