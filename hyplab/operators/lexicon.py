@@ -124,6 +124,20 @@ def join_split_words(
     ).drop("_ok")
 
 
+def ablations(
+    df: DataFrame, key: list[str], text: str, lex: DataFrame, bigrams: DataFrame, language: str, joined_language: str
+) -> DataFrame:
+    """Every text under each light rewriting: (key, method, out).
+
+    Joining split words reads the counts of one language; texts of the others stay as they are there.
+    """
+    of_one = lex.where(F.col(language) == joined_language)
+    joined = join_split_words(df.select(*key, language, text), key, text, of_one, bigrams, language, "_joined")
+    rewritten = {m: f(F.col(text)) for m, f in T.ABLATIONS.items()} | {"D_join_splits": F.coalesce("_joined", F.lit(""))}
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), c.alias("out")) for m, c in rewritten.items()])
+    return joined.select(*key, F.inline(rows))
+
+
 def lexical_stats(df: DataFrame, key: list[str], text: str, lex: DataFrame, language: str) -> DataFrame:
     """Words, characters, out-of-vocabulary, apostrophe, unique and repeat shares per text."""
     c, w = F.col(text), T.words(F.col(text))

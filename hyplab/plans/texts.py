@@ -174,12 +174,11 @@ def b11(spark, d):
     ).select("id", "out")
 
 
-@query("b12_lexicon_join", """
-WITH RECURSIVE t AS (SELECT id, language, string_split(broken, ' ') AS w FROM glued),
+_LEXICON_JOIN = """RECURSIVE t AS (SELECT id, language, string_split(broken, ' ') AS w FROM glued),
 p AS (SELECT DISTINCT language, w[i] AS a, w[i + 1] AS b FROM (SELECT language, w, unnest(range(1, len(w))) AS i FROM t)),
 ok AS (SELECT p.language, p.a, p.b FROM p JOIN lex l ON l.language = p.language AND l.word = p.a || p.b
   LEFT JOIN bigram g ON g.language = p.language AND g.a = p.a AND g.b = p.b
-  WHERE length(p.a) >= 2 AND length(p.b) >= 2 AND ((l.n >= 3 AND coalesce(g.n, 0) <= 0)
+  WHERE {0} AND length(p.a) >= 2 AND length(p.b) >= 2 AND ((l.n >= 3 AND coalesce(g.n, 0) <= 0)
     OR (l.n >= 5 AND coalesce(g.n, 0) <= 1 AND l.n >= 5 * greatest(coalesce(g.n, 0), 1)))),
 f AS (SELECT t.id, w, list(ok.a IS NOT NULL ORDER BY i) AS flags FROM
     (SELECT id, language, w, unnest(range(1, len(w) + 1)) AS i FROM t) t
@@ -188,8 +187,10 @@ s AS (SELECT id, w, flags, 1 AS i, '' AS out FROM f
   UNION ALL
   SELECT id, w, flags, CASE WHEN flags[i] THEN i + 2 ELSE i + 1 END,
     out || CASE WHEN out = '' THEN '' ELSE ' ' END || CASE WHEN flags[i] THEN w[i] || w[i + 1] ELSE w[i] END
-  FROM s WHERE i <= len(w))
-SELECT id, out FROM s WHERE i > len(w)""")
+  FROM s WHERE i <= len(w))"""
+
+
+@query("b12_lexicon_join", f"WITH {_LEXICON_JOIN.format('true')} SELECT id, out FROM s WHERE i > len(w)")
 def b12(spark, d):
     u = V.utterances(spark, d)
     bigrams = C.bigram_counts(u.where("split <> 'test'"), "reference", "language")
@@ -197,6 +198,24 @@ def b12(spark, d):
     return X.join_split_words(g, ["id"], "broken", X.lexicon(u), bigrams, "language", "out").select("id", "out")
 
 
+_ONE_JOIN = _LEXICON_JOIN.format("p.language = 'fr'")
+
+
+@query("b05_ablation_texts", f"""
+WITH {_ONE_JOIN}
+SELECT id, 'D_join_splits' AS method, out FROM s WHERE i > len(w)
+UNION ALL SELECT id, 'baseline', broken FROM glued
+UNION ALL SELECT id, 'A_collapse_spaces', trim(regexp_replace(broken, ' {{2,}}', ' ', 'g'), ' ') FROM glued
+UNION ALL SELECT id, 'B_strip_apostrophes', trim(regexp_replace(regexp_replace(broken, '[''’ʼ]', '', 'g'), ' {{2,}}', ' ', 'g'), ' ') FROM glued
+UNION ALL SELECT id, 'C_collapse_elong_vowels', {_vowels('broken')} FROM glued
+UNION ALL SELECT id, 'E_noop', broken FROM glued""")
+def b05_texts(spark, d):
+    u = V.utterances(spark, d)
+    bigrams = C.bigram_counts(u.where("split <> 'test'"), "reference", "language")
+    g = V.glued(spark, d).select("id", "language", "broken")
+    return X.ablations(g, ["id"], "broken", X.lexicon(u), bigrams, "language", "fr")
+
+
 @query("b13_trailing_filler", """
 SELECT id, regexp_replace(reference || CASE n % 3 WHEN 0 THEN ' aa' WHEN 1 THEN ' ee aa ah' ELSE '' END,
   '(^|\\s)(aa|ah|ee|eh)(\\s(aa|ah|ee|eh))*$', '') AS out FROM utt""")

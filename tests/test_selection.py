@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hyplab.functions import kernels as K
-from hyplab.operators import calibrate as C, fuse as M, gates as G, lexicon as X, promote as P, resample as R
+from hyplab.operators import calibrate as C, fuse as M, gates as G, lexicon as X, policy as Y, promote as P, resample as R
 
 
 def test_fusion_reasons(spark):
@@ -86,6 +86,29 @@ def test_long_conversation_of_short_turns_merges_in_parts(spark):
     assert " ".join(r["text"] for r in sorted(parts, key=lambda r: r["part"])) == " ".join(merged)
 
 
+def test_ablations_join_split_words_of_one_language(spark):
+    texts = spark.createDataFrame([
+        (1, "l", "to day  we aaare in it's"), (2, "m", "to day we go"), (3, "l", "day to day"), (4, "l", ""), (5, "l", None)],
+        "id long, language string, x string")
+    lex = spark.createDataFrame([("l", "today", 5), ("m", "today", 9), ("l", "wego", 2)], "language string, word string, n long")
+    pairs = spark.createDataFrame([("l", "to", "day", 1)], "language string, a string, b string, n long")
+    got = {(r["id"], r["method"]): r["out"] for r in X.ablations(texts, ["id"], "x", lex, pairs, "language", "l").collect()}
+    assert len(got) == 5 * 6 and {got[5, m] for m in ("baseline", "D_join_splits", "E_noop")} == {""}
+    assert got[2, "D_join_splits"] == "to day we go" and got[3, "D_join_splits"] == "day today" and got[4, "D_join_splits"] == ""
+    assert got[1, "A_collapse_spaces"] == "to day we aaare in it's" and got[1, "B_strip_apostrophes"].endswith("its")
+    assert got[1, "C_collapse_elong_vowels"] == "to day we are in it's"
+    # a pair that was seen twice is no split word
+    pairs = pairs.withColumn("n", F.col("n") + 1)
+    again = X.ablations(texts, ["id"], "x", lex, pairs, "language", "l").where("id = 3 AND method = 'D_join_splits'").first()
+    assert again["out"] == "day to day"
+
+
+def test_best_alternates_rank_by_corpus_score(spark):
+    rows = [("base", 0, 0, 9, 9), ("b", 2, 1, 9, 9), ("a", 1, 2, 9, 9), ("c", 5, 5, 9, 9), ("d", 4, 0, 18, 18)]
+    counts = spark.createDataFrame(rows, "system string, we long, ce long, nw long, nc long")
+    assert [r["alt"] for r in Y.best_alternates(counts, "base", 3).collect()] == ["d", "a", "b"]
+
+
 def _calibrate(pos, neg, cap=0.05):
     """The scan over all candidates, for comparison."""
     scores = sorted(set(pos + neg))
