@@ -17,7 +17,9 @@ def a01(spark, d):
 
 @query("a02_shard_discovery", "SELECT 'documents.parquet' AS file, count(*) AS rows FROM documents")
 def a02(spark, d):
-    files = spark.read.option("pathGlobFilter", "doc*.parquet").parquet(d).select("doc_id", F.col("_metadata.file_name").alias("file"))
+    # a shard is a file or a folder of parts; either way its name is the part of the path that matches
+    shard = F.regexp_extract("_metadata.file_path", "^.*/(doc[^/]*[.]parquet)(/[^/]*)?$", 1)
+    files = spark.read.parquet(f"{d}/doc*.parquet").select(shard.alias("file"))
     return files.groupBy("file").agg(F.count("*").alias("rows"))
 
 
