@@ -148,7 +148,9 @@ def margin_sweep(df: DataFrame, delta: Column, positive: Column, margins: Sequen
 
     ``df`` has alt_we, alt_ce, base_we, base_ce, nw, nc. One pass to len(margins)+1 cells.
     """
-    k = F.size(F.filter(F.array(*[F.lit(float(m)) for m in margins]), lambda m: delta >= m))
+    # read twice, so it stays a column: in the lambda alone it would be worked out anew for every margin
+    df, d = df.withColumn("_delta", delta), F.col("_delta")
+    k = F.when(d.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(float(m)) for m in margins]), lambda m: d >= m)))
     names = ("alt_we", "alt_ce", "base_we", "base_ce", "nw", "nc")
     cells = df.groupBy(k.alias("k")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"), *[F.sum(c).alias(c) for c in names])
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(m)).alias("margin")) for i, m in enumerate(margins)])
@@ -226,9 +228,13 @@ def best_accuracy(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def grid_cells(df: DataFrame, value: Column, sample: str, grid: Sequence[float], *by: str) -> DataFrame:
-    """Rows per sample and grid cell: k is the first grid point at or above the value (len(grid) beyond it), n the count."""
-    k = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g < value))
-    return df.groupBy(*by, sample, k.alias("k")).agg(F.count("*").alias("n"))
+    """Rows per sample and grid cell: k is the first grid point at or above the value (len(grid) beyond it), n the count.
+
+    Equal values are counted first, so a value is worked out once per row and meets the grid once.
+    """
+    equal = df.groupBy(*by, sample, value.alias("_value")).agg(F.count("*").alias("_n"))
+    k = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g < F.col("_value")))
+    return equal.groupBy(*by, sample, k.alias("k")).agg(F.sum("_n").alias("n"))
 
 
 def cell_shares(cells: DataFrame, sample: str, grid: Sequence[float], *by: str) -> DataFrame:
