@@ -1,6 +1,7 @@
 """Many regularised logistic models fitted together, one pass over the rows per Newton step.
 
-A model learns from the rows of some cells (each row lies in one cell). A pass sums, for
+A model learns from the rows of some cells (each row lies in one cell). The products of a
+row's features are made once for all models, which are summed by matrix products. A pass sums, for
 every model, the gradient and the Hessian of its penalised log-likelihood; a task sends one
 small array per model, arrays are added in a tree, and the driver solves the models' steps.
 So the number of jobs is the number of Newton steps, however many models there are, and
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 FAN = 32
+BLOCK = 512  # rows whose products of features and probabilities stay in the cache
 MEDIAN_ACCURACY = 100_000
 STEPS, TOLERANCE = 40, 1e-8
 
@@ -126,6 +128,57 @@ def scaling(df: DataFrame, x: str, label: str, cell: str, sets: Sequence[Sequenc
     return Scaling(medians, means, deviations, rows, positives)
 
 
+class Shared:
+    """One scale for all training sets, so that a row's products of features serve every model.
+
+    A set's scaled features are this scale's features times a matrix; weights, gradients and
+    Hessians are carried over by it.
+    """
+
+    def __init__(self, scale: Scaling, width: int) -> None:
+        with_rows = scale.rows > 0
+        self.medians, self.means, self.deviations = scale.medians, scale.means[with_rows].mean(0), scale.deviations[with_rows].mean(0)
+        self.upper = np.triu_indices(width + 1)
+        self.to_set = []
+        for mean, deviation in zip(scale.means, scale.deviations):
+            a = np.diag(np.concatenate([[1.0], self.deviations / deviation]))
+            a[0, 1:] = (self.means - mean) / deviation
+            self.to_set.append(a)
+
+    def weights(self, weights: np.ndarray, models: Sequence[Model]) -> np.ndarray:
+        return np.array([self.to_set[m.train] @ w for m, w in zip(models, weights)])
+
+    def apply(self, x: np.ndarray, t: int | None) -> np.ndarray:
+        filled = x if t is None else np.where(np.isfinite(x), x, self.medians[t])
+        return np.concatenate([np.ones((len(x), 1)), (filled - self.means) / self.deviations], axis=1)
+
+    def scaled(self, total: np.ndarray, t: int, use: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and Hessian of a model in the scale of its training set."""
+        a = self.to_set[t][:, use]
+        d = len(self.to_set[t])
+        hessian = np.zeros((d, d))
+        hessian[self.upper] = total[1 + d :]
+        hessian = hessian + np.triu(hessian, 1).T
+        return total[0], a.T @ total[1 : 1 + d], a.T @ hessian @ a
+
+
+def _sums(z: np.ndarray, positive: bool, weights: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper Hessian of rows of one label, summed, for each of ``weights``."""
+    sign = -1.0 if positive else 1.0
+    upper = np.triu_indices(z.shape[1])
+    out = np.zeros((len(weights), 1 + z.shape[1] + len(upper[0])))
+    for at in range(0, len(z), BLOCK):
+        c = z[at : at + BLOCK]
+        v = sign * (c @ weights.T)
+        e = np.exp(-np.abs(v))
+        p = np.where(v >= 0, 1.0, e) / (1 + e)  # of the wrong label
+        # a product of a block of numbers between 1 and 2 cannot overflow, and takes one logarithm
+        out[:, 0] += np.maximum(v, 0).sum(0) + np.log((1 + e).prod(0))
+        out[:, 1 : 1 + z.shape[1]] += sign * (p.T @ c)
+        out[:, 1 + z.shape[1] :] += (p * (1 - p)).T @ (c[:, upper[0]] * c[:, upper[1]])
+    return out
+
+
 def fit(
     df: DataFrame, x: str, label: str, cell: str, sets: Sequence[Sequence[int]], models: Sequence[Model], width: int
 ) -> tuple[np.ndarray, Scaling]:
@@ -140,34 +193,41 @@ def fit(
             weights[i, 0] = 50.0 if n and pos else -50.0  # probability 1 or 0
         else:
             open_.append(i)
-    members = [set(s) for s in sets]
+    if not open_:
+        return weights, scale
+    shared_scale = Shared(scale, width)
+    learners = {c: [i for i, m in enumerate(models) if c in sets[m.train]] for c in {c for s in sets for c in s}}
     context = df.sparkSession.sparkContext
     before: dict[int, tuple[float, np.ndarray]] = {}
     for _ in range(STEPS):
         if not open_:
             break
-        shared = context.broadcast((weights, open_))
+        shared = context.broadcast((shared_scale.weights(weights, models), set(open_)))
 
         def partial(arrays: list[np.ndarray]) -> dict[int, np.ndarray]:
             features, y, cells = arrays
             w, todo = shared.value
-            out, by_set = {}, {}
-            for i in todo:
-                by_set.setdefault(models[i].train, []).append(i)
-            for t, ours in by_set.items():
-                mine = np.isin(cells, list(members[t]))
-                if not mine.any():
-                    continue
-                z, u = scale.apply(features[mine], t), y[mine]
-                n, pos = scale.rows[t], scale.positives[t]
-                logits = z @ w[ours].T
-                for k, i in enumerate(ours):
-                    a = np.where(u == 1, n / (2 * pos), n / (2 * (n - pos))) if models[i].balanced else np.ones(len(u))
-                    v = logits[:, k]
-                    p = 1 / (1 + np.exp(-np.clip(v, -500, 500)))
-                    c = z[:, use[i]]
-                    loss = (a * (np.logaddexp(0, v) - u * v)).sum()
-                    out[i] = np.concatenate([[loss], c.T @ (a * (p - u)), (c.T @ (c * (a * p * (1 - p))[:, None])).ravel()])
+            out: dict[int, np.ndarray] = {}
+            full = np.isfinite(features).all(axis=1)
+            for c in np.unique(cells):
+                ours = [i for i in learners.get(int(c), ()) if i in todo]
+                by_set: dict[int, list[int]] = {}
+                for i in ours:
+                    by_set.setdefault(models[i].train, []).append(i)
+                for positive in (False, True):
+                    mine = (cells == c) & ((y == 1) == positive)
+                    # rows with gaps look different to every training set, which fills them with its own medians
+                    for rows, groups in ((mine & full, [(None, ours)]), (mine & ~full, by_set.items())):
+                        if not rows.any():
+                            continue
+                        for t, group in groups:
+                            if not group:
+                                continue
+                            made = _sums(shared_scale.apply(features[rows], t), positive, w[group])
+                            for i, x in zip(group, made):
+                                n, pos = scale.rows[models[i].train], scale.positives[models[i].train]
+                                x = x * (n / (2 * (pos if positive else n - pos))) if models[i].balanced else x
+                                out[i] = out[i] + x if i in out else x
             return out
 
         sums = summed(df, [F.col(x), F.col(label).cast("double"), F.col(cell).cast("long")], partial)
@@ -176,13 +236,14 @@ def fit(
             d, own = len(use[i]), weights[i, use[i]]
             penalty = np.full(d, 1 / models[i].strength)
             penalty[0] = 0.0
-            value = sums[i][0] + 0.5 * (penalty * own * own).sum()
+            loss, gradient, hessian = shared_scale.scaled(sums[i], models[i].train, use[i])
+            value = loss + 0.5 * (penalty * own * own).sum()
             if i in before and value > before[i][0] + 1e-9 * abs(value):  # the last step went too far
                 weights[i, use[i]] = own = (own + before[i][1]) / 2
                 still.append(i)
                 continue
-            gradient = sums[i][1 : 1 + d] + penalty * own
-            hessian = sums[i][1 + d :].reshape(d, d) + np.diag(penalty) + 1e-10 * np.eye(d)
+            gradient = gradient + penalty * own
+            hessian = hessian + np.diag(penalty) + 1e-10 * np.eye(d)
             before[i] = (value, own.copy())
             step = np.linalg.solve(hessian, gradient)
             weights[i, use[i]] = own - step

@@ -82,9 +82,10 @@ def nested_selector(
     def sums(p: np.ndarray, cost: list[np.ndarray]) -> np.ndarray:
         """configs x thresholds x (word edits, character edits, rows of the first system)."""
         awe, ace, bwe, bce = cost[:4]
-        first = p[:, :, None] >= cuts
-        taken = [np.where(first, a[:, None, None], b[:, None, None]).sum(0) for a, b in ((awe, bwe), (ace, bce))]
-        return np.stack([*taken, first.sum(0)], axis=-1).astype(float)
+        first = (p[:, :, None] >= cuts).reshape(len(p), -1).astype(float)
+        # whole numbers, so the products are exact
+        won = first.T @ np.stack([awe - bwe, ace - bce, np.ones(len(p))], axis=-1)
+        return (won + [bwe.sum(), bce.sum(), 0.0]).reshape(p.shape[1], len(cuts), 3)
 
     columns = [F.col("x"), F.col("cell"), *[F.col(c) for c in costs]]
 

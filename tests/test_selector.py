@@ -115,3 +115,20 @@ def test_nested_selector_equals_a_loop_over_folds(spark):
         s, c, w, t = mine
         p = plain(x[train], y[train], c, w == "balanced", index[s])(x[test])
         assert r["n"] == len(test) and r["heldout_score"] == pytest.approx(score(test, p >= t), abs=0.03)
+
+
+def test_models_share_the_products_of_features():
+    """Loss, gradient and Hessian of a model in its own scale, from sums in the shared one; 700 rows pass a block."""
+    r = np.random.default_rng(3)
+    x, y, w = r.normal(size=(700, 3)) * [1, 5, 0.1] + [2, -7, 0], r.integers(0, 2, 700), r.normal(size=4)
+    scale = R.Scaling(np.zeros((2, 3)), np.array([[2.0, -7, 0], [1, -6, 0.1]]), np.array([[1.0, 5, 0.1], [2, 4, 0.2]]), np.array([5.0, 5]), np.array([2.0, 2]))
+    shared, use = R.Shared(scale, 3), np.arange(4)
+    for t in (0, 1):
+        model = R.Model(t, (0, 1, 2), 1.0, False)
+        own = shared.weights(w[None], [model])
+        total = sum(R._sums(shared.apply(x[y == k], None), bool(k), own)[0] for k in (0, 1))
+        loss, gradient, hessian = shared.scaled(total, t, use)
+        z = scale.apply(x, t)
+        p = 1 / (1 + np.exp(-z @ w))
+        assert np.isclose(loss, -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        assert np.allclose(gradient, z.T @ (p - y)) and np.allclose(hessian, z.T @ (z * (p * (1 - p))[:, None]))
