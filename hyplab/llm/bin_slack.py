@@ -172,6 +172,21 @@ class Seen:
         return out
 
 
+class Asked(dict):
+    """Ids of words. A word that is not known gives a buffer, the same for each time it comes, which is filled before it is read."""
+
+    def __init__(self, old: dict[bytes, bytes]) -> None:
+        super().__init__()
+        self.old, self.asked = old, {}
+
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        known = self.old.get(word)
+        if known is None:
+            known = self.asked[word] = bytearray()
+        self[word] = known
+        return known
+
+
 def _small(word: bytes) -> bool:
     """Whether a word consists of letters that no normaliser changes: composed, small and of long standing."""
     if word.isalpha():
@@ -194,7 +209,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(described)
         self.model = Tokenizer(self.tokenizer.model)
-        self.words, self.parts = Seen(CACHED_WORDS), Seen(CACHED_PARTS)
+        self.words, self.parts = Asked({}), Seen(CACHED_PARTS)
         one = lambda w, t=self.tokenizer: t.encode(w, add_special_tokens=False).ids
         self.caseless = all(one(w) == one(w.lower()) for w in ("A", "Ab", "WORD", "Éa", "Straße"))
         self.apart = all(one(w + m) == one(w) + one(m) for w in ("a", "word", "é") for m in (*MARKS, "...", "?!"))
@@ -227,20 +242,22 @@ class Words:
         known[b""] = b""
         known.update(self._encode([w for w in new if _small(w)] if self.plain else [], direct=True))
         known.update(self._encode([w for w in new if w not in known]))
-        self.words.young.update((w, known[a] + known[b]) for w, (a, b) in split.items())
+        self.words.update((w, known[a] + known[b]) for w, (a, b) in split.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.words) > CACHED_WORDS:
+            self.words = Asked(dict(self.words))
+        words = self.words
+        get = words.__getitem__
         # bytes are split at exactly the six white space bytes of ASCII
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        get = self.words.young.get
-        found = [list(map(get, ws)) for ws in split]
-        holes = [[i for i, x in enumerate(f) if x is None] for f in found]
-        new = self.words.missing({ws[i] for ws, at in zip(split, holes) for i in at})
-        self._learn([w for w in new if len(w) <= CACHED_BYTES])
-        known, long = self.words.young, dict(self._encode([w for w in new if len(w) > CACHED_BYTES]))
-        for ws, f, at in zip(split, found, holes):
-            for i in at:
-                f[i] = known[ws[i]] if ws[i] in known else long[ws[i]]
+        found = [list(map(get, t.encode("utf-8", "replace").split())) if t else [] for t in texts]
+        asked, words.asked = words.asked, {}
+        self._learn([w for w in asked if len(w) <= CACHED_BYTES])
+        long = dict(self._encode([w for w in asked if len(w) > CACHED_BYTES]))
+        for w, buffer in asked.items():
+            buffer += long[w] if w in long else words[w]
+        for w in long:
+            del words[w]
         return [b"".join(f) for f in found]
 
 

@@ -139,3 +139,15 @@ def test_odd_rows_and_small_cells(spark, odd):
 def test_empty_table(spark, odd):
     assert B.pack(odd.where("false"), FILE).count() == 0
     assert B.sequences(B.pack(odd.where("false"), FILE)).count() == 0
+
+
+def test_words_are_looked_up_once_and_kept_by_generations(monkeypatch):
+    """Known words, words that come again in a batch, long words and a full cache give the ids of whole texts."""
+    monkeypatch.setattr(B, "CACHED_WORDS", 3)
+    with open(FILE, encoding="utf-8") as f:
+        words = B.Words(f.read())
+    batches = [["a cat, a dog", "", None, "a " + "long" * 40], ["the cat sat on the " + "long" * 40, "a dog"], ["a cat"], ["sat sat"]]
+    for texts in batches * 2:
+        whole = words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert words.ids(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in whole]
+        assert not words.words.asked and all(type(x) is bytes and len(w) <= B.CACHED_BYTES for w, x in words.words.items())
