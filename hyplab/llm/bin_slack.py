@@ -34,7 +34,6 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +44,10 @@ from pyspark.sql import DataFrame, functions as F
 from hyplab.llm.store import ship
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 24
 CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 400_000, 800_000, 64  # words of a generation, length of a kept word
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # an apostrophe may open a contraction
 _MARKS = MARKS.encode()
-# a byte-level model names a byte by the character of its number where that is visible, else by the next one from 256 on
-_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 OLD_LETTERS = "\u0600"  # below it, every version of Unicode agrees on what is a letter
 ENCODE_AT_ONCE = 4096
 
@@ -187,6 +183,21 @@ class Asked(dict):
         return known
 
 
+def _held(array: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All bytes of an array of strings or binaries, and where its values begin and end there."""
+    if not len(array):
+        return b"", np.zeros(1, np.int64)
+    wide = pa.types.is_large_binary(array.type) or pa.types.is_large_string(array.type)
+    _, at, data = array.buffers()
+    at = np.frombuffer(at, np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1]
+    return data.to_pybytes() if data else b"", at
+
+
+def _cut(data: bytes, at: np.ndarray) -> list[bytes]:
+    ends = at.tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _small(word: bytes) -> bool:
     """Whether a word consists of letters that no normaliser changes: composed, small and of long standing."""
     if word.isalpha():
@@ -198,32 +209,41 @@ def _small(word: bytes) -> bool:
 class Words:
     """Ids of texts by the ids of their words, as little-endian unsigned 32-bit numbers.
 
+    Arrow splits a chunk of texts and numbers its distinct words; only these are looked up.
     A word of letters with closing marks behind it is its letters (in lower case where the
     tokenizer ignores case) and its marks, so far fewer words than stand in the texts are
-    encoded. Composed small letters go straight to the tokenizer's byte-level model where that is the same.
+    encoded. Composed small letters go straight to the tokenizer's byte-level model where that is the same,
+    many words as one text: where the model marks the last token of a word, the ids are cut behind it.
     """
 
     def __init__(self, described: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers as pre
 
         self.tokenizer = Tokenizer.from_str(described)
         self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.words, self.parts = Asked({}), Seen(CACHED_PARTS)
         one = lambda w, t=self.tokenizer: t.encode(w, add_special_tokens=False).ids
         self.caseless = all(one(w) == one(w.lower()) for w in ("A", "Ab", "WORD", "Éa", "Straße"))
         self.apart = all(one(w + m) == one(w) + one(m) for w in ("a", "word", "é") for m in (*MARKS, "...", "?!"))
-        self.plain = all(one(w) == one(self._levelled(w.encode()), self.model) for w in ("a", "word", "qqxzj", *"bcxyz", "é", "straße", "ñandú", "жук"))
-
-    @staticmethod
-    def _levelled(word: bytes) -> str:
-        return word.decode("latin-1").translate(_BYTE_LEVEL)
+        self.plain = all(one(w) == one(w, self.model) for w in ("a", "word", "qqxzj", *"bcxyz", "é", "straße", "ñandú", "жук"))
 
     def _encode(self, words: list[bytes], direct: bool = False) -> Iterator[tuple[bytes, bytes]]:
-        tokenizer, text = (self.model, self._levelled) if direct else (self.tokenizer, lambda w: w.decode("utf-8", "replace"))
+        tokenizer = self.model if direct else self.tokenizer
         for i in range(0, len(words), ENCODE_AT_ONCE):
             part = words[i : i + ENCODE_AT_ONCE]
-            for w, e in zip(part, tokenizer.encode_batch_fast([text(w) for w in part], add_special_tokens=False)):
+            if direct:
+                together = tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+                ids = np.asarray(together[0].ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(part):  # a word has one such token at most
+                    yield from zip(part, _cut(ids.tobytes(), 4 * np.concatenate(([0], ends))))
+                    continue
+            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 ids = e.ids
                 yield w, struct.pack(f"<{len(ids)}I", *ids)
 
@@ -244,13 +264,15 @@ class Words:
         known.update(self._encode([w for w in new if w not in known]))
         self.words.update((w, known[a] + known[b]) for w, (a, b) in split.items())
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         if len(self.words) > CACHED_WORDS:
             self.words = Asked(dict(self.words))
         words = self.words
-        get = words.__getitem__
-        # bytes are split at exactly the six white space bytes of ASCII
-        found = [list(map(get, t.encode("utf-8", "replace").split())) if t else [] for t in texts]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        # split at exactly the six white space bytes of ASCII
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.values.dictionary_encode()
+        found = list(map(words.__getitem__, _cut(*_held(coded.dictionary))))
         asked, words.asked = words.asked, {}
         self._learn([w for w in asked if len(w) <= CACHED_BYTES])
         long = dict(self._encode([w for w in asked if len(w) > CACHED_BYTES]))
@@ -258,7 +280,8 @@ class Words:
             buffer += long[w] if w in long else words[w]
         for w in long:
             del words[w]
-        return [b"".join(f) for f in found]
+        data, at = _held(pa.array(found, pa.large_binary()).take(coded.indices))
+        return _cut(data, at[split.offsets.to_numpy()])
 
 
 _LOADED: dict[int, Words] = {}
@@ -313,7 +336,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             while at < batch.num_rows:
                 done = int(sizes[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(sizes, done + CHUNK_BYTES, "right")))
-                for ids in words.ids(texts.slice(at, to - at).to_pylist()):
+                for ids in words.ids(texts.slice(at, to - at)):
                     held.append(ids + end)
                     tokens += len(held[-1]) // 4
                 names += ids_of[at:to]

@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -151,3 +152,26 @@ def test_words_are_looked_up_once_and_kept_by_generations(monkeypatch):
         whole = words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
         assert words.ids(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in whole]
         assert not words.words.asked and all(type(x) is bytes and len(w) <= B.CACHED_BYTES for w, x in words.words.items())
+
+
+def test_a_chunk_looks_a_word_up_once_and_encodes_new_words_together(monkeypatch):
+    """Work follows the distinct words of a chunk, and new words are one text for the model, with or without marks of a word's end."""
+    with open(FILE, encoding="utf-8") as f:
+        described = f.read()
+    rng = random.Random(7)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñ") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts = [" \t" + " ".join(rng.choices(made, k=400)) + rng.choice(["", "\n", "\x1f\v"]) for _ in range(100)] + [None, "", " ", "\f\r"]
+    for closes in (True, False):
+        words = B.Words(described)
+        if not closes:
+            words.closes[:] = False
+        looked, given = [], []
+        get, encode = B.Asked.__getitem__, words.model.encode_batch_fast
+        monkeypatch.setattr(B.Asked, "__getitem__", lambda self, w: looked.append(w) or get(self, w), raising=False)
+        words.model = type("Model", (), {"encode_batch_fast": staticmethod(lambda t, **k: given.append(len(t)) or encode(t, **k))})
+        got = words.ids(pa.array(["left out", *texts]).slice(1))
+        monkeypatch.undo()
+        whole = words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert got == [np.asarray(e.ids, "<u4").tobytes() for e in whole]
+        assert len(looked) <= 2 * len({b"", *" ".join(t or "" for t in texts).encode().split()})  # asked and filled
+        assert not closes or sum(given) == 1
