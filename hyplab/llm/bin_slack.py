@@ -17,8 +17,8 @@ packed. The remaining lengths of a cell are a multiset, length -> count:
 
 A cell is the next ``cell_tokens`` ids of a partition of the scan, so all of this is one
 narrow pass: no shuffle, no hot key, no rows at the driver, and a lost task is read again
-from the table. A word's ids are looked up among those seen before in the task (words
-do not influence each other: the pre-tokeniser splits at every white space).
+from the table. The ids of a chunk's distinct words are looked up among those seen before in the
+worker (words do not influence each other: the pre-tokeniser splits at every white space).
 
 Null and empty texts are the end id alone. Rows that repeat, with or without doc_id,
 are packed each for itself; equal lengths are taken in the order of the rows. A very long
@@ -44,11 +44,11 @@ from pyspark.sql import DataFrame, functions as F
 from hyplab.llm.store import ship
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-CHUNK_BYTES = 1 << 24
-CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 400_000, 800_000, 64  # words of a generation, length of a kept word
+CHUNK_BYTES = 1 << 23
+CACHED_WORDS, CACHED_PARTS, CACHED_BYTES = 400_000, 800_000, 64  # words and parts of a generation, length of a kept word
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # an apostrophe may open a contraction
-_MARKS = MARKS.encode()
 OLD_LETTERS = "\u0600"  # below it, every version of Unicode agrees on what is a letter
+LETTERS = "".join(c for c in map(chr, range(ord(OLD_LETTERS))) if c.lower().isalpha() and max(c.lower()) < OLD_LETTERS)
 ENCODE_AT_ONCE = 4096
 
 
@@ -209,10 +209,11 @@ def _small(word: bytes) -> bool:
 class Words:
     """Ids of texts by the ids of their words, as little-endian unsigned 32-bit numbers.
 
-    Arrow splits a chunk of texts and numbers its distinct words; only these are looked up.
+    Arrow splits a chunk of texts and numbers its distinct words.
     A word of letters with closing marks behind it is its letters (in lower case where the
-    tokenizer ignores case) and its marks, so far fewer words than stand in the texts are
-    encoded. Composed small letters go straight to the tokenizer's byte-level model where that is the same,
+    tokenizer ignores case) and its marks; Arrow splits these, too, and the distinct parts are
+    looked up, so far fewer words than stand in the texts are encoded. Other words are looked
+    up whole. Composed small letters go straight to the tokenizer's byte-level model where that is the same,
     many words as one text: where the model marks the last token of a word, the ids are cut behind it.
     """
 
@@ -247,40 +248,48 @@ class Words:
                 ids = e.ids
                 yield w, struct.pack(f"<{len(ids)}I", *ids)
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        stem = word.rstrip(_MARKS)
-        if not stem.isalpha():  # bytes: ASCII letters
-            letters = stem.decode("utf-8", "replace").lower()
-            if not letters.isalpha() or max(letters) >= OLD_LETTERS:
-                return word, b""
-        return stem.lower() if self.caseless else stem, word[len(stem) :]
-
-    def _learn(self, words: list[bytes]) -> None:
-        split = {w: self._split(w) if self.apart else (w, b"") for w in words}
-        new = self.parts.missing(set().union(*split.values()))
+    def _whole(self, words: list[bytes]) -> list[bytes | bytearray]:
+        """Ids of words that are not split."""
+        if len(self.words) > CACHED_WORDS:
+            self.words = Asked(dict(self.words))
+        found = list(map(self.words.__getitem__, words))
+        asked, self.words.asked = self.words.asked, {}
+        for w, ids in self._encode(list(asked)):
+            asked[w] += ids
+            if len(w) > CACHED_BYTES:
+                del self.words[w]
+            else:
+                self.words[w] = ids
+        return found
+
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        new = self.parts.missing(parts)
         known = self.parts.young
         known[b""] = b""
         known.update(self._encode([w for w in new if _small(w)] if self.plain else [], direct=True))
         known.update(self._encode([w for w in new if w not in known]))
-        self.words.update((w, known[a] + known[b]) for w, (a, b) in split.items())
+        return list(map(known.__getitem__, parts))
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        stems = pc.ascii_rtrim(words, MARKS)
+        lettered = pc.ascii_is_alpha(stems).to_numpy(zero_copy_only=False).copy()
+        others = np.flatnonzero(~lettered)
+        lettered[others] = pc.match_substring_regex(stems.take(pa.array(others)), rf"\A[{LETTERS}]+\z")
+        lettered &= self.apart & (pc.binary_length(words).to_numpy() <= CACHED_BYTES)
+        split, whole = (pa.array(np.flatnonzero(x)) for x in (lettered, ~lettered))
+        stems, marks = stems.take(split), pc.utf8_ltrim(words.take(split), LETTERS)
+        parts = pa.concat_arrays([pc.ascii_lower(stems) if self.caseless else stems, marks]).dictionary_encode()
+        ids = pa.array(self._parts(_cut(*_held(parts.dictionary))), pa.large_binary()).take(parts.indices)
+        ids = pc.binary_join_element_wise(ids[: len(split)], ids[len(split) :], pa.scalar(b"", pa.large_binary()))
+        both = pa.concat_arrays([ids, pa.array(self._whole(_cut(*_held(words.take(whole)))), pa.large_binary())])
+        return both.take(pa.array(np.argsort(np.concatenate((split, whole)))))
 
     def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words = Asked(dict(self.words))
-        words = self.words
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         # split at exactly the six white space bytes of ASCII
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.values.dictionary_encode()
-        found = list(map(words.__getitem__, _cut(*_held(coded.dictionary))))
-        asked, words.asked = words.asked, {}
-        self._learn([w for w in asked if len(w) <= CACHED_BYTES])
-        long = dict(self._encode([w for w in asked if len(w) > CACHED_BYTES]))
-        for w, buffer in asked.items():
-            buffer += long[w] if w in long else words[w]
-        for w in long:
-            del words[w]
-        data, at = _held(pa.array(found, pa.large_binary()).take(coded.indices))
+        data, at = _held(self._of_words(coded.dictionary).take(coded.indices))
         return _cut(data, at[split.offsets.to_numpy()])
 
 

@@ -175,3 +175,17 @@ def test_a_chunk_looks_a_word_up_once_and_encodes_new_words_together(monkeypatch
         assert got == [np.asarray(e.ids, "<u4").tobytes() for e in whole]
         assert len(looked) <= 2 * len({b"", *" ".join(t or "" for t in texts).encode().split()})  # asked and filled
         assert not closes or sum(given) == 1
+
+
+def test_words_of_letters_are_kept_by_their_parts_only():
+    """Letters of any kind, case and marks give the ids of whole texts; only other words are kept whole."""
+    with open(FILE, encoding="utf-8") as f:
+        words = B.Words(f.read())
+    rng = random.Random(9)
+    letters = ["a", "Z", "é", "É", "ß", "İ", "Ⱥ", "ª", "µ", "Σ", "ς", "ж", "א", "́", "中", "ص"]
+    plain = ["".join(rng.choices(["a", "Z", "é", "É", "ß", "Σ", "ж", "א"], k=rng.randrange(1, 9))) + rng.choice(["", ".", ",***", "]-^\\"]) for _ in range(500)]
+    mixed = ["".join(rng.choices([*letters, "1", "'", ".", "\x00", "\x1c"], k=rng.randrange(1, 9))) for _ in range(2000)]
+    for texts in ([" ".join(plain)], [None, *mixed, "x" * 65, ("é" * 33) + "."], plain):
+        whole = words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert words.ids(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in whole]
+        assert not words.words.keys() & {w.encode() for w in plain}
