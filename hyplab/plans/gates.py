@@ -140,9 +140,9 @@ def j08(spark, d):
 
 def _residual(spark, d):
     """Residual features: orthography and model scores of drop7 (floor) and swap11 (new)."""
-    w = V.wide(spark, d).select("id", "n", "drop7", "swap11", "conf_swap11", "conf_drop7")
+    w = V.distinct(spark, d, V.wide, "id", "n", "drop7", "swap11", "conf_swap11", "conf_drop7")
     m = T.marker_scores(F.col("swap11"))
-    scored = L.char_logprobs(w, ["id"], "swap11", V.utterances(spark, d).where("split <> 'test'"), ("en", "fr", "de"))
+    scored = L.char_logprobs(w, ["id"], "swap11", V.utterances(spark, d).where("split <> 'test'"), ("en", "fr", "de"), distinct=True)
     r = V.routes(spark, d).select("id", "p1", "lang2", "p2")
     margin = F.col("lp_en") - F.greatest("lp_fr", "lp_de")
     return scored.join(r, "id").select(
