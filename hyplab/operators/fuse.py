@@ -501,11 +501,14 @@ def fallback_policies(df: DataFrame, key: str, candidate: str, incumbent: str) -
 
 
 def language_blend(counts: DataFrame, floor_score: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of the best system per language, and the report with the promotion flag."""
+    """Rows of the best system per language, and the report with the promotion flag; pairs are scored once for either."""
     table = S.corpus_scores(counts, "language", "system", "pos")
     picks = S.best_per_group(table, ["language"], F.col("score"), F.col("pos")).select("language", "system")
     rows = counts.join(F.broadcast(picks), ["language", "system"])
-    total = S.corpus_scores(rows)
+    # the sums of the picked rows are in the table already
+    best = F.first("system").over(W.partitionBy("language").orderBy("score", "pos"))
+    picked = table.withColumn("_best", best).where(F.col("language").isNotNull() & (F.col("system") == F.col("_best")))
+    total = S.with_rates(picked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(c).alias(c) for c in ("we", "ce", "nw", "nc")]))
     return rows, total.withColumn("promoted", 1.0 - F.col("score") > floor_score + 1e-6)
 
 
