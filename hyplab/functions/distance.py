@@ -113,6 +113,21 @@ def pair_error(a: Column, b: Column) -> Column:
     )
 
 
+def with_pair_errors(df: DataFrame, out: str, pairs: str) -> DataFrame:
+    """Add the pair errors of an array of structs with texts a and b; a row's pairs stay in the row."""
+    short = lambda p: (p["a"] != p["b"]) & (F.length(p["a"]) <= SHORT_TEXT) & (F.length(p["b"]) <= SHORT_TEXT)
+    asked = F.transform(pairs, lambda p: F.when(short(p), p["a"])), F.transform(pairs, lambda p: F.when(short(p), p["b"]))
+
+    def error(p: Column, d: Column) -> Column:
+        edits = F.coalesce(d, F.levenshtein(p["a"], p["b"]))
+        return (
+            F.when(p["a"] == p["b"], F.lit(0.0)).when((p["a"] == "") | (p["b"] == ""), F.lit(1.0))
+            .otherwise(edits / F.greatest(F.length(p["a"]), F.length(p["b"])))
+        )
+
+    return df.withColumn("_edits", E.text_distances(*asked)).withColumn(out, F.zip_with(pairs, "_edits", error)).drop("_edits")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 minus the pair error of two trimmed texts; a missing text is empty, two empty texts are alike."""
     return 1.0 - pair_error(F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit(""))))

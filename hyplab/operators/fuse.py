@@ -232,17 +232,42 @@ def word_merge(floor: Column, other: Column, ops: Column, *, min_similarity: flo
 
 
 def medoid(hyps: DataFrame, incumbent: str) -> DataFrame:
-    """The observed text with the least disagreement; ties go to the incumbent, then to the first."""
+    """The observed text with the least disagreement; ties go to the incumbent, then to the first.
+
+    The texts of an id meet in one row, so a text is shuffled once; rows without an id are compared with nothing.
+    """
     text = F.when(F.coalesce("hypothesis", F.lit("")) == "", ".").otherwise(F.col("hypothesis"))
-    distinct = hyps.groupBy("id", text.alias("text")).agg(
-        F.min("pos").alias("pos"), F.max((F.col("system") == incumbent).cast("int")).alias("_inc")
-    )
-    a, b = distinct, distinct.select("id", F.col("text").alias("_text"), F.col("pos").alias("_pos"))
-    cost = a.join(b, "id").where(F.col("pos") != F.col("_pos")).withColumn("_d", 1.0 - D.similarity(F.col("text"), F.col("_text")))
-    costs = cost.groupBy("id", "text", "pos", "_inc").agg(F.sum("_d").alias("cost"))
-    alone = distinct.join(costs.select("id").distinct(), "id", "left_anti").withColumn("cost", F.lit(0.0))
-    order = F.struct(F.round("cost", 9), -F.col("_inc"), F.col("pos"))
-    return costs.unionByName(alone).groupBy("id").agg(F.min_by(F.struct("text", "cost"), order).alias("b")).select("id", "b.*")
+    each = hyps.select("id", "pos", (F.col("system") == incumbent).cast("int").alias("inc"), text.alias("text"))
+    row = F.struct("text", "pos", "inc")
+    texts = F.transform(F.array_distinct(F.transform("_h", lambda h: h["text"])), _summed_up)
+    of_id = each.where("id IS NOT NULL").groupBy("id").agg(F.collect_list(row).alias("_h")).select("id", texts.alias("_t"))
+    # every two texts of different places, in one order
+    two = lambda x, i, y, j: F.struct(
+        i.alias("i"), j.alias("j"), x["pos"].alias("p"), y["pos"].alias("q"), F.trim(x["text"]).alias("a"), F.trim(y["text"]).alias("b"))
+    every = F.flatten(F.transform("_t", lambda x, i: F.transform("_t", lambda y, j: two(x, i, y, j))))
+    met = of_id.withColumn("_p", F.filter(every, lambda p: (p["i"] < p["j"]) & (p["p"] != p["q"])))
+    found = D.with_pair_errors(met, "_e", "_p").withColumn(
+        "_d", F.zip_with("_p", "_e", lambda p, e: F.struct(p["i"].alias("i"), p["j"].alias("j"), (1.0 - (1.0 - e)).alias("d"))))
+
+    def cost(t: Column, i: Column) -> Column:
+        own = F.filter("_d", lambda d: (d["i"] == i) | (d["j"] == i))
+        total = F.aggregate(own, F.lit(0.0), lambda acc, d: acc + d["d"])
+        return F.struct(
+            (F.size("_d") > 0).cast("int").alias("met"), F.size(own).alias("n"), F.round(total, 9).alias("r"), (-t["inc"]).alias("inc"),
+            t["pos"].alias("pos"), t["text"].alias("text"), total.alias("cost"))
+
+    # a text that meets no other counts only where none does
+    costs = F.filter(F.transform("_t", cost), lambda c: (c["met"] == 0) | (c["n"] > 0))
+    least = F.array_min(F.transform(costs, lambda c: F.struct(c["r"].alias("r"), c["inc"].alias("inc"), c["pos"].alias("pos"), c["text"].alias("text"), c["cost"].alias("cost"))))
+    alone = each.where("id IS NULL").groupBy("id", "text").agg(F.min("pos").alias("pos"), F.max("inc").alias("inc")).groupBy("id").agg(
+        F.min_by(F.struct("text", F.lit(0.0).alias("cost")), F.struct(-F.col("inc"), F.col("pos"))).alias("b"))
+    return found.select("id", least.alias("b")).select("id", "b.text", "b.cost").unionByName(alone.select("id", "b.*"))
+
+
+def _summed_up(text: Column) -> Column:
+    own = F.filter("_h", lambda h: h["text"] == text)
+    return F.struct(
+        text.alias("text"), F.array_min(F.transform(own, lambda h: h["pos"])).alias("pos"), F.array_max(F.transform(own, lambda h: h["inc"])).alias("inc"))
 
 
 def similarity_tiers(df: DataFrame, key: str, base: str, challenger: str, helper: str, tiers: Sequence[float]) -> DataFrame:
