@@ -125,7 +125,9 @@ def with_pair_errors(df: DataFrame, out: str, pairs: str) -> DataFrame:
             .otherwise(edits / F.greatest(F.length(p["a"]), F.length(p["b"])))
         )
 
-    return df.withColumn("_edits", E.text_distances(*asked)).withColumn(out, F.zip_with(pairs, "_edits", error)).drop("_edits")
+    # an explode of one element: what stands behind it may use the errors in a lambda, where the kernel itself can't run
+    found = df.withColumn("_edits", E.text_distances(*asked))
+    return found.select(*df.columns, F.explode(F.array(F.zip_with(pairs, "_edits", error))).alias(out))
 
 
 def similarity(a: Column, b: Column) -> Column:

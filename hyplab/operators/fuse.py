@@ -72,14 +72,34 @@ def consensus(hyps: DataFrame, floor: DataFrame, agree: float = 0.12, min_system
 
     status: no_agree, agree_with_floor, length_reject or replaced.
     """
-    h = hyps.select("id", "pos", F.when(F.coalesce("hypothesis", F.lit("")) == "", ".").otherwise(F.col("hypothesis")).alias("text"))
-    other = h.select("id", F.col("pos").alias("_pos"), F.col("text").alias("_text"))
-    near = (F.col("pos") == F.col("_pos")) | (D.pair_error(F.col("text"), F.col("_text")) <= agree)
-    # cluster order: the seed, then the others in candidate order
-    place = F.when(F.col("pos") == F.col("_pos"), 0).otherwise(F.col("_pos") + 1)
-    longest = F.max_by("_text", F.struct(T.n_words(F.col("_text")), F.length("_text"), -place))
-    clusters = h.join(other, "id").where(near).groupBy("id", "pos").agg(F.count("*").alias("n_agree"), longest.alias("text"))
-    best = clusters.groupBy("id").agg(F.max_by(F.struct("n_agree", "text"), F.struct(F.col("n_agree"), -F.col("pos"))).alias("b"))
+    text = F.when(F.coalesce("hypothesis", F.lit("")) == "", ".").otherwise(F.col("hypothesis"))
+    each = hyps.where("id IS NOT NULL").select("id", F.struct("pos", text.alias("text"), T.n_words(text).alias("words")).alias("_x"))
+    # the texts of an id meet in one row, so a text is shuffled once
+    placed = F.transform("_h", lambda h, i: F.struct(i.alias("i"), h["pos"].alias("pos"), h["text"].alias("text"), h["words"].alias("words")))
+    of_id = each.groupBy("id").agg(F.collect_list("_x").alias("_h")).select("id", placed.alias("_h"))
+    two = lambda x, y: F.struct(x["i"].alias("i"), y["i"].alias("j"), x["text"].alias("a"), y["text"].alias("b"))
+    every = F.flatten(F.transform("_h", lambda x: F.transform(F.filter("_h", lambda y: x["i"] < y["i"]), lambda y: two(x, y))))
+    alike = F.filter(
+        F.zip_with("_p", "_e", lambda p, e: F.struct(p["i"].alias("i"), p["j"].alias("j"), (e <= agree).alias("near"))), lambda p: p["near"])
+    found = D.with_pair_errors(of_id.withColumn("_p", every), "_e", "_p").select("id", "_h", alike.alias("_n"))
+
+    def near(x: Column, y: Column) -> Column:
+        i, j = F.least(x["i"], y["i"]), F.greatest(x["i"], y["i"])
+        return (x["pos"] == y["pos"]) | ((i == j) & F.lit(agree >= 0)) | F.exists("_n", lambda n: (n["i"] == i) & (n["j"] == j))
+
+    def ranked(x: Column, y: Column) -> Column:
+        # cluster order: the seed, then the others in candidate order
+        place = F.when(x["pos"] == y["pos"], 0).otherwise(y["pos"] + 1)
+        return F.struct(y["words"].alias("words"), F.length(y["text"]).alias("size"), (-place).alias("place"), y["text"].alias("text"))
+
+    def cluster(pos: Column) -> Column:
+        seeds = F.filter("_h", lambda x: x["pos"].eqNullSafe(pos))
+        members = F.flatten(F.transform(seeds, lambda x: F.transform(F.filter("_h", lambda y: near(x, y)), lambda y: ranked(x, y))))
+        return F.struct(F.size(members).cast("long").alias("n_agree"), (-pos).alias("place"), F.array_max(members)["text"].alias("text"))
+
+    clusters = F.transform(F.array_distinct(F.transform("_h", lambda x: x["pos"])), cluster)
+    best = found.select("id", F.array_max(F.filter(clusters, lambda c: c["n_agree"] > 0)).alias("b")).where("b IS NOT NULL").select(
+        "id", F.struct("b.n_agree", "b.text").alias("b"))
     j = best.select("id", "b.*").join(floor.select("id", F.col("hypothesis").alias("_floor")), "id")
     words = T.n_words(F.col("text")) / F.greatest(T.n_words(F.col("_floor")), F.lit(1))
     status = (
